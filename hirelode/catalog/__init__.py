@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["text_fields", "filtering", "joining"]
+MODULES = ["text_fields", "filtering", "joining", "reports", "summaries"]
 
 
 def _load() -> None:

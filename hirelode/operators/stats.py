@@ -532,3 +532,19 @@ def keyword_history(log: DataFrame, terms: DataFrame) -> DataFrame:
     learned = log.where(F.col("type").contains("keyword"))
     return learned.join(terms.select(F.col("term").alias("new_keyword"), F.lit(True).alias("in_use")).distinct(), "new_keyword", "left") \
         .withColumn("in_use", F.coalesce("in_use", F.lit(False)))
+
+
+# fixed values: wording of trial and log states
+TRIAL_STATES = {"pending": "Pending trial", "confirmed": "Confirmed effective", "reverted": "Reverted - did not help"}
+LOG_STATES = {"threshold_reversion": "Reverted - did not help", "threshold_confirmation": "Confirmed effective",
+              "threshold_adjustment": "Pending trial"}
+
+
+def display_status(log: DataFrame) -> DataFrame:
+    """State of an improvement by its trial, else by its kind. Needs trial_status, type."""
+    out = F.lit("Active")
+    for kind, text in LOG_STATES.items():
+        out = F.when(F.col("type") == kind, F.lit(text)).otherwise(out)
+    for state, text in TRIAL_STATES.items():
+        out = F.when(F.col("trial_status") == state, F.lit(text)).otherwise(out)
+    return log.withColumn("display_status", out)

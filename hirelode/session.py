@@ -58,16 +58,16 @@ def with_global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataF
     """
     placed = cut_lineage(
         df.repartitionByRange(*order).sortWithinPartitions(*order)
-        .withColumn("__pos", F.monotonically_increasing_id()))
-    part = F.shiftright("__pos", 33)
-    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__row_pos", F.monotonically_increasing_id()))
+    part = F.shiftright("__row_pos", 33)
+    sizes = placed.groupBy(part.alias("__row_part")).agg(F.count(F.lit(1)).alias("__n"))
     before = (
-        sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left")
-        .groupBy(F.col("a.__part").alias("__part"))
+        sizes.alias("a").join(sizes.alias("b"), F.col("b.__row_part") < F.col("a.__row_part"), "left")
+        .groupBy(F.col("a.__row_part").alias("__row_part"))
         .agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before")))
     # one row per partition of the frame: bounded by the partition count
     return (
-        placed.withColumn("__part", part)
-        .join(F.broadcast(before), "__part")
-        .withColumn(name, F.col("__before") + F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-        .drop("__pos", "__part", "__before"))
+        placed.withColumn("__row_part", part)
+        .join(F.broadcast(before), "__row_part")
+        .withColumn(name, F.col("__before") + F.col("__row_pos").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+        .drop("__row_pos", "__row_part", "__before"))
