@@ -215,10 +215,10 @@ kt AS (SELECT company, title, unnest(list_distinct(regexp_extract_all(lower(titl
 ft AS (SELECT feedback_id, action, unnest(list_distinct(regexp_extract_all(lower(job_title || ' ' || company), '\\w+'))) AS w FROM fb),
 ov AS (SELECT company, title, count(*) AS total, count(*) FILTER (action = 'yes') AS yes FROM (SELECT DISTINCT company, title, feedback_id, action FROM kt JOIN ft USING (w)) GROUP BY 1, 2)
 SELECT k.company, k.title, round(CAST(0.4 AS DOUBLE) * CASE WHEN total_applications > 0 THEN least(1, success_rate) ELSE 0.5 END + CAST(0.3 AS DOUBLE) * coalesce(mean / 100, 0.5)
- + CAST(0.3 AS DOUBLE) * coalesce(ov.yes / CAST(ov.total AS DOUBLE), (SELECT count(*) FILTER (action = 'yes') / CAST(count(*) AS DOUBLE) FROM fb)), 2) AS relevance
+ + CAST(0.3 AS DOUBLE) * coalesce(ov.yes / CAST(ov.total AS DOUBLE), (SELECT count(*) FILTER (action = 'yes') / CAST(count(*) AS DOUBLE) FROM fb)), 6) AS relevance
 FROM k LEFT JOIN stats ON stats.company = k.company LEFT JOIN past ON past.company = k.company LEFT JOIN ov ON ov.company = k.company AND ov.title = k.title""", "postings applications status_history feedback")
 def a16(t):
-    return R.predict_relevance(t.postings, stats(t), t.postings, titled_feedback(t))
+    return R.predict_relevance(t.postings, stats(t), t.postings, titled_feedback(t), digits=6)
 
 
 @query("a32_personalization_stats", "SELECT count(*) AS total_feedback_count, count(*) >= 5 AS personalization_active, (SELECT count(*) FROM events WHERE value >= 100) AS jobs_scored_with_personalization, least(count(*), 5) AS recent_examples_injected FROM feedback", "feedback")
@@ -281,7 +281,7 @@ def discovery_cycles(t):
 @query("a22_company_target", f"""WITH {STREAK_SQL},
 c AS (SELECT count(*) AS total, count(*) FILTER (s.company_id IS NOT NULL) AS scanned, count(*) FILTER (jobs > 0) AS producing, count(*) FILTER (fresher_total > 0 AND fresher_streak = 0) AS fa FROM companies c LEFT JOIN streak s USING (company_id)),
 r AS (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS adds FROM (SELECT date_trunc('day', scanned_at) AS d, count(DISTINCT company_id) AS n FROM scan_log WHERE jobs_found > 27 AND fresher_found > 0 AND error IS NULL GROUP BY 1) WHERE d >= {ENOW} - INTERVAL 14 DAY),
-n AS (SELECT *, CASE WHEN fa / CAST(total AS DOUBLE) < 0.95 THEN CAST(floor((0.95 * total - fa) / (1 - 0.95)) + 1 AS BIGINT) ELSE 0 END AS need FROM c, r)
+n AS (SELECT *, CASE WHEN fa / CAST(total AS DOUBLE) < 0.95 THEN CAST(floor((CAST(0.95 AS DOUBLE) * total - fa) / (1 - CAST(0.95 AS DOUBLE))) + 1 AS BIGINT) ELSE 0 END AS need FROM c, r)
 SELECT total AS total_companies, scanned AS scanned_at_least_once, producing AS producing_jobs, fa AS fresher_active, need AS companies_needed, adds AS recent_adds_14d, round(fa / CAST(total AS DOUBLE) * 100, 1) AS fresher_active_pct,
  CASE WHEN adds > 0 AND need > 0 THEN CAST(floor(need / (adds / 14.0)) AS BIGINT) END AS eta_days FROM n""", "companies scan_log")
 def a22(t):

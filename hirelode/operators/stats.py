@@ -300,7 +300,7 @@ def feedback_patterns(feedback: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows)).where("hits >= needed").drop("needed")
 
 
-def predict_relevance(keys: DataFrame, stats: DataFrame, postings: DataFrame, feedback: DataFrame) -> DataFrame:
+def predict_relevance(keys: DataFrame, stats: DataFrame, postings: DataFrame, feedback: DataFrame, digits: int = 2) -> DataFrame:
     """Relevance of (company, title) from success, past scores and feedback; each half by default.
     ``stats``: company, total_applications, success_rate."""
     asked = keys.select("company", "title").distinct()
@@ -318,7 +318,7 @@ def predict_relevance(keys: DataFrame, stats: DataFrame, postings: DataFrame, fe
     history = F.coalesce(unit(F.col("__mean") / 100.0), F.lit(0.5))
     liked = F.coalesce(F.col("positive") / F.col("total"), F.col("__general"))
     return joined.select("company", "title", unit(F.round(
-        F.lit(0.40) * success + F.lit(0.30) * history + F.lit(0.30) * liked, 2)).alias("relevance"))
+        F.lit(0.40) * success + F.lit(0.30) * history + F.lit(0.30) * liked, digits)).alias("relevance"))
 
 
 def personalization_stats(feedback: DataFrame, log: DataFrame) -> DataFrame:
