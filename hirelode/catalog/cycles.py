@@ -25,9 +25,9 @@ UQ_SCORED = SCORED.replace("FROM postings) p)", "FROM uq) p)")
 
 
 @query("q2_search_cycle", f"""WITH {Q_UNIQUE}, {UQ_SCORED}, x AS (SELECT *, coalesce(score, local_score) AS s FROM scored),
-k AS (SELECT *, date_diff('second', seen, {NOW}) / 3600.0 AS age FROM x WHERE s >= 50 AND title IN ('Software Engineer', 'Senior Software Engineer', 'Software Engineer Intern', 'Data Scientist') AND date_diff('second', seen, {NOW}) <= 60 * 24 * 3600),
-u AS (SELECT CASE WHEN count(*) FILTER (age <= 24) >= 10 THEN 24 ELSE 72 END AS used FROM k)
-SELECT native_id, s AS score FROM k, u WHERE age <= used""", "pid")
+kk AS (SELECT *, date_diff('second', seen, {NOW}) / 3600.0 AS age FROM x WHERE s >= 50 AND title IN ('Software Engineer', 'Senior Software Engineer', 'Software Engineer Intern', 'Data Scientist') AND date_diff('second', seen, {NOW}) <= 60 * 24 * 3600),
+u AS (SELECT CASE WHEN count(*) FILTER (age <= 24) >= 10 THEN 24 ELSE 72 END AS used FROM kk)
+SELECT native_id, s AS score FROM kk, u WHERE age <= used""", "pid")
 def q2(t):
     mine = [t.postings.where(F.col("source") == s) for s in ("greenhouse", "lever", "shine", "adzuna", "web")]
     r = Y.search_cycle(mine, t.store, t.store.limit(0).select("id"), PROFILE, A.NOW, 50, ["software engineer", "data scientist"], [], 24 * 60)
@@ -56,8 +56,8 @@ def q4b(t):
 @query("q5_discovery_cycle", """
 WITH c AS (SELECT company AS name, count(*) AS n FROM postings WHERE lower(company) NOT IN (SELECT lower(company) FROM applications) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40),
 p AS (SELECT company AS name, source AS ats, count(*) FILTER (location IN ('Bengaluru, Karnataka', 'Gurgaon, India', 'Noida Sector 62', 'Mumbai')) AS india,
-  count(*) FILTER (title IN ('Software Engineer Intern', 'Full Stack Developer - Fresher')) AS fresher, count(*) FILTER (title IN ('Software Engineer Intern', 'Full Stack Developer - Fresher') AND location IN ('Bengaluru, Karnataka', 'Gurgaon, India', 'Noida Sector 62', 'Mumbai')) AS both FROM postings WHERE company IN (SELECT name FROM c) GROUP BY 1, 2),
-v AS (SELECT name, ats FROM p WHERE india > 0 AND fresher > 0 AND both > 0 ORDER BY name || '|' || ats LIMIT 25)
+  count(*) FILTER (title IN ('Software Engineer Intern', 'Full Stack Developer - Fresher')) AS fresher, count(*) FILTER (title IN ('Software Engineer Intern', 'Full Stack Developer - Fresher') AND location IN ('Bengaluru, Karnataka', 'Gurgaon, India', 'Noida Sector 62', 'Mumbai')) AS two FROM postings WHERE company IN (SELECT name FROM c) GROUP BY 1, 2),
+v AS (SELECT name, ats FROM p WHERE india > 0 AND fresher > 0 AND two > 0 ORDER BY name || '|' || ats LIMIT 25)
 SELECT replace(lower(name), ' ', '-') AS company_id, min(name) AS name FROM v GROUP BY 1""", "postings applications")
 def q5(t):
     names = t.applications.select(F.col("company").alias("name"))
@@ -134,9 +134,9 @@ def t2(t):
 
 
 @query("t3_tombstone_stream", """
-WITH o AS (SELECT 'p' || o_custkey % 50 AS id, o_orderdate AS at, o_orderkey % 5 = 0 AS pruned FROM orders),
-m AS (SELECT *, max(CASE WHEN pruned THEN at END) OVER (PARTITION BY id ORDER BY at, CASE WHEN pruned THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS last FROM o)
-SELECT id, count(*) AS seen FROM m WHERE NOT pruned AND (last IS NULL OR date_diff('second', last, at) >= 30 * 86400) GROUP BY 1""")
+WITH o AS (SELECT 'p' || o_custkey % 50 AS id, o_orderdate AS seen_at, o_orderkey % 5 = 0 AS pruned FROM orders),
+m AS (SELECT *, max(CASE WHEN pruned THEN seen_at END) OVER (PARTITION BY id ORDER BY seen_at, CASE WHEN pruned THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS last_at FROM o)
+SELECT id, count(*) AS seen FROM m WHERE NOT pruned AND (last_at IS NULL OR date_diff('second', last_at, seen_at) >= 30 * 86400) GROUP BY 1""")
 def t3(t):
     ST.enable_state(t.spark)
     o = ST.read_folder(t.spark, t.folder, "orders").select(
