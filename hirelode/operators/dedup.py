@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fields as V
 from ..session import cut_lineage
 from .filters import valid_only, validity
 from .identity import normalize_postings
@@ -17,45 +16,42 @@ def merge_cluster(df: DataFrame, cluster: str = "id") -> DataFrame:
 
     Base row by parse confidence, description length, earliest first_seen, id.
     Dates widen; sources keep first-appearance order and source ids the last
-    value, both per (cluster, source), so a cluster of any size stays small.
+    value.  Rows first fold per (cluster, sources): only one row per kind of
+    provenance reaches the second step, so a cluster of any size stays small.
     """
-    seen = F.coalesce(F.col("first_seen").cast("timestamp"), F.col("posted_date").cast("timestamp"))
-    tie = F.col("native_id") if "native_id" in df.columns else F.col("id")
-    last = F.coalesce(F.col("last_seen").cast("timestamp"), F.col("first_seen").cast("timestamp")) \
-        if "last_seen" in df.columns else F.col("first_seen").cast("timestamp")
-    early_first = F.coalesce(-F.unix_micros(F.col("first_seen").cast("timestamp")), F.lit(-(1 << 62)))
-    kept = [c for c in df.columns if c not in ("first_seen", "last_seen", "sources", "source_ids", cluster)]
-    prepared = df.withColumns({"__seen": seen, "__last": last, "__order": F.struct(F.coalesce(
-        F.unix_micros(seen), F.lit(1 << 62)).alias("t"), F.col("id").alias("i"), tie.alias("n"))})
+    landed = F.col("native_id") if "native_id" in df.columns else F.col("id")
+    first, posted = F.col("first_seen").cast("timestamp"), F.col("posted_date").cast("timestamp")
+    last = F.coalesce(F.col("last_seen").cast("timestamp"), first) if "last_seen" in df.columns else first
+    weight = F.col("cluster_size") if "cluster_size" in df.columns else F.lit(1)
+    kept = [c for c in df.columns if c not in ("first_seen", "last_seen", "sources", "source_ids", "cluster_size", cluster)]
+    order = F.struct(F.coalesce(F.unix_micros(F.coalesce(first, posted)), F.lit(1 << 62)), F.col("id"), landed)
+    small_first = -landed if "native_id" in df.columns else F.translate(F.col("id"), "0123456789abcdef", "fedcba9876543210")
     rank = F.struct(
-        F.coalesce("parse_confidence", F.lit(0.5)).alias("c"), F.length(F.coalesce("description", F.lit(""))).alias("l"),
-        early_first.alias("s"), F.struct("id", tie.alias("n")).alias("t"))
-    base = prepared.groupBy(F.col(cluster).alias("__cluster")).agg(
-        F.max_by(F.struct(*kept), _prefer_small_tie(rank, df, tie)).alias("__row"),
-        F.min("__seen").alias("first_seen"), F.max("__last").alias("last_seen"), F.count(F.lit(1)).alias("cluster_size"))
-    origins = prepared.select(
-        F.col(cluster).alias("__cluster"), "__order", F.posexplode("sources").alias("__pos", "__source"), "source_ids")
-    per_source = origins.groupBy("__cluster", "__source").agg(
-        F.min(F.struct("__order", "__pos")).alias("__at"))
-    ordered = per_source.groupBy("__cluster").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("__at", "__source"))), lambda x: x["__source"]).alias("sources"))
-    ids = prepared.select(F.col(cluster).alias("__cluster"), "__order", F.explode("source_ids").alias("__k", "__v")) \
-        .groupBy("__cluster", "__k").agg(F.max_by("__v", "__order").alias("__v")) \
-        .groupBy("__cluster").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias("source_ids"))
-    merged = base.join(ordered, "__cluster").join(ids, "__cluster", "left") \
-        .select(F.col("__cluster").alias(cluster), "__row.*", "first_seen", "last_seen", "sources", "source_ids", "cluster_size")
+        F.coalesce("parse_confidence", F.lit(0.5)), F.length(F.coalesce("description", F.lit(""))),
+        F.coalesce(-F.unix_micros(first), F.lit(-(1 << 62))), small_first)
+    folded = df.withColumns({
+        "__order": order, "__rank": rank, "__keys": F.array_sort(F.map_keys("source_ids"))}).groupBy(
+        F.col(cluster).alias("__cluster"), "sources", "__keys").agg(
+        F.max_by(F.struct(*kept), "__rank").alias("__row"), F.max("__rank").alias("__rank"),
+        F.min("__order").alias("__from"), F.max("__order").alias("__to"), F.max_by("source_ids", "__order").alias("__ids"),
+        F.min(F.coalesce(first, posted)).alias("__first"), F.max(last).alias("__last"), F.sum(weight).alias("__n"))
+    kinds = folded.groupBy("__cluster").agg(
+        F.max_by("__row", "__rank").alias("__row"), F.min("__first").alias("first_seen"), F.max("__last").alias("last_seen"),
+        F.array_sort(F.collect_list(F.struct("__from", "sources"))).alias("__sources"),
+        F.array_sort(F.collect_list(F.struct("__to", F.map_entries("__ids").alias("ids")))).alias("__maps"),
+        F.sum("__n").alias("cluster_size"))
+    # later maps override earlier ones: of the entries of a key, the last one stays
+    entries = F.flatten(F.transform("__maps", lambda m: m["ids"]))
+    names = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
+    ids = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+    merged = kinds.select(
+        F.col("__cluster").alias(cluster), "__row.*", "first_seen", "last_seen",
+        F.array_distinct(F.flatten(F.transform("__sources", lambda x: x["sources"]))).alias("sources"), ids.alias("source_ids"), "cluster_size")
     if "canonical_url" in merged.columns:
         merged = merged.withColumn("url", F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("canonical_url")))
     return merged
 
 
-def _prefer_small_tie(rank: Column, df: DataFrame, tie: Column) -> Column:
-    """Largest rank, and among equals the smallest landed number (or id)."""
-    if "native_id" in df.columns:
-        return F.struct(rank["c"], rank["l"], rank["s"], -tie)
-    return F.struct(rank["c"], rank["l"], rank["s"], F.translate(F.col("id"), "0123456789abcdef", "fedcba9876543210"))
-
-
 def dedup_exact(normalized: DataFrame) -> DataFrame:
     """One row per canonical id."""
     return merge_cluster(normalized)
@@ -77,18 +73,23 @@ def near_clusters(df: DataFrame) -> DataFrame:
 def dedup_near(df: DataFrame) -> DataFrame:
     """Greedy first-fit clusters of near-duplicates, merged."""
     clustered = near_clusters(cut_lineage(df))
-    merged = merge_cluster(clustered.drop("cluster_size"), "cluster_id")
+    merged = merge_cluster(clustered, "cluster_id")
     return merged.drop("cluster_id")
 
 
 def deduplicate(landed: DataFrame, near: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(unique postings, one row of counts)."""
+    """(unique postings, one row of counts).
+
+    The unique postings are materialised: everything after them reads them
+    more than once.
+    """
     checked = validity(normalize_postings(landed))
     exact = dedup_exact(checked.where("is_valid").drop("is_valid", "reasons"))
-    unique = dedup_near(exact) if near else exact
-    metrics = checked.agg(
-        F.count(F.lit(1)).alias("total_raw"), F.count_if("is_valid").alias("total_normalized")
-    ).withColumn("unique_jobs", unique.agg(F.count(F.lit(1))).scalar()) \
+    unique = cut_lineage(dedup_near(exact) if near else exact)
+    # rows that passed are the members of the clusters; only the landed total needs another look
+    passed = unique.agg(F.coalesce(F.sum("cluster_size"), F.lit(0))).scalar()
+    metrics = landed.agg(F.count(F.lit(1)).alias("total_raw")).withColumns({
+        "total_normalized": passed, "unique_jobs": unique.agg(F.count(F.lit(1))).scalar()}) \
         .withColumn("duplicates_removed", F.col("total_raw") - F.col("unique_jobs"))
     return unique, metrics
 

@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import rules
 from ..session import cut_lineage
@@ -21,7 +22,7 @@ BLOCK_LETTERS = 4
 COMPANY_RATIO, LOCATION_RATIO, TITLE_RATIO = 0.85, 0.80, 0.85
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     return pd.Series([

@@ -12,7 +12,7 @@ from ..session import as_of
 from .joins import company_applications, feedback_overlap
 from .windows import last_status, status_latency, zero_yield_streak, fresher_streak
 
-N = F.lit(1)
+
 
 
 def _rate(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -44,13 +44,13 @@ def funnel(flagged: DataFrame) -> DataFrame:
 
 def source_counts(df: DataFrame) -> DataFrame:
     """A2"""
-    return df.groupBy("source").agg(F.count(N).alias("postings"))
+    return df.groupBy("source").agg(F.count(F.lit(1)).alias("postings"))
 
 
 def cycle_summary(raw: DataFrame, unique: DataFrame, filtered: DataFrame) -> DataFrame:
     """A3: sizes of one cycle and the mean score of what passed."""
-    return filtered.agg(F.count(N).alias("filtered"), F.coalesce(F.round(F.avg(_score()), 1), F.lit(0.0)).alias("avg_score")).select(
-        raw.agg(F.count(N)).scalar().alias("raw"), unique.agg(F.count(N)).scalar().alias("deduplicated"), "filtered", "avg_score")
+    return filtered.agg(F.count(F.lit(1)).alias("filtered"), F.coalesce(F.round(F.avg(_score()), 1), F.lit(0.0)).alias("avg_score")).select(
+        raw.agg(F.count(F.lit(1))).scalar().alias("raw"), unique.agg(F.count(F.lit(1))).scalar().alias("deduplicated"), "filtered", "avg_score")
 
 
 def yield_by_bucket(cycles: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def yield_by_bucket(cycles: DataFrame) -> DataFrame:
     value = F.col("jobs_found") + F.lit(1.5) * F.col("relevant_found")
     overall = cycles.agg(F.avg(value)).scalar()
     sampled = cycles.groupBy(V.hour_bucket("started_at").alias("bucket")).agg(
-        F.count(N).alias("samples"), F.round(F.avg("jobs_found"), 1).alias("avg_jobs_found"),
+        F.count(F.lit(1)).alias("samples"), F.round(F.avg("jobs_found"), 1).alias("avg_jobs_found"),
         F.round(F.avg("relevant_found"), 1).alias("avg_high_relevance"), F.avg(value).alias("__mean"))
     session = cycles.sparkSession
     buckets = session.range(8).select(V.bucket_label(F.col("id") * 3).alias("bucket"), (F.col("id") * 3).alias("start_hour"))
@@ -89,7 +89,7 @@ def quota_forecast(keys: DataFrame, cycles: DataFrame, hour: int, interval: int
 def _mode(df: DataFrame, by: str, value: str, name: str, only: Column | None = None) -> DataFrame:
     """Most frequent value per group, ties by name."""
     src = df if only is None else df.where(only)
-    return src.groupBy(by, value).agg(F.count(N).alias("__n")).groupBy(by).agg(
+    return src.groupBy(by, value).agg(F.count(F.lit(1)).alias("__n")).groupBy(by).agg(
         F.min_by(value, F.struct(-F.col("__n"), F.col(value))).alias(name))
 
 
@@ -99,7 +99,7 @@ def company_stats(names: DataFrame, apps: DataFrame, history: DataFrame, name: s
     status = F.lower("status")
     referral = F.col("referral_source").isNotNull() | (status == "referral")
     counts = found.groupBy("asked").agg(
-        F.count(N).alias("total_applications"), *[F.count_if(status == k).alias(k) for k in rules.STATUS_KINDS],
+        F.count(F.lit(1)).alias("total_applications"), *[F.count_if(status == k).alias(k) for k in rules.STATUS_KINDS],
         F.count_if(referral).alias("referral_count"), F.coalesce(F.rint(F.avg("salary_offered")), F.lit(0.0)).alias("avg_salary"),
         F.coalesce(F.round(F.avg("days_to_interview"), 1), F.lit(3.5)).alias("avg_days_to_interview"))
     full = names.select(F.col(name).alias("asked")).distinct().join(counts, "asked", "left") \
@@ -136,7 +136,7 @@ def role_stats(apps: DataFrame, roles: list[str]) -> DataFrame:
     """A5"""
     found = _asked_stats(apps, "job_title", roles)
     out = found.groupBy("asked").agg(
-        F.count(N).alias("total_applications"), F.count_if(F.col("status").isin(OFFERED)).alias("offers"),
+        F.count(F.lit(1)).alias("total_applications"), F.count_if(F.col("status").isin(OFFERED)).alias("offers"),
         F.count_if(F.col("status").isin("interviewed", *OFFERED)).alias("interviews"),
         F.coalesce(F.rint(F.avg("salary_offered")), F.lit(900000.0)).alias("avg_salary"))
     best = _mode(found, "asked", "company", "most_successful_company", F.col("status").isin(OFFERED))
@@ -152,7 +152,7 @@ def location_stats(apps: DataFrame, locations: list[str]) -> DataFrame:
     """A6"""
     found = _asked_stats(apps, "location", locations)
     out = found.groupBy("asked").agg(
-        F.count(N).alias("total_applications"), F.count_if(F.col("status").isin(OFFERED)).alias("offers"),
+        F.count(F.lit(1)).alias("total_applications"), F.count_if(F.col("status").isin(OFFERED)).alias("offers"),
         F.coalesce(F.rint(F.avg("salary_offered")), F.lit(1000000.0)).alias("avg_salary"))
     return out.join(_mode(found, "asked", "company", "top_company"), "asked", "left").withColumn(
         "success_rate", _rate(F.col("offers"), F.col("total_applications"))).withColumnRenamed("asked", "location")
@@ -163,7 +163,7 @@ def timeline(apps: DataFrame, history: DataFrame, now) -> DataFrame:
     now = as_of(now)
     offer = status_latency(history).agg(F.coalesce(F.rint(F.avg("days_to_offer")), F.lit(7.0))).scalar()
     return apps.agg(
-        F.count(N).alias("total_applications"),
+        F.count(F.lit(1)).alias("total_applications"),
         F.count_if(F.col("applied_at") >= now - F.make_dt_interval(F.lit(7))).alias("applications_this_week"),
         F.count_if(F.col("applied_at") >= now - F.make_dt_interval(F.lit(30))).alias("applications_this_month"),
     ).withColumn("avg_days_to_offer", offer)
@@ -175,11 +175,11 @@ def dashboard(apps: DataFrame) -> DataFrame:
     referral = F.col("referral_source").isNotNull() | (status == "referral")
 
     def leader(column: str):
-        return apps.where(F.col("status").isin(OFFERED)).groupBy(column).agg(F.count(N).alias("n")).agg(
+        return apps.where(F.col("status").isin(OFFERED)).groupBy(column).agg(F.count(F.lit(1)).alias("n")).agg(
             F.min_by(column, F.struct(-F.col("n"), F.col(column)))).scalar()
 
     out = apps.agg(
-        F.count(N).alias("total_applications"), F.count_if(status.isin(OFFERED)).alias("total_offers"),
+        F.count(F.lit(1)).alias("total_applications"), F.count_if(status.isin(OFFERED)).alias("total_offers"),
         F.count_if(status == "rejected").alias("total_rejections"), F.count_if(referral).alias("total_referrals"),
         *[F.count_if(status == k).alias(k) for k in rules.STATUS_KINDS])
     return out.withColumns({
@@ -208,7 +208,7 @@ def insights(apps: DataFrame, company: str, role: str, location: str) -> DataFra
     as_role, there = F.lower("job_title").contains(role.lower()), F.lower("location").contains(location.lower())
     one = apps.agg(
         success(at, True).alias("c"), success(as_role, False).alias("r"), success(there, False).alias("l"),
-        F.avg("salary_offered").alias("s"), F.count(N).alias("n"), F.count_if(F.col("status").isin(OFFERED)).alias("o"),
+        F.avg("salary_offered").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(OFFERED)).alias("o"),
         F.count_if(F.col("status") == "interviewed").alias("i"), F.count_if(F.col("status") == "rejected").alias("x"))
 
     def row(kind: str, priority: str, text: Column) -> Column:
@@ -253,13 +253,13 @@ def efficiency(companies: DataFrame, postings: DataFrame, filters: DataFrame, pa
     """A10: weighted health of parsing, matching, filtering and patterns. Empty inputs count as their usual value."""
     acc = F.avg("parsing_accuracy")
     parts = {
-        "parsing_accuracy_avg": companies.agg(F.when(F.count(N) == 0, F.lit(88.0)).otherwise(
+        "parsing_accuracy_avg": companies.agg(F.when(F.count(F.lit(1)) == 0, F.lit(88.0)).otherwise(
             F.coalesce(F.when(acc <= 1.0, acc * 100.0).otherwise(acc), F.lit(85.0)))),
-        "high_confidence_ratio": postings.agg(F.when(F.count(N) == 0, F.lit(82.0)).otherwise(
-            F.count_if(_score() >= 70) / F.count(N) * 100.0)),
+        "high_confidence_ratio": postings.agg(F.when(F.count(F.lit(1)) == 0, F.lit(82.0)).otherwise(
+            F.count_if(_score() >= 70) / F.count(F.lit(1)) * 100.0)),
         "filter_precision_avg": filters.agg(F.coalesce(F.avg(F.coalesce("precision", F.lit(0.85)) * 100.0), F.lit(85.0))),
-        "pattern_health_ratio": patterns.agg(F.when(F.count(N) == 0, F.lit(90.0)).otherwise(
-            F.count_if(F.coalesce("status", F.lit("")) != "stale") / F.count(N) * 100.0)),
+        "pattern_health_ratio": patterns.agg(F.when(F.count(F.lit(1)) == 0, F.lit(90.0)).otherwise(
+            F.count_if(F.coalesce("status", F.lit("")) != "stale") / F.count(F.lit(1)) * 100.0)),
     }
     one = companies.sparkSession.range(1).select(*[df.scalar().alias(name) for name, df in parts.items()])
     score = (F.col("parsing_accuracy_avg") * 0.25 + F.col("high_confidence_ratio") * 0.30
@@ -270,13 +270,13 @@ def efficiency(companies: DataFrame, postings: DataFrame, filters: DataFrame, pa
 def trending_keywords(log: DataFrame) -> DataFrame:
     """A12"""
     word = F.coalesce("new_keyword", "filter")
-    return log.where(F.col("type").contains("keyword") & word.isNotNull()).groupBy(word.alias("skill")).agg(F.count(N).alias("count")) \
+    return log.where(F.col("type").contains("keyword") & word.isNotNull()).groupBy(word.alias("skill")).agg(F.count(F.lit(1)).alias("count")) \
         .withColumn("percent_growth", F.least(F.lit(45.0), F.round(F.col("count") * 8.5, 1))).orderBy(F.desc("count"), "skill")
 
 
 def feedback_summary(feedback: DataFrame) -> DataFrame:
     """A13"""
-    out = feedback.agg(F.count(N).alias("total_feedback"), F.count_if(F.col("action") == "yes").alias("positive"),
+    out = feedback.agg(F.count(F.lit(1)).alias("total_feedback"), F.count_if(F.col("action") == "yes").alias("positive"),
                        F.count_if(F.col("action") == "no").alias("negative"))
     return out.withColumn("precision", F.round(F.col("positive") / F.greatest(F.lit(1), F.col("positive") + F.col("negative")), 2))
 
@@ -305,7 +305,7 @@ def predict_relevance(keys: DataFrame, stats: DataFrame, postings: DataFrame, fe
     ``stats``: company, total_applications, success_rate."""
     asked = keys.select("company", "title").distinct()
     past = postings.groupBy(F.lower(F.trim("company")).alias("__c")).agg(F.avg("score").alias("__mean"))
-    general = feedback.agg(F.coalesce(F.count_if(F.col("action") == "yes") / F.count(N), F.lit(0.5))).scalar()
+    general = feedback.agg(F.coalesce(F.count_if(F.col("action") == "yes") / F.count(F.lit(1)), F.lit(0.5))).scalar()
     joined = (
         asked.join(stats.select("company", "total_applications", "success_rate"), "company", "left")
         .withColumn("__c", F.lower(F.trim("company"))).join(past, "__c", "left")
@@ -324,7 +324,7 @@ def predict_relevance(keys: DataFrame, stats: DataFrame, postings: DataFrame, fe
 def personalization_stats(feedback: DataFrame, log: DataFrame) -> DataFrame:
     """``log``: examples_used."""
     used = log.agg(F.count_if(F.coalesce("examples_used", F.lit(0)) > 0)).scalar()
-    return feedback.agg(F.count(N).alias("total_feedback_count")).withColumns({
+    return feedback.agg(F.count(F.lit(1)).alias("total_feedback_count")).withColumns({
         "personalization_active": F.col("total_feedback_count") >= 5, "jobs_scored_with_personalization": used,
         "recent_examples_injected": F.least(F.col("total_feedback_count"), F.lit(5))})
 
@@ -357,12 +357,12 @@ def spend_status(usage: DataFrame, now, daily_cap: float, monthly_cap: float) ->
 def tier_stats(log: DataFrame, day) -> DataFrame:
     """Scored postings and mean latency of a day by tier and model, with subtotals."""
     of_day = log.where(V.day_key("scored_at") == F.date_format(as_of(day), "yyyy-MM-dd"))
-    return of_day.rollup("tier", "model").agg(F.count(N).alias("scored"), F.round(F.avg("seconds"), 2).alias("avg_seconds"))
+    return of_day.rollup("tier", "model").agg(F.count(F.lit(1)).alias("scored"), F.round(F.avg("seconds"), 2).alias("avg_seconds"))
 
 
 def consensus_stats(log: DataFrame, day) -> DataFrame:
     """A20"""
-    out = log.agg(F.count(N).alias("total_verified"), F.count_if(V.day_key("at") == F.date_format(as_of(day), "yyyy-MM-dd")).alias("verified_today"),
+    out = log.agg(F.count(F.lit(1)).alias("total_verified"), F.count_if(V.day_key("at") == F.date_format(as_of(day), "yyyy-MM-dd")).alias("verified_today"),
                   F.count_if(F.col("flag") == "scores_disagree").alias("disputed_count"), F.count_if("consensus").alias("agreed"))
     return out.withColumn("agreement_rate_percent", F.when(F.col("total_verified") > 0, F.round(
         F.col("agreed") / F.col("total_verified") * 100, 1)).otherwise(F.lit(100.0))).drop("agreed")
@@ -371,7 +371,7 @@ def consensus_stats(log: DataFrame, day) -> DataFrame:
 def pattern_health(patterns: DataFrame, revalidations: DataFrame) -> DataFrame:
     """A21"""
     stale = F.coalesce(F.col("status") == "stale", F.lit(False))
-    return patterns.agg(F.count(N).alias("total_patterns"), F.count_if(~stale).alias("active_patterns"),
+    return patterns.agg(F.count(F.lit(1)).alias("total_patterns"), F.count_if(~stale).alias("active_patterns"),
                         F.count_if(stale).alias("stale_patterns")).withColumn("last_revalidation", revalidations.agg(F.max("at")).scalar())
 
 
@@ -382,7 +382,7 @@ def scan_metrics(scan_log: DataFrame) -> DataFrame:
     ok = (F.col("jobs_found") > 0) & F.col("error").isNull()
     last = F.struct("scanned_at", "scan_id")
     return scan_log.groupBy("company_id").agg(
-        F.count(N).alias("total_scans"), F.count_if(ok).alias("successful_scans"),
+        F.count(F.lit(1)).alias("total_scans"), F.count_if(ok).alias("successful_scans"),
         F.coalesce(F.sum(F.when(ok, F.col("jobs_found").cast("long"))), F.lit(0)).alias("jobs_extracted"),
         F.max("scanned_at").alias("last_scan"), F.max_by("method", last).alias("extraction_method"),
         F.max_by("error", F.when(F.col("error").isNotNull(), last)).alias("last_error"),
@@ -403,7 +403,7 @@ def company_target(companies: DataFrame, streaks: DataFrame, additions: DataFram
     recent = additions.where(F.col("finished_at") >= as_of(now) - F.make_dt_interval(F.lit(14))).agg(
         F.coalesce(F.sum(F.size("added")), F.lit(0))).scalar()
     out = companies.join(streaks, "company_id", "left").agg(
-        F.count(N).alias("total_companies"), F.count_if(F.coalesce("total_scans", F.lit(0)) > 0).alias("scanned_at_least_once"),
+        F.count(F.lit(1)).alias("total_companies"), F.count_if(F.coalesce("total_scans", F.lit(0)) > 0).alias("scanned_at_least_once"),
         F.count_if(F.coalesce("jobs_extracted", F.lit(0)) > 0).alias("producing_jobs"), F.count_if(active).alias("fresher_active"))
     total, fa = F.col("total_companies"), F.col("fresher_active")
     need = F.when((total > 0) & (fa / total < target), F.floor((F.lit(target) * total - fa) / (1 - target)) + 1).otherwise(F.lit(0))
@@ -415,9 +415,9 @@ def company_target(companies: DataFrame, streaks: DataFrame, additions: DataFram
 
 def discovery_summary(results: DataFrame) -> DataFrame:
     """Verdicts of one discovery cycle with rejections by reason."""
-    reasons = results.where("status = 'rejected'").groupBy("reason").agg(F.count(N).alias("n")).agg(
+    reasons = results.where("status = 'rejected'").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n"))))).scalar()   # a handful of reasons
-    return results.agg(F.count(N).alias("candidates_probed"), F.count_if(F.col("status") == "verified").alias("verified"),
+    return results.agg(F.count(F.lit(1)).alias("candidates_probed"), F.count_if(F.col("status") == "verified").alias("verified"),
                        F.count_if(F.col("status") == "watchlisted").alias("watchlisted")).withColumn("rejections", reasons)
 
 
@@ -433,7 +433,7 @@ def scan_report(companies: DataFrame, metrics: DataFrame, pool: str = "ats") ->
     joined = companies.join(metrics, "company_id", "left")
     ok = (F.coalesce("successful_scans", F.lit(0)) > 0) & (F.coalesce("jobs_extracted", F.lit(0)) > 0)
     return joined.groupBy(pool).agg(
-        F.count(N).alias("companies"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"),
+        F.count(F.lit(1)).alias("companies"), F.count_if(ok).alias("succeeded"), F.count_if(~ok).alias("failed"),
         F.coalesce(F.sum("jobs_extracted"), F.lit(0)).alias("jobs_extracted"), F.round(F.avg("parsing_accuracy"), 4).alias("mean_accuracy"))
 
 
@@ -472,7 +472,7 @@ def mine_companies(postings: DataFrame, known: DataFrame, limit: int) -> DataFra
     """Frequent new company names among the postings."""
     name = T.strip(F.coalesce("company", F.lit("")))
     counted = postings.select(name.alias("name")).where(
-        F.length("name").between(3, 45) & ~F.col("name").rlike(T.bounded(JUNK_NAMES, "iU"))).groupBy("name").agg(F.count(N).alias("postings"))
+        F.length("name").between(3, 45) & ~F.col("name").rlike(T.bounded(JUNK_NAMES, "iU"))).groupBy("name").agg(F.count(F.lit(1)).alias("postings"))
     fresh = counted.withColumn("__n", F.lower("name")).join(
         known.select(F.lower(F.trim("name")).alias("__n")).distinct(), "__n", "left_anti").drop("__n")
     return fresh.orderBy(F.desc("postings"), "name").limit(limit)
@@ -483,12 +483,12 @@ def mine_companies(postings: DataFrame, known: DataFrame, limit: int) -> DataFra
 def diagnostics(postings: DataFrame, apps: DataFrame, version: str) -> DataFrame:
     """State of the store in one row. ``postings``: id, ...; ``apps``: id."""
     incomplete = F.coalesce(T.blank_to_null("title"), F.lit("")).eqNullSafe("") | T.blank_to_null("company").isNull() | T.blank_to_null("url").isNull()
-    orphans = apps.join(postings.select("id"), "id", "left_anti").agg(F.count(N)).scalar()
-    leaks = postings.join(apps.select("id"), "id", "left_semi").agg(F.count(N)).scalar()
+    orphans = apps.join(postings.select("id"), "id", "left_anti").agg(F.count(F.lit(1))).scalar()
+    leaks = postings.join(apps.select("id"), "id", "left_semi").agg(F.count(F.lit(1))).scalar()
     current = F.col("score").isNotNull() & (F.col("profile_version") == version)
-    total = postings.groupBy("id").agg(F.count(N).alias("n"), F.sum(incomplete.cast("int")).alias("bad"), F.sum(current.cast("int")).alias("cur"),
+    total = postings.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(incomplete.cast("int")).alias("bad"), F.sum(current.cast("int")).alias("cur"),
                                        F.sum(F.col("score").isNotNull().cast("int")).alias("sc")).agg(
-        F.sum("n").alias("total"), F.count(N).alias("unique_ids"), F.sum("bad").alias("incomplete"),
+        F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique_ids"), F.sum("bad").alias("incomplete"),
         F.sum("cur").alias("current_scores"), (F.sum("sc") - F.sum("cur")).alias("stale_scores"))
     return total.withColumns({"duplicates": F.col("total") - F.col("unique_ids"), "orphan_applications": orphans, "applied_in_store": leaks})
 
@@ -496,27 +496,27 @@ def diagnostics(postings: DataFrame, apps: DataFrame, version: str) -> DataFrame
 def digest(postings: DataFrame, apps: DataFrame, history: DataFrame, last_viewed, now, bar: int = 50) -> DataFrame:
     """What is new since the last look."""
     from .filters import followups_due
-    due = followups_due(apps.drop("status").join(last_status(history), "application_id"), now).agg(F.count(N)).scalar()
+    due = followups_due(apps.drop("status").join(last_status(history), "application_id"), now).agg(F.count(F.lit(1))).scalar()
     new = F.col("first_seen").cast("timestamp") > as_of(last_viewed)
     return postings.agg(F.count_if(new).alias("new_jobs_count"), F.count_if(new & (_score() >= bar)).alias("high_matches_count"),
-                        F.count(N).alias("total_jobs")).withColumn("followup_applications_count", due)
+                        F.count(F.lit(1)).alias("total_jobs")).withColumn("followup_applications_count", due)
 
 
 def scoring_progress(postings: DataFrame, version: str) -> DataFrame:
     """A33"""
     scored = F.col("score").isNotNull()
-    return postings.agg(F.count(N).alias("total_jobs"), F.count_if(scored).alias("scored_jobs"), F.count_if(~scored).alias("unscored_jobs"),
+    return postings.agg(F.count(F.lit(1)).alias("total_jobs"), F.count_if(scored).alias("scored_jobs"), F.count_if(~scored).alias("unscored_jobs"),
                         F.count_if(scored & (F.col("profile_version") == version)).alias("current_version"))
 
 
 def migration_report(landed: DataFrame, valid: DataFrame, unique: DataFrame, remapped: DataFrame, version: str) -> DataFrame:
     """``remapped``: result of remap_ids."""
     stale = valid.agg(F.count_if(F.col("score").isNotNull() & (F.col("profile_version") != version))).scalar()
-    count = unique.agg(F.count(N)).scalar()
-    apps = remapped.agg(F.count(N)).scalar()
+    count = unique.agg(F.count(F.lit(1))).scalar()
+    apps = remapped.agg(F.count(F.lit(1))).scalar()
     orphans = remapped.agg(F.count_if("orphan")).scalar()
     return landed.agg(
-        F.count(N).alias("total_raw"), F.count_if(T.blank_to_null("company").isNull()).alias("missing_company"),
+        F.count(F.lit(1)).alias("total_raw"), F.count_if(T.blank_to_null("company").isNull()).alias("missing_company"),
         F.count_if(T.blank_to_null("title").isNull()).alias("missing_title"),
         F.count_if(F.length(F.trim(F.coalesce("url", F.lit("")))) < 5).alias("invalid_url"),
     ).withColumns({"stale_scores": stale, "unique_canonical": count, "migrated_applications": apps, "orphan_applications": orphans})
@@ -524,7 +524,7 @@ def migration_report(landed: DataFrame, valid: DataFrame, unique: DataFrame, rem
 
 def location_facets(postings: DataFrame) -> DataFrame:
     """Postings per place after alias folding."""
-    return postings.groupBy(T.clean_location("location").alias("place")).agg(F.count(N).alias("postings"))
+    return postings.groupBy(T.clean_location("location").alias("place")).agg(F.count(F.lit(1)).alias("postings"))
 
 
 def keyword_history(log: DataFrame, terms: DataFrame) -> DataFrame:
