@@ -12,7 +12,7 @@ from ..plans import cycles as Y
 from ..session import scratch_path
 from ..streaming import jobs as ST
 from .base import query
-from .filtering import NOW, TRIALS_SQL, trials
+from .filtering import TRIALS_SQL, trials
 from .joining import FB_SQL, titled_feedback
 from .reports import FM_SQL, PROFILE, SCORED, SCORED_STORE, STREAK_SQL, filter_metrics
 from .text_fields import ts
@@ -25,12 +25,12 @@ UQ_SCORED = SCORED.replace("FROM postings) p)", "FROM uq) p)")
 
 
 @query("q2_search_cycle", f"""WITH {Q_UNIQUE}, {UQ_SCORED}, x AS (SELECT *, coalesce(score, local_score) AS s FROM scored),
-kk AS (SELECT *, date_diff('second', seen, {NOW}) / 3600.0 AS age FROM x WHERE s >= 20 AND date_diff('second', seen, {NOW}) <= 60 * 24 * 3600),
+kk AS (SELECT *, date_diff('second', seen, TIMESTAMP '1999-06-15 00:00:00') / 3600.0 AS age FROM x WHERE s >= 20 AND date_diff('second', seen, TIMESTAMP '1999-06-15 00:00:00') <= 60 * 24 * 3600),
 u AS (SELECT CASE WHEN count(*) FILTER (age <= 24) >= 10 THEN 24 ELSE 72 END AS used FROM kk)
 SELECT native_id, s AS score FROM kk, u WHERE age <= used""", "pid")
 def q2(t):
     mine = [t.postings.where(F.col("source") == s) for s in ("greenhouse", "lever", "shine", "adzuna", "web")]
-    r = Y.search_cycle(mine, t.store, t.store.limit(0).select("id"), PROFILE, A.NOW, 20, [], [], 24 * 60)
+    r = Y.search_cycle(mine, t.store, t.store.limit(0).select("id"), PROFILE, "1999-06-15 00:00:00", 20, [], [], 24 * 60)
     return r.curated.select("native_id", "score")
 
 
