@@ -13,7 +13,7 @@ def local_session(cpus: int | str = 8, memory: str = "12g") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
