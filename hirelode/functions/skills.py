@@ -37,7 +37,7 @@ def extract_skills(text) -> Column:
     named = F.transform(
         F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 0)), lambda s: F.element_at(display, s))
     contextual = [
-        F.when(t.rlike(rf"(?U)\b(?:{body})(?:$|\s|\b)"), F.lit(skill))
+        F.when(_holds_any(t, rules.CONTEXT_ANCHORS[skill]) & t.rlike(rf"(?U)\b(?:{body})(?:$|\s|\b)"), F.lit(skill))
         for skill, body in rules.CONTEXT_SKILLS.items()]
     # a plain substring search is far cheaper than the pattern and rules most texts out
     rescued = [
@@ -65,7 +65,7 @@ def classify_role(title, description) -> Column:
     """struct(score, category); the first rule that applies decides."""
     t = F.upper(F.coalesce(_c(title), F.lit("")))
     d = F.upper(F.coalesce(_c(description), F.lit("")))
-    supportive = d.rlike(bounded(any_of(rules.SUPPORT_TEXT))) & ~d.rlike(bounded(any_of(rules.ENGINEERING_TEXT)))
+    supportive = _holds_any(d, rules.SUPPORT_ANCHORS) & d.rlike(bounded(any_of(rules.SUPPORT_TEXT))) & ~d.rlike(bounded(any_of(rules.ENGINEERING_TEXT)))
 
     def verdict(score, category: str) -> Column:
         return F.struct(
@@ -98,11 +98,12 @@ def seniority(title, description) -> Column:
     t = F.upper(F.coalesce(_c(title), F.lit("")))
     d = F.upper(F.coalesce(_c(description), F.lit("")))
     nt = F.regexp_replace(t, r"[^A-Z0-9\+]", " ")
-    nd = F.regexp_replace(d, r"[^A-Z0-9\+]", " ")
+    # every wording of a required span has this word; other texts need no rewriting
+    nd = F.when(d.contains("YEARS"), F.regexp_replace(d, r"[^A-Z0-9\+]", " ")).otherwise(F.lit(""))
     executive = nt.rlike(bounded("|".join(rules.EXECUTIVE_TITLE))) | nd.rlike(bounded("|".join(rules.EXECUTIVE_TEXT)))
     senior = executive | nt.rlike(bounded("|".join(rules.SENIOR_TITLE))) | nd.rlike(bounded("|".join(rules.SENIOR_TEXT)))
     both = F.concat(t, F.lit(" "), d)
-    entry = both.rlike(bounded("|".join(rules.ENTRY_TEXT))) | t.contains("INTERN")
+    entry = (_holds_any(both, rules.ENTRY_ANCHORS) & both.rlike(bounded("|".join(rules.ENTRY_TEXT)))) | t.contains("INTERN")
     return F.struct(executive.alias("executive"), senior.alias("senior"), entry.alias("entry"))
 
 
