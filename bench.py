@@ -10,9 +10,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "q1_build_feed", "d1_dedup_exact", "d2_dedup_near", "c4_score_local", "c6_score_hybrid", "k3_merge_store",
-    "j11_duplicate_applications", "a4_company_stats", "a16_predict_relevance", "a31_scan_metrics", "w5_prior_avg_yield",
-    "w7_failure_backoff", "o7_select_examples", "v4_knn", "s4_normalize_greenhouse", "p7_normalize_postings",
+    "q1_build_feed", "d1_dedup_exact", "d2_dedup_near", "c4_score_local", "k3_merge_store",
+    "j11_duplicate_applications", "a4_company_stats", "a31_scan_metrics", "w5_prior_avg_yield",
+    "w7_failure_backoff", "v4_knn", "s4_normalize_greenhouse",
 ]
 
 

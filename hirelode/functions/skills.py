@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import _c, any_of, bounded, has_any, strip
+from .text import _c, any_of, bind, bounded, has_any, strip
 
 
 def _skill_map(pairs: dict[str, str]) -> Column:
@@ -28,7 +28,10 @@ def extract_skills(text) -> Column:
     All skills with an unambiguous name are found in one pass of one
     alternation; the ambiguous ones and the rescue spellings need a test each.
     """
-    t = F.upper(F.coalesce(_c(text), F.lit("")))
+    return bind(F.upper(F.coalesce(_c(text), F.lit(""))), _skills_in)
+
+
+def _skills_in(t: Column) -> Column:
     plain = [s for s in rules.KNOWN_SKILLS if s not in rules.CONTEXT_SKILLS]
     wordy = [s.upper() for s in plain if s[-1].isalnum()]
     symbol = [s.upper() for s in plain if not s[-1].isalnum()]
@@ -63,8 +66,11 @@ def matched_missing(job_skills, profile_skills) -> Column:
 
 def classify_role(title, description) -> Column:
     """struct(score, category); the first rule that applies decides."""
-    t = F.upper(F.coalesce(_c(title), F.lit("")))
-    d = F.upper(F.coalesce(_c(description), F.lit("")))
+    return bind(F.upper(F.coalesce(_c(description), F.lit(""))), lambda d: bind(
+        F.upper(F.coalesce(_c(title), F.lit(""))), lambda t: _role_of(t, d)))
+
+
+def _role_of(t: Column, d: Column) -> Column:
     supportive = _holds_any(d, rules.SUPPORT_ANCHORS) & d.rlike(bounded(any_of(rules.SUPPORT_TEXT))) & ~d.rlike(bounded(any_of(rules.ENGINEERING_TEXT)))
 
     def verdict(score, category: str) -> Column:
@@ -95,8 +101,11 @@ def classify_role(title, description) -> Column:
 
 def seniority(title, description) -> Column:
     """struct(executive, senior, entry) on text whose separators are blanks."""
-    t = F.upper(F.coalesce(_c(title), F.lit("")))
-    d = F.upper(F.coalesce(_c(description), F.lit("")))
+    return bind(F.upper(F.coalesce(_c(description), F.lit(""))), lambda d: bind(
+        F.upper(F.coalesce(_c(title), F.lit(""))), lambda t: _seniority_of(t, d)))
+
+
+def _seniority_of(t: Column, d: Column) -> Column:
     nt = F.regexp_replace(t, r"[^A-Z0-9\+]", " ")
     # every wording of a required span has this word; other texts need no rewriting
     nd = F.when(d.contains("YEARS"), F.regexp_replace(d, r"[^A-Z0-9\+]", " ")).otherwise(F.lit(""))
