@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import table
+from . import mixing, quality, sharding
+from .common import held_out, table
 
 QUERIES = {}
 ORACLES = {}
@@ -39,3 +39,12 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_shard"] = sharding.ORACLE
+
+
+@register
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "score", keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= quality.ACCEPT, 1).otherwise(0).cast("int").alias("predicted"))
