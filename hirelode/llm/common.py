@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelode.session import BROADCAST_ROWS
+
 # A word is a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,3 +31,8 @@ def held_out(doc_id: Column) -> Column:
 def unit_hash(*columns: Column) -> Column:
     """A reproducible number in (0, 1) from the 64-bit hash of the columns."""
     return (F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") + 0.5) / float(1 << 53)
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a stored side of at most ``rows`` rows; a longer one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -18,6 +18,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+MARKS = np.ones(256, dtype=bool)      # every ASCII byte but letters and digits parts words
+MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 _rng = np.random.default_rng(20240131)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 GRAM_VALUE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
@@ -64,8 +66,11 @@ def batch_slices(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int,
         at = to
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of every word, and the number of words before each text (one more than texts)."""
+def words(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of every word, and the number of words before each text (one more than texts).
+
+    ``apart`` marks the bytes that part words; with MARKS, accented capitals are folded too.
+    """
     starts, ends, hashes = [], [], []
     edges = offsets[1:-1]
     inverse = pow(_BASE, -1, 1 << 64)
@@ -73,16 +78,19 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     while at < len(raw):
         to = min(len(raw), at + PIECE)
         if to < len(raw):                                  # end a piece at a space or between texts, never inside a word
-            back = np.flatnonzero(SPACE[raw[at:to]])
+            back = np.flatnonzero(apart[raw[at:to]])
             between = int(np.searchsorted(offsets, to, side="right")) - 1
             stop = max(at + int(back[-1]) + 1 if len(back) else 0, int(offsets[between]))
             if stop <= at:
-                ahead = np.flatnonzero(SPACE[raw[to:]])
+                ahead = np.flatnonzero(apart[raw[to:]])
                 following = offsets[offsets > to]
                 stop = min(to + int(ahead[0]) if len(ahead) else len(raw), int(following[0]) if len(following) else len(raw))
             to = stop
         piece = FOLD[raw[at:to]]
-        inside = ~SPACE[piece]
+        if apart is MARKS:                                 # also the accented capitals of Latin-1 (two bytes in UTF-8)
+            accented = np.flatnonzero((piece[:-1] == 0xC3) & (piece[1:] >= 0x80) & (piece[1:] <= 0x9E) & (piece[1:] != 0x97)) + 1
+            piece[accented] += 32
+        inside = ~apart[piece]
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]

@@ -11,7 +11,8 @@ closes it.
 
 Nothing gathers a source in one task: sums by key range find the range in which
 the budget ends, twice, and only rows of that narrow range are put in order.  The
-decision is one cut per source, so rows are marked without a shuffle of texts.
+decision is one cut per source, so rows are marked without a shuffle of texts
+(sources up to a checked number are broadcast).
 
 Defined results: null or empty texts have size 0 and are taken 0 words; a source
 of size 0 has target 0; the null source comes last; a null id or weight takes
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage, with_global_rank
 
-from .common import unit_hash, word_count
+from .common import if_small, unit_hash, word_count
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
@@ -65,9 +66,16 @@ def _ending(sums: DataFrame, part: str) -> DataFrame:
         .select("__src", F.col(f"__at.{part}").alias(f"{part}_end"), F.col("__at.__before").alias("__before")))
 
 
-def plan_mix(docs: DataFrame, doc_weight: Column | None = None, weights: tuple = WEIGHTS, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
+def prose_share(text: Column) -> Column:
+    """Quality weight of a text: the square of its share of lower-case letters, spaces and plain punctuation."""
+    plain = F.char_length(F.regexp_replace(text, r"[^\p{Ll}\s.,]+", "")) / F.greatest(F.char_length(text), F.lit(1))
+    return F.coalesce((F.lit(0.1) + plain) * (F.lit(0.1) + plain), F.lit(1.0))
+
+
+def plan_mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | None = None, weights: tuple = WEIGHTS,
+             limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """One row per source: size, target, epochs and the cut of its fractional epoch."""
-    keyed = cut_lineage(docs.select(*_keys(doc_weight, seed)))
+    keyed = cut_lineage(docs.select(*_keys(doc_weight, size, seed)))
     by_source = cut_lineage(keyed.groupBy("__src", "__null", "__name").agg(F.sum("__size").alias("size")))
     ranked = with_global_rank(by_source, F.col("__null"), F.col("__name"), F.col("__src"), name="__rank")
     named = cut_lineage(ranked.withColumn(
@@ -78,15 +86,17 @@ def plan_mix(docs: DataFrame, doc_weight: Column | None = None, weights: tuple =
         .withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0))
         .withColumn("__left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("size")))
         .select("__src", "size", "target", "epochs", "__left"))
-    open_ = goal.where(F.col("__left") > 0)
+    open_ = if_small(goal.where(F.col("__left") > 0))
     coarse = _ending(
         keyed.groupBy("__src", "__wide").agg(F.sum("__size").alias("__words")).join(open_, "__src"), "__wide")
+    coarse = if_small(cut_lineage(coarse))
     inside = keyed.join(coarse, "__src").where(F.col("__wide") == F.col("__wide_end"))
     fine = _ending(
         inside.groupBy("__src", "__thin").agg(F.sum("__size").alias("__words"), F.first("__before").alias("__base"))
         .join(open_, "__src").withColumn("__left", F.col("__left") - F.col("__base")), "__thin")
     fine = cut_lineage(coarse.withColumnRenamed("__before", "__base").join(fine, "__src").select(
         "__src", "__thin_end", (F.col("__base") + F.col("__before")).alias("__base")))
+    fine = if_small(fine)
     # rows of one thin range, a millionth of the source: short enough to order
     units = (
         keyed.join(fine, "__src").where(F.col("__thin") == F.col("__thin_end"))
@@ -100,7 +110,7 @@ def plan_mix(docs: DataFrame, doc_weight: Column | None = None, weights: tuple =
         fine.join(last, "__src", "left").join(open_, "__src")
         .select("__src", "__thin_end", "__last", (F.col("__left") - F.coalesce("__used", "__base")).alias("__gap")))
     filler = (
-        keyed.join(cut, "__src").where(~_chosen() & (F.col("__size") > 0))
+        keyed.join(if_small(cut), "__src").where(~_chosen() & (F.col("__size") > 0))
         .groupBy("__src", "__gap")
         .agg(F.min(F.struct(F.abs(F.col("__size") - F.col("__gap")).alias("miss"), "__key", "__id")).alias("__best"))
         .where(F.col("__best.miss") < F.col("__gap"))
@@ -110,7 +120,7 @@ def plan_mix(docs: DataFrame, doc_weight: Column | None = None, weights: tuple =
         "__thin_end", "__last", "__filler"))
 
 
-def _keys(doc_weight: Column | None, seed: int) -> list[Column]:
+def _keys(doc_weight: Column | None, size: Column | None, seed: int) -> list[Column]:
     source, doc_id = F.col("source").cast("string"), F.col("doc_id").cast("string")
     weight = F.lit(1.0) if doc_weight is None else F.coalesce(doc_weight.cast("double"), F.lit(1.0))
     key = -F.log(unit_hash(doc_id, F.lit(seed))) / F.greatest(weight, F.lit(1e-6))
@@ -118,7 +128,7 @@ def _keys(doc_weight: Column | None, seed: int) -> list[Column]:
     return [
         F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source)).alias("__src"),
         source.isNull().alias("__null"), source.alias("__name"), F.coalesce(doc_id, F.lit("")).alias("__id"),
-        word_count(F.col("text")).alias("__size"), key.alias("__key"),
+        (word_count(F.col("text")) if size is None else size.cast("long")).alias("__size"), key.alias("__key"),
         F.floor(spread * RANGES).alias("__wide"), F.floor(spread * (RANGES * RANGES)).alias("__thin")]
 
 
@@ -129,10 +139,11 @@ def _chosen() -> Column:
     return F.coalesce(before, F.lit(False))
 
 
-def mix(docs: DataFrame, doc_weight: Column | None = None, weights: tuple = WEIGHTS, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | None = None, weights: tuple = WEIGHTS,
+        limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_copies`` and ``mix_taken``."""
-    plan = plan_mix(docs, doc_weight, weights, limit, seed)
-    marked = docs.select("*", *_keys(doc_weight, seed)).join(plan, "__src")
+    plan = plan_mix(docs, doc_weight, size, weights, limit, seed)
+    marked = docs.select("*", *_keys(doc_weight, size, seed)).join(if_small(plan), "__src")
     filler = F.coalesce(F.struct("__key", "__id") == F.col("__filler"), F.lit(False))
     copies = F.col("__epochs") + F.when(_chosen() | filler, 1).otherwise(0)
     return marked.select(

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, quality, sharding
-from .common import held_out, table
+from hirelode.session import cut_lineage
+
+from . import decontaminate, html_text, mixing, quality, sharding
+from .common import held_out, table, word_count
 
 QUERIES = {}
 ORACLES = {}
@@ -17,18 +19,11 @@ def register(fn):
     return fn
 
 
-def label_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality weight of labelled documents: 2 for good, 0.5 for bad; one row for each id."""
-    return (
-        table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy("doc_id").agg(F.when(F.avg("quality") >= 0.5, 2.0).otherwise(0.5).alias("__weight")))
-
-
 @register
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    weighted = docs.join(label_weight(spark, sf_dir), "doc_id", "left")
-    return mixing.mix(weighted, F.col("__weight")).select(
+    docs = cut_lineage(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", word_count(F.col("text")).alias("words"), mixing.prose_share(F.col("text")).alias("weight")))
+    return mixing.mix(docs, F.col("weight"), F.col("words")).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
@@ -54,3 +49,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+@register
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
