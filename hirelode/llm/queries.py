@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from . import decontaminate, html_text, mixing, quality, sharding
+from . import decontaminate, html_text, language, mixing, quality, sharding
 from .common import held_out, table, word_count
 
 QUERIES = {}
@@ -54,3 +54,10 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.learn(docs), keep=["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
