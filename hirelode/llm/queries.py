@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from . import decontaminate, html_text, language, mixing, quality, sharding
+from . import decontaminate, html_text, language, mixing, pii, quality, sharding
 from .common import held_out, table, word_count
 
 QUERIES = {}
@@ -61,3 +61,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.predict(docs, language.learn(docs), keep=["doc_id"]).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.train(pii.labelled_lines(docs)))
