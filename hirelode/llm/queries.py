@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from . import decontaminate, html_text, language, mixing, pii, quality, sharding
+from . import decontaminate, html_text, language, mixing, neighbours, pii, quality, sharding
 from .common import held_out, table, word_count
 
 QUERIES = {}
@@ -67,3 +67,8 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(docs, pii.train(pii.labelled_lines(docs)))
+
+
+@register
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
