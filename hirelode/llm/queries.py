@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from . import decontaminate, html_text, language, mixing, neighbours, pii, quality, sharding
+from . import decontaminate, html_text, jaccard, language, mixing, neighbours, pii, quality, sharding
 from .common import held_out, table, word_count
 
 QUERIES = {}
@@ -72,3 +72,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@register
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
