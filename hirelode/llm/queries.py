@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from . import decontaminate, html_text, jaccard, language, mixing, neighbours, pii, quality, sharding
+from . import decontaminate, html_text, jaccard, language, line_dedup, mixing, neighbours, pii, quality, sharding
 from .common import held_out, table, word_count
 
 QUERIES = {}
@@ -77,3 +77,9 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
