@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from hirelode.session import cut_lineage
 
 from . import grams
+from .common import if_small
 from .components import components
 
 WORDS = 4
@@ -45,6 +46,7 @@ BITS = 1024           # of a bitmap
 SIFT = 1 << 26        # bits of the filter for documents with candidates
 TILE = 512
 LIKELY = 4
+IDS = 1_000_000        # ids of this many rows at most are broadcast (eight bytes each)
 PAIRS = 100_000       # pairs compared at a time in a task
 U = np.uint64
 
@@ -323,3 +325,19 @@ def join(docs: DataFrame, name: str = "doc_id", size: int = WORDS, share: int =
     return every.join(named, "key", "left").select(
         F.col("id").alias(name), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, name: str = "doc_id", **options) -> DataFrame:
+    """The documents, with all their columns: of every component the one with the smallest id.
+
+    Texts without words and rows without an id stay; of repeated ids one row stays.
+    """
+    found = cut_lineage(join(docs, name, **options).where(F.col(name).isNotNull()))
+    gone = if_small(cut_lineage(found.where(F.col(name) != F.col("component_id")).select(name).distinct()), IDS)
+    again = cut_lineage(found.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(name))
+    kept = docs.join(gone, name, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    again = if_small(again, IDS)
+    return kept.join(again, name, "left_anti").select(*docs.columns).unionAll(
+        kept.join(again, name, "left_semi").select(*docs.columns).dropDuplicates([name]))
