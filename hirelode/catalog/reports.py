@@ -356,8 +356,9 @@ def w13(t):
 # --- orders ------------------------------------------------------------------
 
 def placed(df, *cols):
-    """Ranks of an ordered result, to check the order itself."""
-    return df.limit(200).select(*cols).withColumn("__o", F.monotonically_increasing_id())
+    """All rows of an ordered result with their ranks, to check the order itself."""
+    from ..session import with_global_rank
+    return with_global_rank(df.select(*cols).withColumn("__o", F.monotonically_increasing_id()), F.col("__o")).drop("__o")
 
 
 @query("o1_sort_feed", "SELECT native_id, row_number() OVER (ORDER BY coalesce(score, 0) DESC, id) AS rank FROM store", "store")
@@ -366,14 +367,14 @@ def o1(t):
     return with_global_rank(t.store.withColumn("s", -F.coalesce("score", F.lit(0))), F.col("s"), F.col("id")).select("native_id", "rank")
 
 
-@query("o1_sort_feed_recent", "SELECT native_id FROM store ORDER BY first_seen DESC, id LIMIT 50", "store")
+@query("o1_sort_feed_recent", "SELECT native_id, row_number() OVER (ORDER BY first_seen DESC, id) AS rank FROM store", "store")
 def o1b(t):
-    return O.sort_feed(t.store, "recent").limit(50).select("native_id")
+    return placed(O.sort_feed(t.store, "recent"), "native_id")
 
 
-@query("o1_sort_feed_salary", "SELECT native_id FROM store ORDER BY CASE WHEN salary_text LIKE 'INR%' THEN 600000 WHEN salary_text LIKE '8%' THEN 800000 END DESC NULLS LAST, id LIMIT 50", "store")
+@query("o1_sort_feed_salary", "SELECT native_id, row_number() OVER (ORDER BY CASE WHEN salary_text LIKE 'INR%' THEN 600000 WHEN salary_text LIKE '8%' THEN 800000 END DESC NULLS LAST, id) AS rank FROM store", "store")
 def o1c(t):
-    return O.sort_feed(t.store, "salary").limit(50).select("native_id")
+    return placed(O.sort_feed(t.store, "salary"), "native_id")
 
 
 TIER_SQL = r"""CASE WHEN contains(x, 'gurugram') OR contains(x, 'bangalore') THEN 0 WHEN contains(x, 'delhi') OR contains(x, 'noida') THEN 1 WHEN contains(x, 'remote') OR contains(x, 'india') THEN 2 ELSE 3 END"""
@@ -381,9 +382,9 @@ TIER_SQL = r"""CASE WHEN contains(x, 'gurugram') OR contains(x, 'bangalore') THE
 
 @query("o2_priority_sort", f"""
 WITH x AS (SELECT *, CASE WHEN location = '' THEN lower(title || ' ' || company || ' ' || description) ELSE lower(location || ' ' || title) END AS x FROM store)
-SELECT native_id, {TIER_SQL} AS location_priority FROM x ORDER BY floor(coalesce(score, 0) / 5) DESC, location_priority, coalesce(score, 0) DESC, first_seen, id LIMIT 100""", "store")
+SELECT native_id, {TIER_SQL} AS location_priority, row_number() OVER (ORDER BY floor(coalesce(score, 0) / 5) DESC, {TIER_SQL}, coalesce(score, 0) DESC, first_seen, id) AS rank FROM x""", "store")
 def o2(t):
-    return O.priority_sort(t.store, [["Gurugram", "Bangalore"], ["Delhi", "Noida"], ["Remote", "India"]]).limit(100).select("native_id", "location_priority")
+    return placed(O.priority_sort(t.store, [["Gurugram", "Bangalore"], ["Delhi", "Noida"], ["Remote", "India"]]), "native_id", "location_priority")
 
 
 STATS_SQL = f"""{LATENCY_SQL},
@@ -412,10 +413,11 @@ def a4(t):
 
 
 @query("o3_affinity_sort", f"""WITH {STATS_SQL}
-SELECT native_id, CAST(coalesce(score, 50) + coalesce(CASE WHEN total_applications = 0 THEN 0 WHEN success_rate >= 0.5 THEN 35 WHEN success_rate > 0 THEN 20 WHEN rejected = total_applications THEN -5 ELSE 10 END, 0) AS DOUBLE) AS affinity
-FROM store LEFT JOIN stats USING (company) ORDER BY affinity DESC, coalesce(score, 50) DESC, company, id LIMIT 100""", "store postings applications status_history")
+SELECT native_id, affinity, row_number() OVER (ORDER BY affinity DESC, coalesce(score, 50) DESC, company, id) AS rank FROM (
+SELECT *, CAST(coalesce(score, 50) + coalesce(CASE WHEN total_applications = 0 THEN 0 WHEN success_rate >= 0.5 THEN 35 WHEN success_rate > 0 THEN 20 WHEN rejected = total_applications THEN -5 ELSE 10 END, 0) AS DOUBLE) AS affinity
+FROM store LEFT JOIN stats USING (company))""", "store postings applications status_history")
 def o3(t):
-    return O.affinity_sort(t.store, stats(t)).limit(100).select("native_id", "affinity")
+    return placed(O.affinity_sort(t.store, stats(t)), "native_id", "affinity")
 
 
 @query("o4_top_feed", "SELECT native_id FROM store ORDER BY coalesce(score, 0) DESC, id LIMIT 20", "store")
@@ -477,9 +479,9 @@ def o12(t):
     return O.top(t.cycles, 20, F.desc("started_at")).select(ts("started_at").alias("started_at"))
 
 
-@query("o13_sort_verified_first", "SELECT native_id FROM store ORDER BY (tier <= 2 AND score IS NOT NULL) DESC, coalesce(score, 0) DESC, id LIMIT 1500", "store")
+@query("o13_sort_verified_first", "SELECT native_id, row_number() OVER (ORDER BY (tier <= 2 AND score IS NOT NULL) DESC, coalesce(score, 0) DESC, id) AS rank FROM store", "store")
 def o13(t):
-    return O.sort_verified_first(t.store).limit(1500).select("native_id")
+    return placed(O.sort_verified_first(t.store), "native_id")
 
 
 # --- vectors -----------------------------------------------------------------

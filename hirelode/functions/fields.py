@@ -20,16 +20,21 @@ def numeric_score(col, default: int = rules.DEFAULT_SCORE) -> Column:
 
 
 def parse_salary(col) -> Column:
-    """struct(low, high) in INR from free text: amounts with L/LPA/k units."""
+    """struct(low, high) in INR from free text: amounts with L/LPA/k units.
+
+    An amount without a unit takes the one of the other end of the range.
+    """
     t = F.lower(F.coalesce(_c(col), F.lit("")))
-    found = F.regexp_extract_all(t, F.lit(r"(\d[\d,]*(?:\.\d+)?)"), 1)
-    unit = F.when(t.rlike(r"\d\s*(?:l|lpa|lakhs?|lacs?)\b"), F.lit(100000)) \
-        .when(t.rlike(r"\d\s*k\b"), F.lit(1000)).otherwise(F.lit(1))
-    per_year = F.when(t.rlike(r"month"), F.lit(12)).otherwise(F.lit(1))
+    pair = r"(\d[\d,]*(?:\.\d+)?)(?:\s*(lpa|lakhs?|lacs?|l|k)\b)?"
+    found, units = F.regexp_extract_all(t, F.lit(pair), 1), F.regexp_extract_all(t, F.lit(pair), 2)
+    per_year = F.when(t.rlike(r"(?:\bper|\ba|/)\s*month\b|\bmonthly\b"), F.lit(12)).otherwise(F.lit(1))
 
     def amount(i: int) -> Column:
-        raw = F.replace(F.get(found, F.lit(i)), F.lit(","), F.lit("")).cast("decimal(18,2)")
-        return (raw * unit * per_year).cast("decimal(18,2)")
+        own, other = (F.nullif(F.get(units, F.lit(k)), F.lit("")) for k in (i, 1 - i))
+        unit = F.coalesce(own, other, F.lit(""))
+        times = F.when(unit == "k", F.lit(1000)).when(unit != "", F.lit(100000)).otherwise(F.lit(1))
+        raw = F.replace(F.get(found, F.lit(i)), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+        return (raw * times * per_year).try_cast("decimal(18,2)")
 
     return F.struct(
         amount(0).alias("low"),
@@ -124,7 +129,7 @@ def min_experience_years(*texts) -> Column:
     text = F.concat_ws(" ", *[F.coalesce(_c(t), F.lit("")) for t in texts])
     hits = F.flatten(F.array(*[
         F.regexp_extract_all(text, F.lit(f"(?iU){p}"), 1) for p in rules.EXPERIENCE_PATTERNS]))
-    return F.array_min(F.transform(hits, lambda h: h.cast("int")))
+    return F.array_min(F.transform(hits, lambda h: h.try_cast("int")))
 
 
 def max_user_years(terms) -> Column:
@@ -138,7 +143,7 @@ def max_user_years(terms) -> Column:
             F.regexp_extract_all(s, F.lit(r"(?U)\d{1,2}\s*(?:-|–|to)\s*(\d{1,2})"), 1),
             F.regexp_extract_all(s, F.lit(r"(?U)^(\d{1,2})\s*years?"), 1)))
 
-    return F.array_max(F.transform(F.flatten(F.transform(_c(terms), limits)), lambda x: x.cast("int")))
+    return F.array_max(F.transform(F.flatten(F.transform(_c(terms), limits)), lambda x: x.try_cast("int")))
 
 
 def is_stub(description) -> Column:

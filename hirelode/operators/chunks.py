@@ -1,56 +1,49 @@
-"""Chunking of profile texts: paragraphs, sentences, words packed with overlap."""
+"""Chunking of profile texts: units found by ever finer splitters, cut into chunks by running sizes."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-
-
-def _units(text: str, size: int):
-    """Paragraphs, or their sentences, or runs of words, none longer than ``size`` unless one word is."""
-    for part in (p.strip() for p in text.split("\n")):
-        if len(part) <= size:
-            pieces = [part]
-        else:
-            pieces = [s.strip() for s in _SENTENCE.split(part)]
-        for piece in pieces:
-            if len(piece) <= size:
-                if piece:
-                    yield piece
-                continue
-            run, used = [], 0
-            for word in piece.split():
-                if used + len(word) + 1 > size:
-                    yield " ".join(run)
-                    run, used = [word], len(word)
-                else:
-                    run.append(word)
-                    used += len(word) + 1
-            if run:
-                yield " ".join(run)
+# From coarse to fine: lines, sentences, words.  Words are joined again as far as they fit.
+SPLITTERS = [re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+")]
+
+
+def _cuts(size: np.ndarray, room: int, overlap: int = 0) -> list[tuple[int, int]]:
+    """Ranges of items that fill ``room``; each range reaches back over at most ``overlap`` of the one before.
+
+    Ends are found in the running sizes; an item larger than the room is a range of its own.
+    """
+    upto = np.concatenate([[0], np.cumsum(size)])
+    ranges, begin, fresh = [], 0, 0
+    while fresh < len(size):
+        end = max(fresh + 1, int(np.searchsorted(upto, upto[begin] + room, side="right")) - 1)
+        ranges.append((begin, end))
+        begin, fresh = max(begin, int(np.searchsorted(upto, upto[end] - overlap, side="left"))), end
+    return ranges
+
+
+def _units(text: str, size: int, level: int = 0) -> list[str]:
+    """The parts of a text that fit ``size``, by the coarsest splitter that makes them fit."""
+    parts = [p for p in (x.strip() for x in SPLITTERS[level].split(text)) if p]
+    if level + 1 < len(SPLITTERS):
+        return [u for p in parts for u in ([p] if len(p) <= size else _units(p, size, level + 1))]
+    if not parts:
+        return []
+    # a blank counts with every word of the first run, and between the words of later ones
+    width = np.array([len(p) + 1 for p in parts])
+    first = _cuts(width, size)[0][1]
+    return [" ".join(parts[:first])] + [" ".join(parts[first + a:first + b]) for a, b in _cuts(width[first:], size + 1)]
 
 
 def chunk_text(text: str | None, size: int = 600, overlap: int = 100) -> list[str]:
-    """Units packed up to ``size``; a new chunk starts with the last units of the one before, up to ``overlap``."""
-    out, held, used = [], [], 0
-    for unit in _units(text or "", size):
-        if held and used + len(unit) + 1 > size:
-            out.append(" ".join(held))
-            tail, carried = [], 0
-            for u in reversed(held):
-                if carried + len(u) + 1 > overlap:
-                    break
-                tail.insert(0, u)
-                carried += len(u) + 1
-            held, used = tail, carried
-        held.append(unit)
-        used += len(unit) + 1
-    return out + [" ".join(held)] if held else out
+    """Chunks of up to ``size`` letters; a chunk starts with the last units of the one before, up to ``overlap``."""
+    units = _units(text or "", size)
+    return [" ".join(units[a:b]) for a, b in _cuts(np.array([len(u) + 1 for u in units], dtype=int), size, overlap)]
 
 
 def chunk(df: DataFrame, key: str, text: str, size: int = 600, overlap: int = 100) -> DataFrame:

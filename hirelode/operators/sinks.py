@@ -85,8 +85,8 @@ def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def snapshot(df: DataFrame, path: str, name: str) -> None:
-    """K7: a dated copy next to the earlier ones."""
-    df.withColumn("snapshot", F.lit(name)).write.mode("append").partitionBy("snapshot").parquet(path)
+    """K7: a dated copy next to the earlier ones; the same name again replaces its copy."""
+    df.withColumn("snapshot", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot").parquet(path)
 
 
 def write_curated(df: DataFrame, meta: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side is broadcast by hint only when its size is fixed or was checked against this.
@@ -61,10 +61,9 @@ def with_global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataF
         .withColumn("__row_pos", F.monotonically_increasing_id()))
     part = F.shiftright("__row_pos", 33)
     sizes = placed.groupBy(part.alias("__row_part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = (
-        sizes.alias("a").join(sizes.alias("b"), F.col("b.__row_part") < F.col("a.__row_part"), "left")
-        .groupBy(F.col("a.__row_part").alias("__row_part"))
-        .agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before")))
+    # one row for each partition: its running sum needs no shuffle of the data
+    order = Window.orderBy("__row_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__row_part", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
     # one row per partition of the frame: bounded by the partition count
     return (
         placed.withColumn("__row_part", part)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -19,7 +20,12 @@ STORE_SCHEMA = """id string, company string, title string, location string, url
 def read_store(spark: SparkSession, path: str, schema: str = STORE_SCHEMA) -> DataFrame:
     """Postings of JSON stores ({"jobs": [...]}); a missing or broken store is empty."""
     jobs = T_.StructType([T_.StructField("jobs", T_.ArrayType(T_._parse_datatype_string(schema)))])
-    raw = spark.read.schema(jobs).option("multiLine", True).option("mode", "PERMISSIVE").option("ignoreMissingFiles", True).json(path)
+    try:
+        raw = spark.read.schema(jobs).option("multiLine", True).option("mode", "PERMISSIVE").option("ignoreMissingFiles", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], jobs)
     return raw.select(F.inline("jobs"))
 
 

@@ -241,7 +241,7 @@ def normalize_naukri_actor(raw: DataFrame) -> DataFrame:
     """Creation times are epoch milliseconds or naive text."""
     j = _items(raw, "array<struct<jobId:string,title:string,jdURL:string,companyName:string,placeholders:struct<location:string>,location:string,"
                "tagsAndSkills:string,jobDescription:string,experienceText:string,createdDate:string>>", lambda p: p)
-    millis = F.when(F.col("j.createdDate").rlike(r"^\d{13,}$"), F.col("j.createdDate").cast("bigint"))
+    millis = F.when(F.col("j.createdDate").rlike(r"^[0-9]{13,15}$"), F.col("j.createdDate").try_cast("bigint"))
     posted = F.coalesce(F.timestamp_millis(millis), F.try_to_timestamp("j.createdDate", F.lit("yyyy-MM-dd HH:mm:ss")))
     about = T.strip(F.concat(
         F.coalesce(T.strip("j.jobDescription"), F.lit("")),
