@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelode.session import BROADCAST_ROWS
+from hirelode.session import BROADCAST_ROWS, cut_lineage, scratch_path
 
 # A word is a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,3 +36,18 @@ def unit_hash(*columns: Column) -> Column:
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a stored side of at most ``rows`` rows; a longer one is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def store_summary(df: DataFrame, parts: int = 8) -> DataFrame:
+    """Checkpoint of a table with a row for each source or the like: a few files, whatever the shuffle partitions."""
+    return cut_lineage(df.coalesce(parts))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, removed when the driver ends; more compact than a checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.parquet(path)

@@ -17,7 +17,8 @@ decision is one cut per source, so rows are marked without a shuffle of texts
 Defined results: null or empty texts have size 0 and are taken 0 words; a source
 of size 0 has target 0; the null source comes last; a null id or weight takes
 part with weight 1; rows with equal id and key are decided alike; an empty table
-gives no rows; a re-run on the same rows gives the same mix.
+gives no rows; a re-run on the same rows gives the same mix; the added columns
+replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage, with_global_rank
 
-from .common import if_small, unit_hash, word_count
+from .common import if_small, store_summary, unit_hash, word_count
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 SEED = 17
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 RANGES = 1024  # key ranges of a level; two levels
 
 
@@ -75,13 +77,15 @@ def prose_share(text: Column) -> Column:
 def plan_mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | None = None, weights: tuple = WEIGHTS,
              limit: int = LIMIT, seed: int = SEED) -> DataFrame:
     """One row per source: size, target, epochs and the cut of its fractional epoch."""
-    keyed = cut_lineage(docs.select(*_keys(doc_weight, size, seed)))
-    by_source = cut_lineage(keyed.groupBy("__src", "__null", "__name").agg(F.sum("__size").alias("size")))
+    keyed = docs.select(*_keys(doc_weight, size, seed))
+    if size is None:
+        keyed = cut_lineage(keyed)                  # the texts are read once
+    by_source = store_summary(keyed.groupBy("__src", "__null", "__name").agg(F.sum("__size").alias("size")))
     ranked = with_global_rank(by_source, F.col("__null"), F.col("__name"), F.col("__src"), name="__rank")
-    named = cut_lineage(ranked.withColumn(
+    named = store_summary(ranked.withColumn(
         "weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("__rank") - 1) % len(weights) + 1).cast("int"))))
     share = _shared(named, limit)
-    goal = cut_lineage(
+    goal = store_summary(
         named.withColumn("target", F.least((F.col("size") * limit).cast("double"), F.col("weight") * F.lit(share)))
         .withColumn("epochs", F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0))
         .withColumn("__left", F.greatest(F.lit(0.0), F.col("target") - F.col("epochs") * F.col("size")))
@@ -89,12 +93,12 @@ def plan_mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | N
     open_ = if_small(goal.where(F.col("__left") > 0))
     coarse = _ending(
         keyed.groupBy("__src", "__wide").agg(F.sum("__size").alias("__words")).join(open_, "__src"), "__wide")
-    coarse = if_small(cut_lineage(coarse))
+    coarse = if_small(store_summary(coarse))
     inside = keyed.join(coarse, "__src").where(F.col("__wide") == F.col("__wide_end"))
     fine = _ending(
         inside.groupBy("__src", "__thin").agg(F.sum("__size").alias("__words"), F.first("__before").alias("__base"))
         .join(open_, "__src").withColumn("__left", F.col("__left") - F.col("__base")), "__thin")
-    fine = cut_lineage(coarse.withColumnRenamed("__before", "__base").join(fine, "__src").select(
+    fine = store_summary(coarse.withColumnRenamed("__before", "__base").join(fine, "__src").select(
         "__src", "__thin_end", (F.col("__base") + F.col("__before")).alias("__base")))
     fine = if_small(fine)
     # rows of one thin range, a millionth of the source: short enough to order
@@ -106,7 +110,7 @@ def plan_mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | N
     last = (
         units.where(F.col("__upto") <= F.col("__left"))
         .groupBy("__src").agg(F.max(F.struct("__key", "__id")).alias("__last"), F.max("__upto").alias("__used")))
-    cut = cut_lineage(
+    cut = store_summary(
         fine.join(last, "__src", "left").join(open_, "__src")
         .select("__src", "__thin_end", "__last", (F.col("__left") - F.coalesce("__used", "__base")).alias("__gap")))
     filler = (
@@ -115,7 +119,7 @@ def plan_mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | N
         .agg(F.min(F.struct(F.abs(F.col("__size") - F.col("__gap")).alias("miss"), "__key", "__id")).alias("__best"))
         .where(F.col("__best.miss") < F.col("__gap"))
         .select("__src", F.struct("__best.__key", "__best.__id").alias("__filler")))
-    return cut_lineage(goal.join(cut, "__src", "left").join(filler, "__src", "left").select(
+    return store_summary(goal.join(cut, "__src", "left").join(filler, "__src", "left").select(
         "__src", F.col("size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"),
         "__thin_end", "__last", "__filler"))
 
@@ -147,7 +151,7 @@ def mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | None =
     filler = F.coalesce(F.struct("__key", "__id") == F.col("__filler"), F.lit(False))
     copies = F.col("__epochs") + F.when(_chosen() | filler, 1).otherwise(0)
     return marked.select(
-        *docs.columns, F.col("__size").alias("mix_size"), F.col("__source_size").alias("mix_source_size"),
+        *[c for c in docs.columns if c not in ADDED], F.col("__size").alias("mix_size"), F.col("__source_size").alias("mix_source_size"),
         F.col("__target").alias("mix_target"), copies.cast("long").alias("mix_copies"),
         (copies * F.col("__size")).cast("long").alias("mix_taken"))
 
@@ -155,4 +159,5 @@ def mix(docs: DataFrame, doc_weight: Column | None = None, size: Column | None =
 def mixed_rows(docs: DataFrame, doc_weight: Column | None = None, **options) -> DataFrame:
     """The mixed corpus itself: every row as often as the mix takes it."""
     taken = mix(docs, doc_weight, **options).where(F.col("mix_copies") > 0)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(
+        *[c for c in docs.columns if c not in ADDED])
