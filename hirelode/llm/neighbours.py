@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
+from .common import sampled
+
 M = 8               # projected dimensions, even
 SURE = 0.99
 SAMPLE = 20_000
@@ -163,8 +165,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sure: float = SURE
     base = table.select("id", "v", F.row_number().over(smallest).alias("n")).where(F.col("n") <= k + 1).select("id", "v")
     matrix = projection(size)
     # the stated bound of the sample
-    sample = np.array(table.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("v").to_pylist()).reshape(-1, size)
     total = table.count()
+    sample = np.array(sampled(table, SAMPLE, total, "id").select("v").toArrow().column("v").to_pylist()).reshape(-1, size)
     cells = Tree(sample @ matrix, LEAF, max(1, min(CELLS, total // PART + 1)))
     place = f"id long, v array<double>, cell int, {', '.join(f'p{i} double' for i in range(M))}"
     names = ["id", "v", "cell", *[f"p{i}" for i in range(M)]]

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 BUCKETS = 1 << 13
@@ -313,9 +315,10 @@ class Tagger:
 
 
 def labelled_lines(docs: DataFrame, lines: int = LINES) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """A labelled table of at most ``lines`` short lines with digits or ``@``, in the order of their hash."""
+    """A labelled table of at most ``lines`` short lines with digits or ``@``, from as many documents that have any."""
+    some = docs.select("text").where(F.col("text").rlike("[0-9@]"))
     line = (
-        docs.where(F.col("text").rlike("[0-9@]")).select(F.explode(F.split("text", "\n")).alias("line"))
+        sampled(some, lines, some.count(), "text").select(F.explode(F.split("text", "\n")).alias("line"))
         .where(F.col("line").rlike("[0-9@]") & (F.char_length("line") <= 4000)).distinct()
         .orderBy(F.xxhash64("line"), "line").limit(lines))
     return [(r["line"], base_spans(r["line"])) for r in line.collect()]
