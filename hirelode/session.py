@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A side is broadcast by hint only when its size is fixed or was checked against this.
+# Most rows of a side that is broadcast by hint; the caller counts it first, and joins by a shuffle above this.
 BROADCAST_ROWS = 100_000
 
 
