@@ -237,13 +237,13 @@ def f22(t):
 
 
 METRICS_SQL = """
-metrics AS (SELECT company_id, count(*) AS total_scans, count(*) FILTER (jobs_found > 0 AND error IS NULL) AS successful_scans,
-  CAST(coalesce(sum(jobs_found) FILTER (jobs_found > 0 AND error IS NULL), 0) AS BIGINT) AS jobs_extracted, max_by(error, scanned_at) FILTER (error IS NOT NULL) AS last_error FROM scan_log WHERE scanned_at >= TIMESTAMP '2024-01-30 06:00:00' GROUP BY 1)"""
+metrics AS (SELECT company_id * 2 AS company_id, count(*) AS total_scans, count(*) FILTER (jobs_found > 0 AND error IS NULL) AS successful_scans,
+  CAST(coalesce(sum(jobs_found) FILTER (jobs_found > 0 AND error IS NULL), 0) AS BIGINT) AS jobs_extracted, max_by(error, scanned_at) FILTER (error IS NOT NULL) AS last_error FROM scan_log GROUP BY 1)"""
 
 
 def last_scans(t):
-    """Scans of the latest hours only, so that some companies have none."""
-    return t.scan_log.where("scanned_at >= timestamp'2024-01-30 06:00:00'")
+    """All scans of the log, dealt to every second company, so that the others have none."""
+    return t.scan_log.withColumn("company_id", F.col("company_id") * 2)
 
 
 @query("f23_zero_yield", f"""WITH {METRICS_SQL}

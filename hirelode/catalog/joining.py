@@ -369,11 +369,11 @@ def k5(t):
     return K.merge_enrichment(t.store, enriched).select("native_id", "description", "score")
 
 
-@query("k6_export_bundle", "SELECT 'applications' AS part, count(*) AS n FROM applications UNION ALL SELECT 'curated', count(*) FROM postings WHERE score >= 90", "postings applications")
+@query("k6_export_bundle", "SELECT 'applications' AS part, count(*) AS n FROM applications UNION ALL SELECT 'curated', count(*) FROM postings", "postings applications")
 def k6(t):
     from ..session import scratch_path
     path = scratch_path(t.spark, "bundle")
-    K.export_bundle({"curated": t.postings.where("score >= 90"), "applications": t.applications}, path)
+    K.export_bundle({"curated": t.postings, "applications": t.applications}, path)
     parts = [t.spark.read.json(f"{path}/{p}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n")
              for p in ("curated", "applications")]
     return parts[0].union(parts[1])
@@ -387,11 +387,11 @@ def k7(t):
     return t.spark.read.parquet(path).groupBy(F.col("snapshot").cast("string").alias("snapshot")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k8_write_curated", "SELECT count(*) AS n, CAST(72.0 AS DOUBLE) AS timeframe_used_hours FROM postings WHERE score >= 90", "postings")
+@query("k8_write_curated", "SELECT count(*) AS n, CAST(72.0 AS DOUBLE) AS timeframe_used_hours FROM postings", "postings")
 def k8(t):
     from ..session import scratch_path
     path = scratch_path(t.spark, "curated")
     meta = t.spark.range(1).select(F.lit(72.0).alias("timeframe_used_hours"))
-    K.write_curated(t.postings.where("score >= 90"), meta, path)
+    K.write_curated(t.postings, meta, path)
     return t.spark.read.parquet(f"{path}/postings").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "timeframe_used_hours", t.spark.read.parquet(f"{path}/meta").select("timeframe_used_hours").scalar())

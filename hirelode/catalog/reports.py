@@ -453,12 +453,14 @@ def o8(t):
     return O.recheck_batch(W.watch_history(watch_probes(t))).select("name")
 
 
-LATE = "(SELECT * FROM scan_log WHERE scanned_at >= TIMESTAMP '2024-01-30 06:00:00')"
+# every seventh firm never has an entry-level opening
+BARREN = "(SELECT * REPLACE (CASE WHEN company_id % 7 = 0 THEN 0 ELSE fresher_found END AS fresher_found) FROM scan_log)"
 
 
-@query("o9_near_misses", f"WITH {WATCH_SQL.replace('{src}', LATE)} SELECT name FROM watch WHERE best_fresher_seen = 0 AND last_india_jobs > 0 ORDER BY last_india_jobs DESC, name LIMIT 15", "scan_log")
+@query("o9_near_misses", f"WITH {WATCH_SQL.replace('{src}', BARREN)} SELECT name FROM watch WHERE best_fresher_seen = 0 AND last_india_jobs > 0 ORDER BY last_india_jobs DESC, name LIMIT 15", "scan_log")
 def o9(t):
-    return O.near_misses(W.watch_history(watch_probes(t).where("checked_at >= timestamp'2024-01-30 06:00:00'"))).select("name")
+    return O.near_misses(W.watch_history(watch_probes(t).withColumn(
+        "fresher_jobs", F.when(F.substring("name", 6, 20).cast("long") % 7 == 0, 0).otherwise(F.col("fresher_jobs"))))).select("name")
 
 
 @query("o10_long_parked", f"WITH {WATCH_SQL.replace('{src}', 'scan_log')} SELECT name, checks FROM watch ORDER BY checks DESC, name LIMIT 10", "scan_log")

@@ -90,11 +90,11 @@ def a15(t):
 
 
 @query("a19_quota_forecast", f"""WITH {BUCKET_SQL.replace('{cycles}', 'cycles')},
-k AS (SELECT CAST(sum(100 - user_id % 50) AS BIGINT) AS total_quota_remaining FROM events WHERE event_type = 'signup'),
+k AS (SELECT CAST(sum(100 - user_id % 50) AS BIGINT) AS total_quota_remaining FROM events),
 n AS (SELECT round(sum(yield_multiplier) * (SELECT avg(jobs_found) FROM cycles), 1) AS need FROM (SELECT unnest([10, 13, 16, 19, 22]) // 3 * 3 AS start_hour) JOIN yb USING (start_hour))
 SELECT total_quota_remaining, need AS estimated_needed_today, 5 AS remaining_cycles_today, CASE WHEN total_quota_remaining < need THEN 'low' ELSE 'healthy' END AS status FROM k, n""", "cycles")
 def a19(t):
-    keys = t.events.where("event_type = 'signup'").select((100 - F.col("user_id") % 50).alias("quota_remaining"))
+    keys = t.events.select((100 - F.col("user_id") % 50).alias("quota_remaining"))
     return R.quota_forecast(keys, t.cycles, 10)
 
 
@@ -307,10 +307,10 @@ def a24(t):
 
 @query("a26_diagnostics", f"""WITH {APPS_SQL}
 SELECT count(*) AS total, count(DISTINCT id) AS unique_ids, 0::BIGINT AS incomplete, count(*) FILTER (score IS NOT NULL AND profile_version = 'v2') AS current_scores, count(*) FILTER (score IS NOT NULL AND profile_version <> 'v2') AS stale_scores,
- count(*) - count(DISTINCT id) AS duplicates, (SELECT count(*) FROM apps WHERE id NOT IN (SELECT id FROM pid WHERE native_id % 2 = 0)) AS orphan_applications, (SELECT count(*) FROM pid WHERE native_id % 2 = 0 AND id IN (SELECT id FROM apps)) AS applied_in_store
-FROM pid WHERE native_id % 2 = 0""", "pid applications")
+ count(*) - count(DISTINCT id) AS duplicates, (SELECT count(*) FROM apps WHERE id NOT IN (SELECT id FROM pid)) AS orphan_applications, (SELECT count(*) FROM pid WHERE id IN (SELECT id FROM apps)) AS applied_in_store
+FROM pid""", "pid applications")
 def a26(t):
-    return R.diagnostics(t.normalized.where("native_id % 2 = 0"), apps_by_posting(t), "v2")
+    return R.diagnostics(t.normalized, apps_by_posting(t), "v2")
 
 
 @query("a27_scan_report", f"""WITH {METRICS_SQL}
@@ -321,13 +321,12 @@ def a27(t):
 
 
 @query("a28_flip_report", """
-WITH m AS (SELECT company_id, CASE WHEN scanned_at < TIMESTAMP '2024-01-02' THEN 'b' ELSE 'a' END AS half, CASE WHEN error IS NULL THEN jobs_found ELSE 0 END AS j FROM scan_log WHERE scanned_at < TIMESTAMP '2024-01-03')
+WITH m AS (SELECT company_id, CASE WHEN scanned_at < TIMESTAMP '2024-01-02' THEN 'b' ELSE 'a' END AS half, CASE WHEN error IS NULL THEN jobs_found ELSE 0 END AS j FROM scan_log)
 SELECT company_id, CAST(coalesce(sum(j) FILTER (half = 'b'), 0) AS BIGINT) AS jobs_before, CAST(coalesce(sum(j) FILTER (half = 'a'), 0) AS BIGINT) AS jobs_after,
  coalesce(sum(j) FILTER (half = 'b'), 0) = 0 AND coalesce(sum(j) FILTER (half = 'a'), 0) > 0 AS flipped FROM m GROUP BY 1""", "scan_log")
 def a28(t):
-    early = t.scan_log.where("scanned_at < timestamp'2024-01-03 00:00:00'")
-    return R.flip_report(R.scan_metrics(early.where("scanned_at < timestamp'2024-01-02 00:00:00'")),
-                         R.scan_metrics(early.where("scanned_at >= timestamp'2024-01-02 00:00:00'")))
+    return R.flip_report(R.scan_metrics(t.scan_log.where("scanned_at < timestamp'2024-01-02 00:00:00'")),
+                         R.scan_metrics(t.scan_log.where("scanned_at >= timestamp'2024-01-02 00:00:00'")))
 
 
 @query("a29_failure_categories", f"""WITH {METRICS_SQL}
