@@ -9,13 +9,15 @@ link when ``100 * |A & B| >= SHARE * |A | B|``; the result is the component of e
     frequent last, so passages that many documents share are no index entries; the
     sketch decides speed only, never the result.
 3.  Of each index token, every member meets the two extreme members first (rows as
-    many as entries).  Links found merge members into components.
+    many as entries), if sizes and bitmaps allow.  Links found merge members into
+    components.
 4.  Token groups that still hold several components are cut into tiles of bounded
     size; tiles of different components meet, their members in size bands: pairs
     outside the size ratio or whose bitmaps bound the overlap too low are skipped.
     First the likeliest few partners of a member are verified, and after merging
     all that are still in different components.
-5.  Verification intersects sorted arrays.
+5.  Verification intersects sorted arrays, built again from the texts of candidates
+    only: tables between the steps hold keys, sizes and bitmaps.
 
 No partner or candidate is dropped; inside a component no further pairs are made.
 
@@ -42,7 +44,7 @@ from .components import components
 WORDS = 4
 SHARE = 85
 CELLS = 1 << 20       # cells of the frequency sketch
-BITS = 1024           # of a bitmap
+BITS, MOST = 1024, 1 << 16      # of a bitmap, by the size of the set
 SIFT = 1 << 26        # bits of the filter for documents with candidates
 TILE = 512
 LIKELY = 4
@@ -105,14 +107,21 @@ def _lists(values: np.ndarray, start: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def bitmaps(token: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """``BITS`` bits of every set, one for each hashed token."""
-    n = len(start) - 1
-    bit = (grams.scramble(token) % U(BITS)).astype(np.int64)
-    row = np.repeat(np.arange(n), np.diff(start))
-    out = np.zeros((n, BITS), dtype=bool)
-    out[row, bit] = True
-    return np.packbits(out, axis=1)
+def bitmaps(token: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """One bit for each hashed token: ``BITS`` of them, or the power of two from twice the set up to ``MOST``."""
+    n = np.diff(start)
+    width = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))), BITS, MOST).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(width)])
+    out: list[bytes] = []
+    for a in range(0, len(n), 512):                                  # rows at a time, which bounds the memory
+        b = min(len(n), a + 512)
+        field = np.zeros(int(base[b] - base[a]), dtype=bool)
+        bit = grams.scramble(token[start[a]:start[b]]) & np.repeat((width[a:b] - 1).astype(np.uint64), n[a:b])
+        field[np.repeat(base[a:b] - base[a], n[a:b]) + bit.astype(np.int64)] = True
+        packed = np.packbits(field).tobytes()
+        cut = ((base[a:b + 1] - base[a]) // 8).tolist()
+        out += [packed[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+    return out
 
 
 def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
@@ -125,8 +134,8 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
 
 
 def classes(docs: DataFrame, level, size: int, share: int, name: str) -> DataFrame:
-    """name, n, key (hash of the set) and the index tokens of every row; key is null for empty sets."""
-    schema = docs.select(F.col(name).alias("id")).schema.simpleString()[7:-1].replace(":", " ", 1) + ", n long, key long, prefix array<long>"
+    """name, n, key (hash of the set), bitmap and index tokens of every row; key is null for empty sets."""
+    schema = docs.select(F.col(name).alias("id")).schema.simpleString()[7:-1].replace(":", " ", 1) + ", n long, key long, bits binary, prefix array<long>"
 
     def work(batches):
         for b in batches:
@@ -134,8 +143,10 @@ def classes(docs: DataFrame, level, size: int, share: int, name: str) -> DataFra
                 lead = np.where(n > 0, n - (share * n + 99) // 100 + 1, 0)
                 pos, before = _ranges(start[:-1], lead)
                 key = pa.array(_keys(n, token, start), mask=n == 0)
+                bits = pa.array(bitmaps(token, start), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(x, y - x), pa.array(n.astype(np.int64)), key, _lists(token[pos], before)], ["id", "n", "key", "prefix"])
+                    [b.column("id").slice(x, y - x), pa.array(n.astype(np.int64)), key, bits, _lists(token[pos], before)],
+                    ["id", "n", "key", "bits", "prefix"])
 
     return docs.select(F.col(name).alias("id"), "text").mapInArrow(work, schema)
 
@@ -150,17 +161,81 @@ def _sift(keys: DataFrame) -> np.ndarray:
     return table.astype(np.uint32)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that link; arrays are brought to the pairs, not pairs to one task."""
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("token").alias("ta")), "a")
-    rows = with_a.join(sets.select(F.col("key").alias("b"), F.col("token").alias("tb")), "b").select("a", "b", "ta", "tb")
+class Bitmaps:
+    """Bitmaps of several widths, each also folded to half its width to meet the next narrower ones."""
+
+    def __init__(self, rows: list[bytes]):
+        size = np.array([len(r) for r in rows])
+        self.size, self.tables = size, {}
+        for w in np.unique(size):
+            own = np.flatnonzero((size == w) | (size == 2 * w))
+            place = np.full(len(rows), -1, dtype=np.int64)
+            place[own] = np.arange(len(own))
+            table = np.zeros((len(own), w), dtype=np.uint8)
+            for k, r in enumerate(own):
+                x = np.frombuffer(rows[r], np.uint8)
+                table[k] = x if len(x) == w else x[:w] | x[w:]
+            self.tables[int(w)] = place, table.view(np.uint64)
+
+    def possible(self, x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether rows x and y, of n and m tokens, can link, and the most tokens that they can share."""
+        most = np.minimum(n, m).astype(np.int64)
+        narrow = np.minimum(self.size[x], self.size[y])
+        for w, (place, table) in self.tables.items():
+            pairs = np.flatnonzero(narrow == w)
+            for a in range(0, len(pairs), max(1, (1 << 25) // w)):
+                some = pairs[a:a + max(1, (1 << 25) // w)]
+                left, right = table[place[x[some]]], table[place[y[some]]]
+                common = np.bitwise_count(left & right).sum(1)
+                # a bit of one set that the other lacks stands for a token that the other lacks
+                most[some] = np.minimum(n[some] - (np.bitwise_count(left).sum(1) - common), m[some] - (np.bitwise_count(right).sum(1) - common))
+        return 100 * most >= share * (n + m - most), most
+
+
+def _screen(pairs: DataFrame, kept: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
+    size = kept.select("key", "n")
+    sized = (
+        pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
+        .join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
+        .where(100 * F.least("na", "nb") >= share * F.greatest("na", "nb")))
+    rows = (
+        sized.join(kept.select(F.col("key").alias("a"), F.col("bits").alias("xa")), "a")
+        .join(kept.select(F.col("key").alias("b"), F.col("bits").alias("xb")), "b").select("a", "b", "na", "nb", "xa", "xb"))
+
+    def look(batches):
+        for t in batches:
+            k = np.arange(t.num_rows)
+            both = Bitmaps(t.column("xa").to_pylist() + t.column("xb").to_pylist())
+            fine, _ = both.possible(k, k + t.num_rows, t.column("na").to_numpy(), t.column("nb").to_numpy(), share)
+            yield t.select(["a", "b"]).filter(pa.array(fine))
+
+    return cut_lineage(rows.mapInArrow(look, "a long, b long"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, level, size: int, share: int) -> DataFrame:
+    """The pairs (a, b) that link: the arrays of their documents are brought to the pairs."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_sift(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+
+    def arrays(batches):
+        for b in batches:
+            for _, _, n, token, start in token_sets(b.column("text"), level.value, size):
+                key = _keys(n, token, start)
+                spot = key % SIFT
+                some = np.flatnonzero((n > 0) & ((wanted.value[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool))
+                pos, before = _ranges(start[:-1][some], n[some])
+                yield pa.RecordBatch.from_arrays([pa.array(key[some]), _lists(token[pos], before)], ["key", "token"])
+
+    sets = docs.select("text").mapInArrow(arrays, "key long, token array<long>").groupBy("key").agg(F.first("token").alias("token"))
+    rows = (
+        pairs.join(sets.select(F.col("key").alias("a"), F.col("token").alias("ta")), "a")
+        .join(sets.select(F.col("key").alias("b"), F.col("token").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
     def test(batches):
-        for batch in batches:
-            left, right = batch.column("ta"), batch.column("tb")
-            good = [linked(left[i].values.to_numpy().view(np.uint64), right[i].values.to_numpy().view(np.uint64), share)
-                    for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for t in batches:
+            left, right = t.column("ta"), t.column("tb")
+            good = [linked(left[i].values.to_numpy().view(np.uint64), right[i].values.to_numpy().view(np.uint64), share) for i in range(t.num_rows)]
+            yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return cut_lineage(rows.mapInArrow(test, "a long, b long"))
 
@@ -183,8 +258,7 @@ def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndar
     high = np.searchsorted(ordered, run[left] * scale + 100 * n[left] // share, side="right")
     low = np.clip(low, rights[run[left]], end[run[left]])
     high = np.clip(high, low, end[run[left]])
-    ones = np.bitwise_count(bits).sum(1)
-    out_a, out_b = [], []
+    table, out_a, out_b = Bitmaps(bits.tolist()), [], []
     at = 0
     upto = np.cumsum(high - low)
     while at < len(left):
@@ -193,10 +267,7 @@ def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndar
         y, _ = _ranges(low[at:to], (high - low)[at:to])
         other = comp[x] != comp[y]
         x, y = x[other], y[other]
-        common = np.bitwise_count(bits[x] & bits[y]).sum(1)
-        # a bit of one set that the other lacks stands for a token that the other lacks
-        most = np.minimum(n[x] - (ones[x] - common), n[y] - (ones[y] - common))
-        fine = 100 * most >= share * (n[x] + n[y] - most)
+        fine, most = table.possible(x, y, n[x], n[y], share)
         x, y, most = x[fine], y[fine], most[fine]
         if likely is not None and len(x):
             order = np.lexsort((-most, x))
@@ -217,7 +288,7 @@ def _tile_batches(batches, share: int, likely: int | None):
     kept = None
     for batch in chain(batches, [None]):
         now = None if batch is None else (
-            [batch.column(c).to_numpy() for c in names] + [np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64)])
+            [batch.column(c).to_numpy() for c in names] + [np.array(batch.column("bits").to_pylist(), dtype=object)])
         if now is not None and kept is not None:
             now = [np.concatenate([a, b]) for a, b in zip(kept, now, strict=True)]
         elif now is None:
@@ -243,7 +314,7 @@ def _label(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     return nodes.join(comps.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
 
 
-def _tiles(entries: DataFrame, sets: DataFrame, comps: DataFrame, share: int, likely: int | None) -> DataFrame:
+def _tiles(entries: DataFrame, kept: DataFrame, comps: DataFrame, share: int, likely: int | None) -> DataFrame:
     """Distinct candidate pairs between components inside token groups."""
     rows = cut_lineage(_label(entries, comps))
     per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -264,8 +335,8 @@ def _tiles(entries: DataFrame, sets: DataFrame, comps: DataFrame, share: int, li
         F.transform(F.sequence(tile, rests + F.col("mains") - 1), lambda j: F.struct(tile.alias("i"), j.alias("j"), F.lit(0).alias("side"))),
         F.transform(F.sequence(F.lit(0), tile), lambda i: F.struct(i.alias("i"), tile.alias("j"), F.lit(1).alias("side")))))
     spread = placed.withColumn("meet", F.explode(meets)).select(
-        "token", "key", "n", "comp", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), F.col("meet.side").alias("side"))
-    dealt = spread.join(sets.select("key", "bits"), "key")
+        "token", "key", "comp", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), F.col("meet.side").alias("side"))
+    dealt = spread.join(kept.select("key", "n", "bits"), "key")
     order = ["token", "i", "j", "side", "n"]
     return (
         dealt.select(*order, "key", "comp", "bits").repartition("token", "i", "j").sortWithinPartitions(*order)
@@ -280,42 +351,23 @@ def join(docs: DataFrame, name: str = "doc_id", size: int = WORDS, share: int =
     every = cut_lineage(classes(docs, level, size, share, name))
     kept = cut_lineage(
         every.where(F.col("key").isNotNull() & F.col("id").isNotNull())
-        .groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    index = kept.select("key", "n", F.explode("prefix").alias("token"))
+        .groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]))
+    index = kept.select("key", F.explode("prefix").alias("token"))
     groups = index.groupBy("token").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "n")).alias("low"), F.max(F.struct("key", "n")).alias("high")).where(F.col("c") > 1)
-    entries = cut_lineage(index.join(groups, "token").select("token", "key", "n", "c", "low", "high"))
-    near = lambda other: 100 * F.least("n", f"{other}.n") >= share * F.greatest("n", f"{other}.n")
+        F.count(F.lit(1)).alias("c"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("c") > 1)
+    entries = cut_lineage(index.join(groups, "token"))
     stars = cut_lineage(
         entries.select(F.explode(F.array(*[
-            F.when((F.col("key") != F.col(f"{o}.key")) & near(o), F.struct(
-                F.greatest("key", f"{o}.key").alias("a"), F.least("key", f"{o}.key").alias("b"))) for o in ("low", "high")])).alias("p"))
-        .where(F.col("p").isNotNull()).select("p.a", "p.b").distinct())
-    wanted = spark.sparkContext.broadcast(_sift(
-        stars.select(F.explode(F.array("a", "b")).alias("key")).unionAll(entries.where(F.col("c") > 3).select("key"))))
-
-    def arrays(batches):
-        for b in batches:
-            for x, y, n, token, start in token_sets(b.column("text"), level.value, size):
-                key = _keys(n, token, start)
-                spot = key % SIFT
-                some = np.flatnonzero((n > 0) & ((wanted.value[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool))
-                for part in np.array_split(some, max(1, len(some) // 256)):
-                    pos, before = _ranges(start[:-1][part], n[part])
-                    bits = bitmaps(token[pos], before)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[part]), _lists(token[pos], before), pa.array([r.tobytes() for r in bits], pa.binary())], ["key", "token", "bits"])
-
-    sets = cut_lineage(docs.where(F.col(name).isNotNull()).select("text").mapInArrow(arrays, "key long, token array<long>, bits binary")
-                       .groupBy("key").agg(F.first("token").alias("token"), F.first("bits").alias("bits")))
-    links = _verify(stars, sets, share)
+            F.struct(F.greatest("key", o).alias("a"), F.least("key", o).alias("b")) for o in ("low", "high")])).alias("p"))
+        .where("p.a != p.b").select("p.a", "p.b").distinct())
+    done = _screen(stars, kept, share)
+    links = _verify(done, docs, level, size, share)
     comps = cut_lineage(components(links))
-    crowded = entries.where(F.col("c") > 3).select("token", "key", "n")
-    done = stars
+    crowded = entries.where(F.col("c") > 3).select("token", "key")
     for likely in (LIKELY, None):
-        pairs = cut_lineage(_tiles(crowded, sets, comps, share, likely).join(done, ["a", "b"], "left_anti"))
+        pairs = cut_lineage(_tiles(crowded, kept, comps, share, likely).join(done, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            more = _verify(pairs, sets, share)
+            more = _verify(pairs, docs, level, size, share)
             links, done = links.unionAll(more), done.unionAll(pairs)
             if not more.isEmpty():
                 comps = cut_lineage(components(links))
