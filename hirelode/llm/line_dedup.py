@@ -1,26 +1,27 @@
 """Fuzzy line de-duplication.
 
-Lines are normalised (lower case, digits as one sign, only letters, marks of
-letters and digits kept, single spaces).  Equal normalised lines are one; of
+Lines are normalised to words (lower case; ASCII signs other than letters and digits
+part words).  Equal normalised lines are one; of
 different ones two link when their 63-bit SimHashes over words differ in at most
-``BITS`` bits and their edit similarity is ``SIMILAR`` or more.  Each connected
+``BITS`` bits and their edit similarity over words (one less the edit distance of
+the word sequences over the longer's words) is ``SIMILAR`` or more.  Each connected
 group of lines keeps one occurrence: the first by document id, then line number.
 
 SimHash sums word hashes bit by bit, three counters in each of 21 numbers, added
 up where the lines are read.  The bits are cut into ``BITS + 2`` blocks; two hashes
 within ``BITS`` bits agree in two blocks at least, so lines meet in tables keyed by
-two blocks.  In a bucket every line first meets the two extreme ones (as many rows
-as lines); after the links found there are merged, only lines of different
-components meet, so a group of near copies never makes all its pairs.  Texts are no
-part of any of these shuffles: only those of candidates are read again for the edit
-distance.
+two blocks.  In a bucket every line meets the two extreme ones (as many rows as
+lines), and of these pairs each line first tries one; after the links found are
+merged, only lines of different components are tried, so a group of near copies
+never makes all its pairs.  Texts are no part of any of these shuffles: only those
+of candidates are read again for the edit distance.
 
 Everything is DataFrame code; sums, minima and counts are aggregated before the
 shuffle, and a line that fills a third of the corpus is one row after that.
 
 Defined results: null texts have no lines; blank lines (nothing left after
 normalising) and lines of rows with a null id are kept; repeated rows of a document
-count as one; an empty table stays empty; a line may have up to two million words.
+count as one; an empty table stays empty; a line may have up to a million words.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from .common import if_small
+from .common import if_small, stored
 from .components import components
 
 BITS = 3
@@ -43,10 +44,9 @@ SPREAD = 1 | 1 << 20 | 1 << 40
 IDS = 1_000_000       # keys or ids of this many rows at most are broadcast (eight bytes each)
 
 
-def normal(line: Column) -> Column:
-    """The line as compared."""
-    plain = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{Nd}]+", " ")
-    return F.trim(F.regexp_replace(plain, r"\p{Nd}+", "0"))
+def words_of(line: Column) -> Column:
+    """The words of a line as compared."""
+    return F.array_remove(F.split(F.lower(line), r"[^a-z0-9\x{80}-\x{10ffff}]+"), "")
 
 
 def _counters() -> list[Column]:
@@ -60,11 +60,13 @@ def _counters() -> list[Column]:
 
 def _majority(words: Column) -> Column:
     """63 bits: bit i is set when more than half of the words have it."""
+    # adding this to three counters at once carries into bit 20 of those above half
+    lift = (F.lit((1 << 20) - 1) - F.floor(words / 2)) * F.lit(MASK)
     out = F.lit(0).cast("long")
     for i in range(GROUPS):
-        for k in range(3):
-            count = F.shiftrightunsigned(f"c{i}", 21 * k).bitwiseAND(F.lit((1 << 21) - 1))
-            out = out + F.when(count * 2 > words, F.lit(1 << (3 * i + k)).cast("long")).otherwise(F.lit(0).cast("long"))
+        over = F.shiftrightunsigned(F.col(f"c{i}") + lift, 20).bitwiseAND(F.lit(MASK))
+        three = over.bitwiseOR(F.shiftrightunsigned(over, 20)).bitwiseOR(F.shiftrightunsigned(over, 40)).bitwiseAND(F.lit(7).cast("long"))
+        out = out + three * F.lit(1 << 3 * i).cast("long")
     return out
 
 
@@ -77,19 +79,19 @@ def _buckets() -> Column:
 
 
 def lines_of(docs: DataFrame, name: str = "doc_id") -> DataFrame:
-    """id, line number and normalised text of every line that takes part."""
+    """id, line number, words and key (hash of the words) of every line that takes part."""
     rows = docs.where(F.col("text").isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("id"), F.col("text").cast("string").alias("text"))
     lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("id", "line_no", normal(F.col("line")).alias("line")).where(F.col("line") != "")
+    return lines.select("id", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0).select(
+        "id", "line_no", "words", F.xxhash64("words").alias("key"))
 
 
 def _hashed(docs: DataFrame, name: str) -> DataFrame:
-    """id, line_no, key (hash of the normalised line), size and SimHash of every line."""
-    words = lines_of(docs, name).select(
-        "id", "line_no", F.xxhash64("line").alias("key"), F.char_length("line").alias("size"), F.explode(F.split("line", " ")).alias("word"))
-    summed = words.select("id", "line_no", "key", "size", F.xxhash64("word").alias("h")).groupBy("id", "line_no", "key", "size").agg(
+    """id, line_no, key, size (words) and SimHash of every line."""
+    words = lines_of(docs, name).select("id", "line_no", "key", F.explode("words").alias("word"))
+    summed = words.select("id", "line_no", "key", F.xxhash64("word").alias("h")).groupBy("id", "line_no", "key").agg(
         F.count(F.lit(1)).alias("words"), *_counters())
-    return summed.select("id", "line_no", "key", "size", _majority(F.col("words")).alias("hash"))
+    return summed.select("id", "line_no", "key", F.col("words").cast("int").alias("size"), _majority(F.col("words")).alias("hash"))
 
 
 def _near(a: str, b: str) -> Column:
@@ -98,10 +100,18 @@ def _near(a: str, b: str) -> Column:
     return bits & (F.least(f"{a}.size", f"{b}.size") >= F.greatest(f"{a}.size", f"{b}.size") * SIMILAR - 1e-9)
 
 
+def _signs(words: Column) -> Column:
+    """The word sequence with one character (of 16,384, by hash) for each word, for the built-in edit distance."""
+    digits = F.transform(words, lambda w: F.lpad(F.hex(F.xxhash64(w).bitwiseAND(F.lit(0x3FFF).cast("long")) + 0x4000), 4, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of keys whose edit similarity is high enough."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("ta")), "a").join(
-        texts.select(F.col("key").alias("b"), F.col("line").alias("tb")), "b")
+    keys = if_small(cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), IDS)
+    texts = texts.join(keys, "key", "left_semi")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("signs").alias("ta")), "a").join(
+        texts.select(F.col("key").alias("b"), F.col("signs").alias("tb")), "b")
     most = both.withColumn("most", F.floor(F.greatest(F.char_length("ta"), F.char_length("tb")) * (1 - SIMILAR) + 1e-9).cast("int"))
     return cut_lineage(most.where(F.expr("levenshtein(ta, tb, most)").between(F.lit(0), F.col("most"))).select("a", "b"))
 
@@ -124,38 +134,48 @@ def _across(crowded: DataFrame, keyed: DataFrame, comps: DataFrame) -> DataFrame
     return met.select(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b")).distinct()
 
 
-def links(docs: DataFrame, hashed: DataFrame, keyed: DataFrame, name: str = "doc_id") -> DataFrame:
+def links(docs: DataFrame, keyed: DataFrame, name: str = "doc_id") -> DataFrame:
     """(node, root) of all normalised lines that link with a different one."""
     entries = keyed.select(F.explode(_buckets()).alias("bucket"), "key")
-    full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("c") > 1)
-    crowded = cut_lineage(entries.join(full, "bucket"))
-    ends = crowded.select(F.explode(F.array(*[
+    several = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("bucket")
+    crowded = stored(entries.join(if_small(stored(several), IDS), "bucket"))
+    full = crowded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("low"), F.max("key").alias("high"))
+    ends = crowded.join(full, "bucket").select(F.explode(F.array(*[
         F.struct(F.greatest("key", o).alias("a"), F.least("key", o).alias("b")) for o in ("low", "high")])).alias("p")).select("p.a", "p.b")
     narrow = keyed.select("key", "hash", "size")
     x, y = narrow.select(F.col("key").alias("a"), F.struct("hash", "size").alias("x")), narrow.select(F.col("key").alias("b"), F.struct("hash", "size").alias("y"))
     stars = cut_lineage(ends.where("a != b").distinct().join(x, "a").join(y, "b").where(_near("x", "y")).select("a", "b"))
-    more = crowded.where(F.col("c") > 3).select("bucket", "key")
+    more = crowded.join(full.where(F.col("c") > 3).select("bucket"), "bucket", "left_semi")
     wanted = cut_lineage(stars.select(F.explode(F.array("a", "b")).alias("key")).unionAll(more.select("key")).distinct())
     # the texts of candidates, from one document that holds each
     holders = cut_lineage(keyed.join(if_small(wanted, IDS), "key").select(F.col("at.id").alias(name)).distinct())
     texts = cut_lineage(
-        lines_of(docs.join(if_small(holders, IDS), name, "left_semi"), name).select(F.xxhash64("line").alias("key"), "line")
-        .join(if_small(wanted, IDS), "key", "left_semi").groupBy("key").agg(F.first("line").alias("line")))
-    found = _verified(stars, texts)
+        lines_of(docs.join(if_small(holders, IDS), name, "left_semi"), name).join(if_small(wanted, IDS), "key", "left_semi")
+        .select("key", _signs(F.col("words")).alias("signs")).groupBy("key").agg(F.first("signs").alias("signs")))
+    tried = cut_lineage(stars.groupBy("a").agg(F.min("b").alias("b")))
+    found = _verified(tried, texts)
     comps = cut_lineage(components(found))
-    across = cut_lineage(_across(more, keyed, comps).join(stars, ["a", "b"], "left_anti"))
-    if across.isEmpty():
-        return comps
-    return cut_lineage(components(found.unionAll(_verified(across, texts))))
+    for rest in (lambda: _apart(stars, comps), lambda: _across(more, keyed, comps)):
+        pairs = cut_lineage(rest().join(tried, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            found, tried = found.unionAll(_verified(pairs, texts)), tried.unionAll(pairs)
+            comps = cut_lineage(components(found))
+    return comps
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs of different components."""
+    a = _label(pairs.select(F.col("a").alias("key"), "b"), comps).select(F.col("key").alias("a"), "b", F.col("comp").alias("of_a"))
+    return _label(a.select(F.col("b").alias("key"), "a", "of_a"), comps).where("comp != of_a").select("a", F.col("key").alias("b"))
 
 
 def dropped_lines(docs: DataFrame, name: str = "doc_id") -> DataFrame:
     """id and line number of every occurrence that goes: all of a group but its first."""
     docs = docs.select(name, "text")
-    hashed = cut_lineage(_hashed(docs, name))
-    keyed = cut_lineage(hashed.groupBy("key").agg(
+    hashed = stored(_hashed(docs, name))
+    keyed = stored(hashed.groupBy("key").agg(
         F.min(F.struct("id", "line_no")).alias("at"), F.first("hash").alias("hash"), F.first("size").alias("size"), F.count(F.lit(1)).alias("c")))
-    grouped = _label(keyed.select("key", "at", "c"), links(docs, hashed, keyed, name))
+    grouped = _label(keyed.select("key", "at", "c"), links(docs, keyed, name))
     stays = grouped.groupBy("comp").agg(F.min("at").alias("stays"), F.sum("c").alias("all")).where(F.col("all") > 1)
     repeated = grouped.join(stays, "comp").select("key", "stays")
     return hashed.join(repeated, "key").where(F.struct("id", "line_no") != F.col("stays")).select("id", "line_no").distinct()
