@@ -16,8 +16,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of linked word-shingle sets."""
-    return jaccard.one_of_each(docs)
+    """One document of every group whose sets of five-word shingles link at a Jaccard of 0.8."""
+    return jaccard.one_of_each(docs, size=5, share=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hirelode.llm import decontaminate, jaccard, mixing, quality, queries
 
-from .helpers import awkward, empty
+from .helpers import DOCS, awkward, empty
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,6 +33,30 @@ def test_stages_take_awkward_and_empty_tables(spark):
             out.count()
 
 
+def test_near_copies_go_by_five_words_at_four_fifths(spark):
+    rng = random.Random(4)
+    texts = {}
+    for words, changed in ((500, 11), (200, 4), (1000, 21), (200, 6), (500, 40)):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        copy = list(text)
+        for i in range(changed):                                     # scattered: no two changes share a shingle
+            copy[(i + 1) * words // (changed + 1)] = f"x{rng.randrange(10**6)}"
+        block = [f"y{rng.randrange(10**6)}" for _ in range(words // 5)]
+        for t in (text, copy, text + block, text + block + block):
+            texts[len(texts) + 1] = t
+    sets = {d: {tuple(t[i:i + 5]) for i in range(len(t) - 4)} for d, t in texts.items()}
+    root = {d: d for d in sets}
+    for a in sets:
+        for b in range(1, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {d: min(x, y) if r in (x, y) else r for d, r in root.items()}
+    docs = spark.createDataFrame([(d, " ".join(t), "en", "a", 0, "x", 1) for d, t in texts.items()], DOCS)
+    got = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, FOLDER).collect()}
+    assert got == {d for d, r in root.items() if d == r}
+    assert len({1, 2, 5, 6, 9, 10} & got) == 3 and len(got) > 5
+
+
 def test_every_operator_has_a_query():
     assert [f"op{n}_" for n in range(1, 11)] == [next(q for q in sorted(queries.QUERIES) if q.startswith(f"op{n}_"))[:len(f"op{n}_")] for n in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
