@@ -8,11 +8,13 @@ exclusion).  Statistics are frozen after learning, so the cost in bits of every
 table, and the exact code length of a text is a sum of table entries.  The
 shortest code length names the language.
 
-Bytes are read in lower case, digits as one symbol, white space as one, and
-bytes outside the ``SYMBOLS`` most frequent of the sample as one.  The order
-is the largest whose table has at most ``CELLS`` entries over all languages, so
-the broadcast has a fixed bound.  Learning takes at most ``PER_LANG`` rows of each
-language (by hash of the id), and never held-out rows.
+Bytes are read in lower case, digits as one symbol and white space as one; every
+other byte value is a symbol of its own.  Only contexts that were seen are stored: for
+each language and order the sorted keys of (context, symbol) and of contexts, so order
+and alphabet do not depend on the number of languages.  The sample is bounded instead:
+at most ``PER_LANG`` rows of each language (by hash of the id), of at most
+``SAMPLE_BYTES`` together after the first, and never held-out rows.  The model grows
+with the number of languages, and holds at most ``ORDER + 1`` keys a byte of the sample.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 without learning rows every text is ``und``; ties go to the name first in order;
@@ -31,12 +33,11 @@ from . import grams
 from .common import held_out
 
 PER_LANG = 1500
-SYMBOLS = 40
-CELLS = 12_000_000
+SAMPLE_BYTES = 16_000_000
+SYMBOLS = 256
 ORDER = 3
 EVIDENCE = 64
 PAD = 0     # white space, and what stands before a text
-DIGIT, OTHER = 1, 2
 
 
 def _fold(raw: np.ndarray) -> np.ndarray:
@@ -48,16 +49,12 @@ def _fold(raw: np.ndarray) -> np.ndarray:
     return low
 
 
-def _symbols(counts: np.ndarray, size: int) -> np.ndarray:
-    """Symbol of every byte: the most frequent bytes have their own."""
-    own = np.full(256, OTHER, dtype=np.uint8)
-    counts = counts.copy()
-    counts[grams.SPACE] = 0
-    counts[48:58] = 0
-    top = [b for b in np.lexsort((np.arange(256), -counts))[:size - 3] if counts[b] > 0]
-    own[top] = np.arange(3, 3 + len(top))
+def _symbols() -> np.ndarray:
+    """Symbol of every byte: its own but for digits and white space (the byte 0 counts as 1)."""
+    own = np.arange(256, dtype=np.uint8)
+    own[0] = 1
+    own[48:58] = 48
     own[grams.SPACE] = PAD
-    own[48:58] = DIGIT
     return own
 
 
@@ -81,7 +78,7 @@ def _codes(raw: np.ndarray, offsets: np.ndarray, own: np.ndarray, size: int, ord
 
 
 def _code_lengths(counts: np.ndarray, size: int, order: int) -> np.ndarray:
-    """Bits of every (context, symbol) of one language; ``counts`` by code of order + 1 symbols."""
+    """Bits of every (context, symbol) of one language as a whole table, for small alphabets; ``counts`` by code of order + 1 symbols."""
     by_order = [counts.reshape((size,) * (order + 1)).astype(float)]
     for _ in range(order):
         by_order.append(by_order[-1].sum(axis=0))
@@ -96,49 +93,71 @@ def _code_lengths(counts: np.ndarray, size: int, order: int) -> np.ndarray:
     return cost.reshape(-1).astype(np.float32)
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG, size: int = SYMBOLS) -> dict | None:
-    """Frozen code lengths of every language; None without learning rows."""
+def _tree(code: np.ndarray, counts: np.ndarray, size: int, order: int) -> list[tuple[np.ndarray, ...]]:
+    """From the longest order to 0: sorted keys of seen (context, symbol) with their bits, and of contexts with the bits of an escape."""
+    out = []
+    for k in range(order, -1, -1):
+        key, at = np.unique(code % np.int64(size ** (k + 1)), return_inverse=True)
+        seen = np.bincount(at, weights=counts, minlength=len(key))
+        context, of, q = np.unique(key // size, return_inverse=True, return_counts=True)
+        n = np.bincount(of, weights=seen, minlength=len(context))
+        out.append((key, -np.log2(seen / (n + q)[of]), context, -np.log2(q / (n + q))))
+        code, counts = key, seen
+    return out
+
+
+def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of every wanted key, and whether it is there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _bits(tree: list[tuple[np.ndarray, ...]], code: np.ndarray, size: int) -> np.ndarray:
+    """Bits of every code: of the longest seen context that has the symbol, and of the escapes on the way."""
+    out = np.zeros(len(code))
+    left = np.arange(len(code))
+    for k, (key, bits, context, escape) in zip(range(len(tree) - 1, -1, -1), tree, strict=True):
+        short = code[left] % np.int64(size ** (k + 1))
+        at, there = _look(key, short)
+        out[left[there]] += bits[at[there]]
+        left, short = left[~there], short[~there]
+        at, there = _look(context, short // size)
+        out[left[there]] += escape[at[there]]
+    out[left] += np.log2(size)
+    return out
+
+
+def learn(docs: DataFrame, per_lang: int = PER_LANG) -> dict | None:
+    """The trees of every language; None without learning rows."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= per_lang).select(
-        "doc_id", "lang").distinct()
+    ranked = known.select("doc_id", "lang", F.octet_length("text").cast("long").alias("__size")).withColumn(
+        "__n", F.row_number().over(first)).where(F.col("__n") <= per_lang)
+    upto = F.sum("__size").over(Window.partitionBy("lang").orderBy("__n"))
+    chosen = ranked.withColumn("__upto", upto).where((F.col("__n") == 1) | (F.col("__upto") <= SAMPLE_BYTES)).select("doc_id", "lang").distinct()
     langs = [r["lang"] for r in chosen.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
-    order = ORDER
-    while order > 0 and len(langs) * size ** (order + 1) > CELLS:
-        order -= 1
     # at most per_lang ids a language: the stated bound of the sample
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
-
-    def bytes_of(batches):
-        total = np.zeros(256, dtype=np.int64)
-        for b in batches:
-            raw, _ = grams.text_bytes(b.column("text"))
-            for a in range(0, len(raw), grams.PIECE):
-                total += np.bincount(_fold(raw[a:a + grams.PIECE]), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["b", "n"])
-
-    counts = np.zeros(256, dtype=np.int64)
-    for r in sample.mapInArrow(bytes_of, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect():
-        counts[r["b"]] = r["n"]
-    own = _symbols(counts, size)
+    own = _symbols()
     number = {lang: i for i, lang in enumerate(langs)}
 
     def contexts(batches):
         for b in batches:
             raw, offsets = grams.text_bytes(b.column("text"))
             lang = np.array([number[x] for x in b.column("lang").to_pylist()])
-            for text, code in _codes(raw, offsets, own, size, order):
-                key, n = np.unique(lang[text] * np.int64(size ** (order + 1)) + code, return_counts=True)
+            for text, code in _codes(raw, offsets, own, SYMBOLS, ORDER):
+                key, n = np.unique(lang[text] * np.int64(SYMBOLS ** (ORDER + 1)) + code, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["k", "n"])
 
-    # at most CELLS different contexts, whatever the sample
+    # the different contexts of the sample, which is bounded
     found = sample.mapInArrow(contexts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(len(langs) * size ** (order + 1), dtype=np.float32)
-    table[found.column("k").to_numpy()] = found.column("n").to_numpy()
-    lengths = [_code_lengths(part, size, order) for part in table.reshape(len(langs), -1)]
-    return {"langs": langs, "own": own, "size": size, "order": order, "table": np.ascontiguousarray(np.stack(lengths, axis=1))}
+    key, n = found.column("k").to_numpy(), found.column("n").to_numpy()
+    lang, code = key // SYMBOLS ** (ORDER + 1), key % SYMBOLS ** (ORDER + 1)
+    # a language whose sample holds no byte knows no context: every symbol costs the same
+    trees = [_tree(code[lang == i], n[lang == i], SYMBOLS, ORDER) if (lang == i).any() else [] for i in range(len(langs))]
+    return {"langs": langs, "own": own, "size": SYMBOLS, "order": ORDER, "trees": trees}
 
 
 def code_lengths(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -148,9 +167,10 @@ def code_lengths(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]
     for a, b in grams.batch_slices(offsets):
         part, own = raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         for text, code in _codes(part, own, model["own"], model["size"], model["order"]):
-            cost = model["table"][code]
+            different, at = np.unique(code, return_inverse=True)
             begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-            bits[a + text[begin]] += np.add.reduceat(cost, begin, axis=0, dtype=np.float64)
+            for i, tree in enumerate(model["trees"]):
+                bits[a + text[begin], i] += np.add.reduceat(_bits(tree, different, model["size"])[at], begin)
     return bits, np.diff(offsets)
 
 
@@ -161,7 +181,7 @@ def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
         return docs.select(*kept, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    # bound of the broadcast: CELLS numbers of four bytes
+    # bound of the broadcast: the contexts of the sample
 
     def name(batches):
         m = shared.value

@@ -96,6 +96,29 @@ def test_language_held_out_accuracy(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
 
 
+def test_sparse_trees_equal_the_whole_table():
+    rng = np.random.default_rng(2)
+    size, order = 5, 2
+    counts = np.where(rng.random(size ** 3) < 0.3, rng.integers(1, 9, size ** 3), 0)
+    code = np.flatnonzero(counts)
+    got = language._bits(language._tree(code, counts[code], size, order), np.arange(size ** 3), size)
+    assert np.allclose(got, language._code_lengths(counts.astype(float), size, order), atol=1e-4)
+
+
+def test_order_and_alphabet_do_not_depend_on_the_number_of_languages(spark):
+    rng = random.Random(6)
+    scripts = {lang: (97, 26) for lang in ("de", "en", "es", "fr")} | {lang: (0x430, 32) for lang in ("bg", "ru", "uk")} | {
+        "ja": (0x4E00, 4000), "zh": (0x4E00, 4000)}
+    words = {lang: ["".join(chr(start + rng.randrange(n)) for _ in range(rng.randrange(2, 6))) for _ in range(150)] for lang, (start, n) in scripts.items()}
+    rows = [(d, " ".join(rng.choices(words[lang], k=12)), lang) for d, lang in enumerate(sorted(scripts) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs)
+    assert len(model["langs"]) == 9 and model["order"] == language.ORDER == 3
+    assert len(set(model["own"][0x80:])) == 128                     # no byte of a letter shares its symbol
+    got = language.predict(docs, model).where(held_out(F.col("doc_id"))).collect()
+    assert len(got) > 50 and all(r["lang"] == r["lang_pred"] for r in got)
+
+
 def test_language_awkward_rows(spark):
     docs = awkward(spark, (7, "123 456 !!", "en", "a", 3, "x", 1))
     model = language.learn(docs)
