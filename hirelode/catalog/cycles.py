@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators import filters as P
 from ..operators import scoring as C
+from ..operators import sets as U
 from ..operators import stats as R
+from ..operators.identity import normalize_postings
 from ..plans import cycles as Y
 from ..session import scratch_path
 from ..streaming import jobs as ST
@@ -34,9 +36,18 @@ def q2(t):
     return r.curated.select("native_id", "score")
 
 
+def moved(postings, host: str):
+    """Changed copies of postings: under another host, so with other canonical ids."""
+    return postings.withColumns({"url": F.replace("url", F.lit("careers.example.com"), F.lit(host)), "native_id": -F.col("native_id")})
+
+
 @query("q3_scan_cycle")
 def q3(t):
-    r = Y.scan_cycle(t.postings.where("native_id % 2 = 0"), t.scan_log, t.store.where("native_id % 5 <> 0"), t.store.where("native_id % 40 = 0"),
+    # every posting meets the store; changed copies of a source are new to it, others are only stored; of the new ones those in Berlin are buried
+    new = moved(t.postings.where("source = 'web'"), "new.example.com")
+    gone = U.first_by(normalize_postings(moved(t.postings.where("source = 'adzuna'"), "old.example.com")), ["id"], ["native_id"])
+    tombs = t.store.select("id").unionAll(normalize_postings(new.where("location = 'Berlin, Germany'")).select("id"))
+    r = Y.scan_cycle(t.postings.unionByName(new), t.scan_log, t.store.unionByName(gone), tombs,
                      t.store.where("native_id % 30 = 0"), PROFILE, A.NOW, hours=24 * 1200)
     return r.store.select("id", "title", "score", "tier", "profile_version")
 
@@ -114,7 +125,6 @@ def call_stream(t):
 
 
 def posting_stream(t):
-    from ..operators.identity import normalize_postings
     o = ST.read_folder(t.spark, t.folder, "orders")
     return normalize_postings(t.spark.sql(A.definition("postings", "STRING", lambda n: "{%s}" % n), orders=o, documents=t.documents))
 

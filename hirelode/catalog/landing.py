@@ -237,9 +237,19 @@ def s24(t):
 
 @query("s25_normalize_rss", f"SELECT CAST(native_id AS VARCHAR) AS source_id, company, CASE WHEN title LIKE 'Full Stack%' THEN 'Full Stack Developer' ELSE title END AS title, 'India' AS location FROM postings WHERE {VALID} AND title NOT LIKE 'Full Stack%'", "postings")
 def s25(t):
+    return M.normalize_rss(rss_pages(t)).where("title NOT LIKE 'Full Stack%'").select("source_id", "company", "title", "location")
+
+
+def rss_pages(t):
     card = """concat('<item><guid>', native_id, '</guid><title>', title, CASE native_id % 2 WHEN 0 THEN ' - ' ELSE ' at ' END, company, '</title><link>', replace(url, '&', '&amp;'), '</link><description>x</description></item>')"""
-    raw = markup_pages(t, card, '<rss><channel>', '</channel></rss>')
-    return M.normalize_rss(raw).where("title NOT LIKE 'Full Stack%'").select("source_id", "company", "title", "location")
+    return markup_pages(t, card, '<rss><channel>', '</channel></rss>')
+
+
+# titles with a dash of their own: the role is what stands before the first dash, the company what stands between the first two
+@query("s25_normalize_rss_whole", f"""SELECT CAST(native_id AS VARCHAR) AS source_id, CASE WHEN title NOT LIKE 'Full Stack%' THEN company WHEN native_id % 2 = 0 THEN 'Fresher' ELSE 'Fresher at ' || company END AS company,
+ CASE WHEN title LIKE 'Full Stack%' THEN 'Full Stack Developer' ELSE title END AS title, 'India' AS location FROM postings WHERE {VALID}""", "postings")
+def s25_whole(t):
+    return M.normalize_rss(rss_pages(t)).select("source_id", "company", "title", "location")
 
 
 @query("s26_normalize_naukri_actor", EXPECT.replace(" FROM", ", strftime(posted_date + CASE WHEN native_id % 2 = 0 THEN INTERVAL 1000000000 SECOND ELSE INTERVAL 0 SECOND END, '%Y-%m-%d %H:%M:%S') AS posted_date FROM"), "postings")
@@ -300,8 +310,17 @@ c AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replac
 SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Data Engineer' ELSE t END AS title, CASE WHEN page_id % 3 = 0 THEN 'Acme Corp' ELSE 'LinkedIn Poster' END AS company FROM c WHERE page_id % 3 = 0 OR t <> ''""")
 def s33(t):
     og = F.when(F.col("page_id") % 3 == 0, F.lit('<meta property="og:title" content="Data Engineer hiring in Pune | LinkedIn"><meta property="og:description" content="Acme Corp hiring Data Engineer: apply">')).otherwise(F.lit(""))
-    return M.import_posting_page(t.pages.withColumn("html", F.concat(og, "html"))).select("page_id", "title", "company") \
-        .where("page_id % 3 = 0 OR title <> ''")
+    return M.import_posting_page(t.pages.withColumn("html", F.concat(og, "html"))).select("page_id", "title", "company")
+
+
+# pages without a heading have their page title, and without both the last part of their URL
+@query("s33_import_posting_page_fallbacks", """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Page ' || page_id WHEN 1 THEN 'Data Engineer' ELSE 'Software Engineer (LinkedIn Import)' END AS title, 'LinkedIn Poster' AS company FROM pages""")
+def s33_fallbacks(t):
+    bare = F.regexp_replace("html", r"(?is)<(h1|title)\b[^>]*>.*?</\1>", "")
+    title = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<title>Page "), F.col("page_id").cast("string"), F.lit(" | LinkedIn</title>"))).otherwise(F.lit(""))
+    url = F.when(F.col("page_id") % 3 == 1, F.lit("https://x.example.com/jobs/data-engineer/?trk=1")).otherwise(F.lit("https://x.example.com/jobs/123/"))
+    return M.import_posting_page(t.pages.withColumns({"html": F.concat(title, bare), "url": url})).select("page_id", "title", "company")
 
 
 @query("s34_extract_detail_description", r"""

@@ -40,6 +40,26 @@ def test_query_equals_check(spark, duck, name):
     assert a == b
 
 
+@pytest.mark.parametrize("name", ["s25_normalize_rss_whole", "s33_import_posting_page", "s33_import_posting_page_fallbacks"])
+def test_landing_queries_give_every_row(spark, duck, name):
+    test_query_equals_check(spark, duck, name)
+    of = "pages" if name.startswith("s33") else "(SELECT * FROM (%s))" % entry.oracle_sql()["s32_normalize_linkedin"]
+    assert entry.queries()[name](spark, FOLDER).count() == duck.execute(f"SELECT count(*) FROM {of}").fetchone()[0]
+
+
+def test_scan_cycle_reads_every_posting(spark, tables):
+    from pyspark.sql import functions as F
+    got = {r["id"] for r in entry.queries()["q3_scan_cycle"](spark, FOLDER).collect()}
+    stored = tables.store.where("title <> 'Webinar on Cloud' AND first_seen > timestamp '2001-08-02' - interval 1199 day")
+    assert {r["id"] for r in stored.collect()} <= got
+    from hirelode.operators.identity import normalize_postings
+    def ids(host, where):
+        copies = tables.postings.where(where).withColumn("url", F.replace("url", F.lit("careers.example.com"), F.lit(host)))
+        return {r["id"] for r in normalize_postings(copies).select("id").collect()}
+    new, buried = ids("new.example.com", "source = 'web'"), ids("new.example.com", "source = 'web' AND location = 'Berlin, Germany'")
+    assert new & got and buried and not buried & got and ids("old.example.com", "source = 'adzuna'") & got
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     queries, checks = catalog.queries(), catalog.oracles()
