@@ -8,6 +8,7 @@ segments), never from all pairs of a block.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -17,8 +18,11 @@ from pyspark.sql.types import DoubleType
 
 from .. import rules
 from ..session import cut_lineage
+from .components import components
 
 BLOCK_LETTERS = 4
+ROUNDS = 20              # of first fit, before connected parts are settled whole
+PART_EDGES = 200_000     # most edges of such a part
 COMPANY_RATIO, LOCATION_RATIO, TITLE_RATIO = 0.85, 0.80, 0.85
 
 
@@ -197,17 +201,53 @@ def key_pairs(keys: DataFrame) -> DataFrame:
         .select("later", "earlier", "later_ord", "earlier_ord"))
 
 
-def first_fit(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _settle(part: pd.DataFrame) -> pd.DataFrame:
+    """The heads among the keys of one connected part: keys in turn, each after all its earlier ones."""
+    before, after = defaultdict(list), defaultdict(list)
+    for later, earlier in zip(part["later"], part["earlier"]):
+        before[later].append(earlier)
+        after[earlier].append(later)
+    missing = {key: len(found) for key, found in before.items()}
+    ready, heads = [key for key in after if key not in before], set()
+    while ready:
+        key = ready.pop()
+        if not any(earlier in heads for earlier in before.get(key, ())):
+            heads.add(key)
+        for later in after.get(key, ()):
+            missing[later] -= 1
+            if not missing[later]:
+                ready.append(later)
+    return pd.DataFrame({"earlier": sorted(heads)}, dtype=object)
+
+
+def _settle_parts(open_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(heads of the connected parts of at most ``PART_EDGES`` open edges, edges of the others)."""
+    roots = cut_lineage(components(open_edges, "later", "earlier"))
+    placed = cut_lineage(open_edges.join(roots.select(F.col("node").alias("later"), "root"), "later"))
+    large = cut_lineage(placed.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_EDGES).select("root"))
+    small = placed.join(large, "root", "left_anti")
+    return (cut_lineage(small.groupBy("root").applyInPandas(lambda part: _settle(part), "earlier string")),
+            cut_lineage(placed.join(large, "root", "left_semi").select("later", "earlier")))
+
+
+def first_fit(edges: DataFrame) -> DataFrame:
     """(member, head) by first fit: a key is a head when no earlier head matches it.
 
-    Rounds over the undecided edges only; every round is a checkpoint.
+    Rounds over the undecided edges only; every round is a checkpoint and settles at
+    least one key.  Rounds follow the longest chain of keys, so after ``ROUNDS`` of them
+    (and twice as many each time after) connected parts of bounded size are settled
+    whole; only longer ones need more rounds.
     """
     edges = cut_lineage(edges)
-    open_edges = edges.select("later", "earlier")
+    open_edges = edges.select("later", "earlier").distinct()
     heads = None
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
-            break
+    done, due = 0, ROUNDS
+    while not open_edges.isEmpty():
+        if done == due:
+            new_heads, open_edges = _settle_parts(open_edges)
+            heads = new_heads if heads is None else cut_lineage(heads.unionByName(new_heads))
+            due *= 2
+            continue
         waiting = open_edges.select(F.col("later").alias("earlier")).distinct()
         new_heads = open_edges.select("earlier").distinct().join(waiting, "earlier", "left_anti")
         members = open_edges.join(new_heads, "earlier", "left_semi").select("later").distinct()
@@ -218,8 +258,9 @@ def first_fit(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             open_edges.join(members, "later", "left_anti")
             .join(members.select(F.col("later").alias("earlier")), "earlier", "left_anti")
             .join(new_heads, "earlier", "left_anti"))
-    else:
-        raise RuntimeError("near-duplicate rounds did not settle")
+        done += 1
+        if done % 50 == 0:
+            heads = cut_lineage(heads)
     if heads is None:
         return edges.select(F.col("later").alias("member"), F.col("earlier").alias("head")).limit(0)
     # a key whose every earlier partner is a member is a head itself; it has no row here

@@ -3,9 +3,11 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelode import rules
+from hirelode.operators import near_dup
 from hirelode.operators.dedup import dedup_within, deduplicate, near_clusters
 from hirelode.operators.filters import import_companies
 from hirelode.operators.joins import containment_pairs
@@ -55,6 +57,26 @@ def test_near_clusters_equal_first_fit(spark):
     assert again == want
 
 
+@pytest.mark.parametrize("rounds, part", [(2, 200_000), (3, 40)])
+def test_first_fit_settles_long_chains(spark, monkeypatch, rounds, part):
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "PART_EDGES", part)
+    rng = random.Random(2)
+    long = 500 if part > 1000 else 20                                # a chain needs a round for each two keys
+    pairs = [(i, i - 1) for i in range(1, long)] + [(1000 + i, 1000 + i - 1) for i in range(1, 15)]
+    pairs += [(2000 + max(p), 2000 + min(p)) for p in (rng.sample(range(30), 2) for _ in range(60))]
+    earlier, heads, want = {}, set(), {}
+    for a, b in pairs:
+        earlier.setdefault(a, set()).add(b)
+    for key in sorted({x for p in pairs for x in p}):
+        found = sorted(earlier.get(key, set()) & heads)
+        want |= {key: found[0]} if found else {}
+        heads |= set() if found else {key}
+    edges = spark.createDataFrame([(f"{a:05d}", f"{b:05d}", a, b) for a, b in pairs], "later string, earlier string, later_ord int, earlier_ord int")
+    got = {int(r["member"]): int(r["head"]) for r in near_dup.first_fit(edges).collect()}
+    assert got == want
+
+
 def test_similar_names_lose_nothing(spark):
     rng = random.Random(3)
     base = ["acmewidgets", "acmeworks", "acmeindustrial services", "acme", "acmez"]
