@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hirelode.session import cut_lineage
 
-from . import decontaminate, html_text, jaccard, language, line_dedup, mixing, neighbours, pii, quality, sharding
+from . import covering, decontaminate, html_text, jaccard, language, line_dedup, mixing, neighbours, periodic, pii, quality, sharding, whitening
 from .common import held_out, table, word_count
 
 QUERIES = {}
@@ -83,3 +83,28 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
+@register
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = whitening.whiten(vectors, whitening.fit(vectors), ["vec_id"])
+    return found.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+@register
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(periodic.plant(table(spark, sf_dir, "documents")), ["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = F.col("best")
+    return found.select("doc_id", "runs", "collapsed", periodic.strongest("runs").alias("best")).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register
+def op13_covering_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covering.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", covering.as_hex("fingerprint").alias("fingerprint"), "component_id")
