@@ -231,7 +231,7 @@ def f22(t):
     targets = t.vector_queries.select(
         F.when(F.col("query_id") % 2 == 0, F.lit("target")).otherwise(F.lit("exclude")).alias("kind"), F.col("query").alias("vector"))
     items = t.embeddings.withColumn("keyword_hit", F.col("label") == 3)
-    return semantic_filter(items, targets, 0.3, 0.6, keyword="keyword_hit").select(
+    return semantic_filter(items, targets, 0.3, 0.6, keyword="keyword_hit", key="vec_id").select(
         "vec_id", F.round("target_similarity", 4).alias("target_similarity"),
         F.round("exclude_similarity", 4).alias("exclude_similarity"), "passed")
 

@@ -92,7 +92,7 @@ def hybrid(t):
     vec = t.embeddings.select(F.col("vec_id").alias("__v"), "embedding")
     items = t.store.withColumn("__v", F.pmod("native_id", n)).join(vec, "__v")
     chunks = t.vector_queries.select(F.col("query").alias("embedding"))
-    return C.score_hybrid(X.nearest_distance(items.select("native_id", "title", "description", "embedding"), chunks), PROFILE)
+    return C.score_hybrid(X.nearest_distance(items.select("native_id", "title", "description", "embedding"), chunks, "native_id"), PROFILE)
 
 
 HYBRID_SQL = f"""{SCORED_STORE},
@@ -515,6 +515,21 @@ def v4(t):
         "query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("distance", 4).alias("distance"))
 
 
+@query("j19_nearest_chunks", """
+WITH n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+d AS (SELECT q.vec_id AS asked, b.vec_id, b.label, greatest(0, list_dot_product(q.e, q.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(q.e, b.e)) AS dist FROM n q, n b WHERE b.vec_id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY round(dist, 9), vec_id) AS rank FROM d QUALIFY rank <= 5)
+SELECT s.native_id, r.rank, r.vec_id AS chunk_id, r.label, round(r.dist, 4) AS distance, CAST(round_even(greatest(0, least(1, (2 - dist) / 2)) * 100, 0) AS INTEGER) AS score
+FROM store s JOIN r ON r.asked = s.native_id % (SELECT count(*) FROM embeddings)""", "store")
+def j19(t):
+    n = t.embeddings.agg(F.count(F.lit(1))).scalar()
+    vec = t.embeddings.select(F.col("vec_id").alias("__v"), "embedding")
+    items = t.store.select("native_id").withColumn("__v", F.pmod("native_id", n)).join(vec, "__v")
+    chunks = t.embeddings.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "chunk_id")
+    return X.nearest_chunks(items, chunks, 5, key="native_id").select(
+        "native_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "label", F.round("distance", 4).alias("distance"), "score")
+
+
 @query("v5_distance_to_score", "SELECT l_orderkey AS k, l_linenumber AS n, CAST(sum(round_even(greatest(0, least(1, (2 - l_quantity / 20) / 2)) * 100, 0)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2")
 def v5(t):
     return t.lineitem.groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(
