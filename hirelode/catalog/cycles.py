@@ -15,7 +15,7 @@ from ..session import scratch_path
 from ..streaming import jobs as ST
 from .base import query
 from .filtering import TRIALS_SQL, trials
-from .joining import FB_SQL, titled_feedback
+from .joining import D_SELECT, FB_SQL, MERGED_SQL, merged_view, titled_feedback
 from .reports import FM_SQL, PROFILE, SCORED, SCORED_STORE, STREAK_SQL, filter_metrics
 from .text_fields import ts
 
@@ -107,21 +107,41 @@ def v1(t):
 
 # --- streams -----------------------------------------------------------------
 
-def scan_stream(t):
-    """The scan log as a stream of its source files."""
-    e = ST.read_folder(t.spark, t.folder, "events")
-    failed = F.col("event_type") == "error"
-    return e.select(
-        F.col("event_id").alias("scan_id"), F.col("user_id").alias("company_id"), F.col("ts").alias("scanned_at"),
-        F.when(failed, 0).otherwise((F.col("event_id") % 30).cast("int")).alias("jobs_found"),
-        F.when(failed, 0).otherwise((F.col("event_id") % 4).cast("int")).alias("fresher_found"),
-        F.expr("CASE event_type WHEN 'view' THEN 'heuristic' WHEN 'click' THEN 'stored_pattern' WHEN 'signup' THEN 'workday_api' ELSE 'apify' END").alias("method"),
-        F.when(failed, F.lit("Timeout")).alias("error"))
+def deliver(t, df, at: str, tie: str, run):
+    """Land a table in four deliveries and call ``run(stream)`` after each; the second one comes twice.
 
+    Deliveries are quarters of the time the table covers; of the last hour before a new
+    quarter, rows with an odd ``tie`` come with the quarter, so times cross the files.
+    """
+    root, stream = scratch_path(t.spark, "landing"), None
+    us = F.unix_micros(F.col(at))
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    part = F.floor((us + F.when(F.col(tie) % 2 == 1, 3_600_000_000).otherwise(0) - (low or 0)) * 4 / (((high or 0) - (low or 0)) + 1))
+    df.withColumn("part", F.least(F.lit(3), part).cast("int")).write.partitionBy("part").parquet(f"{root}/staged")
+    staged = t.spark.read.parquet(f"{root}/staged")
+    for n, part in enumerate([0, 1, 1, 2, 3]):
+        staged.where(F.col("part") == part).drop("part").write.parquet(f"{root}/landed/delivery-{n}")
+        if n == 0:
+            stream = t.spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{root}/landed")
+        run(stream)
+    return stream
 
-def call_stream(t):
-    return ST.read_folder(t.spark, t.folder, "events").select(
-        F.col("event_id").alias("call_id"), (F.col("user_id") % 5).alias("key_id"), F.col("ts").alias("called_at"), (F.col("event_type") == "error").alias("failed"))
+
+def ordered(t, make, events, at: str, tie: str):
+    """An ordered job over the deliveries of ``events``; what is still held counts as complete."""
+    job = make(ST.Ledger(t.spark, scratch_path(t.spark, "ordered")))
+    deliver(t, events, at, tie, job.run)
+    return job.view()
+
+
+def windowed(t, job, events, at: str, tie: str):
+    root = scratch_path(t.spark, "windows")
+    stream = deliver(t, events, at, tie, lambda s: job.run(s, root))
+    return job.all(stream, root)
+
+
+def scan_events(t):
+    return t.scan_log.select("scan_id", "company_id", "scanned_at", "jobs_found", "fresher_found")
 
 
 def posting_stream(t):
@@ -129,12 +149,30 @@ def posting_stream(t):
     return normalize_postings(t.spark.sql(A.definition("postings", "STRING", lambda n: "{%s}" % n), orders=o, documents=t.documents))
 
 
+def ingested(t):
+    job = ST.IngestJob(ST.Ledger(t.spark, scratch_path(t.spark, "ingest")), ST.IngestConfig(PROFILE, "1999-06-15 00:00:00", 20, hours=60 * 24))
+    # boards land postings without a match
+    landed = t.postings.withColumns({"score": F.lit(None).cast("int"), "tier": F.lit(None).cast("int"), "profile_version": F.lit(None).cast("string")})
+    deliver(t, landed, "first_seen", "native_id", job.run)
+    return job
+
+
 @query("t1_ingest_stream", f"WITH {Q_UNIQUE}, {UQ_SCORED} SELECT native_id, local_score FROM scored", "pid")
 def t1(t):
-    root = scratch_path(t.spark, "ingest")
-    landed = posting_stream(t).drop("id", "canonical_url", "normalized_company", "normalized_title", "normalized_location", "req_id", "sources", "source_ids")
-    ST.ingest_stream(landed, root, lambda df: C.score_local(df, PROFILE)).awaitTermination()
-    return t.spark.read.parquet(f"{root}/scored").select("native_id", "local_score")
+    job = ingested(t)
+    return job.table("store").join(job.table("scores"), "id").select("native_id", "local_score")
+
+
+@query("t1_ingest_store", f"WITH valid AS (SELECT * FROM pid WHERE title <> 'Webinar on Cloud'), {MERGED_SQL.replace('{src}', 'valid')} {D_SELECT}", "pid")
+def t1b(t):
+    return merged_view(ingested(t).table("store"))
+
+
+@query("t1_ingest_curated", f"""WITH {Q_UNIQUE}, {UQ_SCORED}, kk AS (SELECT *, date_diff('second', seen, TIMESTAMP '1999-06-15 00:00:00') / 3600.0 AS age FROM scored WHERE local_score >= 20 AND date_diff('second', seen, TIMESTAMP '1999-06-15 00:00:00') <= 60 * 24 * 3600),
+u AS (SELECT CASE WHEN count(*) FILTER (age <= 24) >= 10 THEN 24 ELSE 72 END AS used FROM kk)
+SELECT native_id, local_score AS score FROM kk, u WHERE age <= used""", "pid")
+def t1c(t):
+    return ingested(t).table("curated").select("native_id", "score")
 
 
 @query("t2_dedup_stream", "SELECT DISTINCT id FROM pid", "pid")
@@ -148,10 +186,10 @@ WITH o AS (SELECT 'p' || o_custkey % 50 AS id, o_orderdate AS seen_at, o_orderke
 m AS (SELECT *, max(CASE WHEN pruned THEN seen_at END) OVER (PARTITION BY id ORDER BY seen_at, CASE WHEN pruned THEN 0 ELSE 1 END ROWS UNBOUNDED PRECEDING) AS last_at FROM o)
 SELECT id, count(*) AS seen FROM m WHERE NOT pruned AND (last_at IS NULL OR date_diff('second', last_at, seen_at) >= 30 * 86400) GROUP BY 1""")
 def t3(t):
-    ST.enable_state(t.spark)
-    o = ST.read_folder(t.spark, t.folder, "orders").select(
-        F.expr("concat('p', o_custkey % 50)").alias("id"), F.col("o_orderdate").alias("at"), F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'pruned' ELSE 'seen' END").alias("kind"))
-    return ST.run_available(ST.tombstone_stream(o)).groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
+    events = t.orders.select(
+        F.col("o_orderkey").alias("event_id"), F.expr("concat('p', o_custkey % 50)").alias("id"), F.col("o_orderdate").alias("at"),
+        F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'pruned' ELSE 'seen' END").alias("kind"))
+    return ordered(t, ST.tombstone_job, events, "at", "event_id")[1].groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
 
 
 @query("t4_event_time", "SELECT native_id, strftime(CASE WHEN native_id % 2 = 0 THEN posted_date ELSE first_seen END, '%Y-%m-%d %H:%M:%S') AS event_ts FROM postings", "postings")
@@ -163,30 +201,29 @@ def t4(t):
 @query("t5_yield_stream", f"""
 SELECT strftime(time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '2000-01-01'), {FMT}) AS started_at, count(*) AS scans, CAST(sum(CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 30 END) AS BIGINT) AS jobs_found FROM events GROUP BY 1""")
 def t5(t):
-    return ST.run_available(ST.yield_stream(scan_stream(t)), "complete").select(ts("started_at").alias("started_at"), "scans", "jobs_found")
+    return ST.yield_rows(windowed(t, ST.yield_windows(), scan_events(t), "scanned_at", "scan_id")).select(ts("started_at").alias("started_at"), "scans", "jobs_found")
 
 
 @query("t6_rate_stream", f"""
 WITH e AS (SELECT user_id % 5 AS key_id, epoch(ts) AS s FROM events), w AS (SELECT key_id, CAST(floor(s / 10) AS BIGINT) * 10 - k * 10 AS st FROM e, (SELECT unnest(range(6)) AS k))
 SELECT key_id, st AS started_at, count(*) AS calls FROM w GROUP BY 1, 2""")
 def t6(t):
-    return ST.run_available(ST.rate_stream(call_stream(t)), "complete").select("key_id", F.unix_timestamp("started_at").alias("started_at"), "calls")
+    rows = ST.rate_rows(windowed(t, ST.rate_windows("2 hours"), t.usage_log, "called_at", "call_id"))
+    return rows.select("key_id", F.unix_timestamp("started_at").alias("started_at"), "calls")
 
 
 @query("t7_streak_stream", f"WITH {STREAK_SQL} SELECT company_id, zero_streak AS zero_yield_streak, fresher_streak AS fresher_zero_streak FROM streak", "scan_log")
 def t7(t):
-    ST.enable_state(t.spark)
-    return ST.run_available(ST.streak_stream(scan_stream(t))).select("company_id", "zero_yield_streak", "fresher_zero_streak")
+    return ordered(t, ST.streak_job, scan_events(t), "scanned_at", "scan_id")[0].select("company_id", "zero_yield_streak", "fresher_zero_streak")
 
 
 @query("t8_pattern_stream", """
 WITH e AS (SELECT user_id AS company_id, struct_pack(a := ts, b := event_id) AS k, event_type NOT IN ('view', 'click') AS failed FROM events), r AS (SELECT company_id, max(k) FILTER (NOT failed) AS k FROM e GROUP BY 1)
 SELECT company_id, count(*) FILTER (failed AND (r.k IS NULL OR e.k > r.k)) AS failure_count FROM e JOIN r USING (company_id) GROUP BY 1""")
 def t8(t):
-    ST.enable_state(t.spark)
-    events = scan_stream(t).select("company_id", F.col("scanned_at").alias("at"), F.col("scan_id").alias("event_id"),
-                                   F.when(F.col("method").isin("heuristic", "stored_pattern") & F.col("error").isNull(), F.lit("validated")).otherwise(F.lit("failed")).alias("kind"))
-    return ST.run_available(ST.pattern_stream(events)).select("company_id", "failure_count")
+    events = t.scan_log.select(F.col("scan_id").alias("event_id"), "company_id", F.col("scanned_at").alias("at"), F.when(
+        F.col("method").isin("heuristic", "stored_pattern") & F.col("error").isNull(), F.lit("validated")).otherwise(F.lit("failed")).alias("kind"))
+    return ordered(t, ST.pattern_job, events, "at", "event_id")[0].select("company_id", "failure_count")
 
 
 @query("t9_trial_stream", """
@@ -194,23 +231,22 @@ WITH e AS (SELECT 'trial ' || user_id AS trial, ts, row_number() OVER (PARTITION
 SELECT trial, least(20, count(*) FILTER (date_diff('second', t0, ts) < 3 * 86400)) AS outcomes, CASE WHEN count(*) FILTER (date_diff('second', t0, ts) < 3 * 86400) >= 20 THEN 'outcomes' ELSE 'deadline' END AS closed_by FROM e GROUP BY 1
 HAVING count(*) FILTER (date_diff('second', t0, ts) < 3 * 86400) >= 20 OR max(date_diff('second', t0, ts)) >= 3 * 86400""")
 def t9(t):
-    ST.enable_state(t.spark)
-    outcomes = ST.read_folder(t.spark, t.folder, "events").select(F.expr("concat('trial ', user_id)").alias("trial"), F.col("ts").alias("at"))
-    return ST.run_available(ST.trial_stream(outcomes))
+    outcomes = t.events.select(F.col("event_id").alias("outcome_id"), F.expr("concat('trial ', user_id)").alias("trial"), F.col("ts").alias("at"))
+    return ordered(t, ST.trial_job, outcomes, "at", "outcome_id")[0].where("closed_by IS NOT NULL").select("trial", "outcomes", "closed_by")
 
 
 @query("t10_quota_stream", "SELECT user_id % 5 AS key_id, strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d') AS quota_day, count(*) AS used, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1, 2")
 def t10(t):
-    return ST.run_available(ST.quota_stream(call_stream(t)), "complete")
+    return ST.quota_rows(windowed(t, ST.quota_windows("2 hours"), t.usage_log, "called_at", "call_id"))
 
 
 @query("t11_watch_stream", """
 SELECT 'firm ' || user_id AS name, count(*) AS checks, CAST(max(f) AS BIGINT) AS best_fresher_seen, CASE WHEN arg_max(f, struct_pack(a := ts, b := event_id)) > 0 THEN 'promoted' ELSE 'parked' END AS state
 FROM (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE event_id % 4 END AS f FROM events) GROUP BY 1""")
 def t11(t):
-    ST.enable_state(t.spark)
-    probes = scan_stream(t).select(F.expr("concat('firm ', company_id)").alias("name"), F.col("scanned_at").alias("checked_at"), F.col("scan_id").alias("probe_id"), F.col("fresher_found").alias("fresher_jobs"))
-    return ST.run_available(ST.watch_stream(probes))
+    probes = t.scan_log.select(F.col("scan_id").alias("probe_id"), F.expr("concat('firm ', company_id)").alias("name"),
+                               F.col("scanned_at").alias("checked_at"), F.col("fresher_found").alias("fresher_jobs"))
+    return ordered(t, ST.watch_job, probes, "checked_at", "probe_id")[0]
 
 
 @query("t12_since", "SELECT native_id FROM postings WHERE first_seen > TIMESTAMP '2000-01-01'", "postings")

@@ -30,6 +30,20 @@ def running(df: DataFrame, keys: list[str], ts: str, tie: str, sums: dict[str, C
         "__span", *[f"__{p}_{n}" for n in sums for p in ("v", "in", "b")])
 
 
+def last_before(df: DataFrame, keys: list[str], order: list[str], ts: str, value: Column, name: str, span: str = "day") -> DataFrame:
+    """Adds ``name``: the largest ``value`` of the rows of a key up to and including each one, for keys of any size.
+
+    As in ``running``, rows are ordered inside (key, time span) only, and the spans of a
+    key carry the largest value of those before them.
+    """
+    spanned = df.withColumns({"__span": F.date_trunc(span, ts), "__value": value})
+    inside = Window.partitionBy(*keys, "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spanned.groupBy(*keys, "__span").agg(F.max("__value").alias("__most")).select(*keys, "__span", F.max("__most").over(before).alias("__before"))
+    joined = spanned.withColumn("__in", F.max("__value").over(inside)).join(carried, [*keys, "__span"])
+    return joined.withColumn(name, F.greatest("__in", "__before")).drop("__span", "__value", "__in", "__before")
+
+
 def rank_companies(companies: DataFrame) -> DataFrame:
     """Scan order 1..n with the reason."""
     pref = F.coalesce("preference", F.lit(0.5))
