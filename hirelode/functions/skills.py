@@ -22,31 +22,72 @@ def _holds_any(t: Column, literals: list[str]) -> Column:
     return out
 
 
+# a word of a text is a run of these
+LETTER = r"[\p{L}\p{N}_]"
+
+
+def prefix_tree(words) -> str:
+    """Alternation of literal words that tells them apart letter by letter, so that few letters of a text are tried twice."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def body(node: dict) -> str:
+        ways = [re.escape(letter) + body(child) for letter, child in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})" + ("?" if "" in node else "")
+
+    return body(root)
+
+
+def _context_pattern(skill: str, around: dict) -> str:
+    """Where an ambiguous name stands for the skill."""
+    name, blank = skill.upper(), r"\s"
+    ways = [any_of(around["names"])] if around["names"] else []
+    if around["followers"]:
+        ways.append(rf"{name}{blank}*(?:{any_of(around['followers'])})")
+    if around["leads"]:
+        leads = "|".join(re.escape(w) for w in around["leads"])
+        ways.append(rf"(?:{leads}){blank}+{name}")
+    if around["beside"]:
+        ways.append(rf"{name}{blank}*[/,]{blank}*(?:{any_of(around['beside'])})")
+    if skill == "C":                                # beside C++ only
+        ways += [rf"C{blank}*/{blank}*C\+\+", rf"C{blank}+(?:OR|,){blank}+C\+\+"]
+    return rf"(?U)\b(?:{'|'.join(ways)})(?:$|{blank}|\b)"
+
+
 def extract_skills(text) -> Column:
     """Sorted skills named in a text.
 
-    All skills with an unambiguous name are found in one pass of one
-    alternation; the ambiguous ones and the rescue spellings need a test each.
+    One pass of one prefix tree finds every dictionary entry of up to three words, other
+    spellings and the ambiguous names; only a text that holds such a name is searched for
+    the words that must stand around it.
     """
-    return bind(F.upper(F.coalesce(_c(text), F.lit(""))), _skills_in)
-
-
-def _skills_in(t: Column) -> Column:
-    plain = [s for s in rules.KNOWN_SKILLS if s not in rules.CONTEXT_SKILLS]
-    wordy = [s.upper() for s in plain if s[-1].isalnum()]
-    symbol = [s.upper() for s in plain if not s[-1].isalnum()]
-    pattern = rf"(?U)\b(?:(?:{any_of(wordy)})\b|(?:{any_of(symbol)})(?=$|\s|\w))"
-    display = _skill_map({s.upper(): s for s in plain})
-    named = F.transform(
-        F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 0)), lambda s: F.element_at(display, s))
-    contextual = [
-        F.when(_holds_any(t, rules.CONTEXT_ANCHORS[skill]) & t.rlike(rf"(?U)\b(?:{body})(?:$|\s|\b)"), F.lit(skill))
-        for skill, body in rules.CONTEXT_SKILLS.items()]
-    # a plain substring search is far cheaper than the pattern and rules most texts out
-    rescued = [
-        F.when(_holds_any(t, body.split("|")) & t.rlike(bounded(body)), F.lit(skill))
-        for skill, body in rules.SKILL_RESCUES.items()]
-    return F.array_sort(F.array_union(named, F.array_compact(F.array(*contextual, *rescued))))
+    plain = {s.upper(): s for s in rules.KNOWN_SKILLS if s not in rules.CONTEXT_SKILLS} | rules.SKILL_RESCUES
+    heads: dict[str, list[str]] = {}
+    for skill, around in rules.CONTEXT_SKILLS.items():
+        heads[skill] = [skill.upper(), *[n for n in around["names"] if not n.startswith(skill.upper() + "-") and "/" not in n]]
+    entries = sorted({*plain, *[h for own in heads.values() for h in own]})
+    wordy, symbol = [e for e in entries if e[-1].isalnum()], [e for e in entries if not e[-1].isalnum()]
+    glued = "|".join(rf"{s.upper()}(?={any_of(a['followers'])})" for s, a in rules.CONTEXT_SKILLS.items() if a["followers"])
+    pattern = rf"(?<!{LETTER})(?:{prefix_tree(symbol)}(?=$|\s|{LETTER})|{prefix_tree(wordy)}(?!{LETTER})|{glued})"
+    # an entry may hold another one as a word of its own
+    inside = {e: sorted({plain[x] for x in plain if re.search(rf"(?<!\w){re.escape(x)}(?!\w)", e)}) for e in plain}
+    display = F.create_map(*[x for e, names in inside.items() for x in (F.lit(e), F.array(*[F.lit(n) for n in names]))])
+
+    def named(t: Column, found: Column) -> Column:
+        sure = F.flatten(F.array_compact(F.transform(found, lambda s: F.element_at(display, s))))
+        by_context = [
+            F.when(F.arrays_overlap(found, F.array(*[F.lit(h) for h in heads[skill]])) & t.rlike(_context_pattern(skill, around)), F.lit(skill))
+            for skill, around in rules.CONTEXT_SKILLS.items()]
+        return F.array_sort(F.array_union(sure, F.array_compact(F.array(*by_context))))
+
+    return bind(F.upper(F.coalesce(_c(text), F.lit(""))), lambda t: bind(
+        F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), 0)), lambda found: F.when(F.size(found) > 0, named(t, found)).otherwise(F.array().cast("array<string>"))))
 
 
 def canonical_skill(col) -> Column:
@@ -106,14 +147,27 @@ def seniority(title, description) -> Column:
 
 
 def _seniority_of(t: Column, d: Column) -> Column:
-    nt = F.regexp_replace(t, r"[^A-Z0-9\+]", " ")
-    # every wording of a required span has this word; other texts need no rewriting
-    nd = F.when(d.contains("YEARS"), F.regexp_replace(d, r"[^A-Z0-9\+]", " ")).otherwise(F.lit(""))
-    executive = nt.rlike(bounded("|".join(rules.EXECUTIVE_TITLE))) | nd.rlike(bounded("|".join(rules.EXECUTIVE_TEXT)))
-    senior = executive | nt.rlike(bounded("|".join(rules.SENIOR_TITLE))) | nd.rlike(bounded("|".join(rules.SENIOR_TEXT)))
-    both = F.concat(t, F.lit(" "), d)
-    entry = (_holds_any(both, rules.ENTRY_ANCHORS) & both.rlike(bounded("|".join(rules.ENTRY_TEXT)))) | t.contains("INTERN")
-    return F.struct(executive.alias("executive"), senior.alias("senior"), entry.alias("entry"))
+    """Anything but letters, digits and plus signs parts the words; titles are rewritten so, long texts are matched as they are."""
+    part, start, end = r"[^A-Z0-9+]", r"(?<![A-Z0-9])", r"(?![A-Z0-9])"
+    several = any_of([*rules.EXECUTIVE_YEARS, *rules.SENIOR_YEARS])
+    asked = rf"{start}(?:REQUIRES?{part}+(?:AT{part}+LEAST{part}+)?|(?=[0-9]+\+))({several})\+?{part}*YEARS{end}"
+
+    def titled(nt: Column, words: list[str]) -> Column:
+        return nt.rlike(bounded("|".join(w.replace(" ", r"\s+") for w in words)))
+
+    def verdict(nt: Column, years: Column) -> Column:
+        def over(limits: list[str]) -> Column:
+            return F.arrays_overlap(years, F.array(*[F.lit(y) for y in limits]))
+
+        executive = titled(nt, rules.EXECUTIVE_TITLES) | over(rules.EXECUTIVE_YEARS)
+        senior = executive | titled(nt, rules.SENIOR_TITLES) | over(rules.SENIOR_YEARS)
+        both = F.concat(t, F.lit(" "), d)
+        entry = t.contains("INTERN") | (_holds_any(both, rules.ENTRY_ANCHORS) & both.rlike(bounded("|".join(rules.ENTRY_TEXT))))
+        return F.struct(executive.alias("executive"), senior.alias("senior"), entry.alias("entry"))
+
+    none = F.array().cast("array<string>")
+    return bind(F.regexp_replace(t, r"[^A-Z0-9\+]", " "), lambda nt: bind(
+        F.when(d.contains("YEARS"), F.regexp_extract_all(d, F.lit(asked), 1)).otherwise(none), lambda years: verdict(nt, years)))
 
 
 def numbered_level(title) -> Column:
