@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -94,23 +96,122 @@ def deduplicate(landed: DataFrame, near: bool = True) -> tuple[DataFrame, DataFr
     return unique, metrics
 
 
+# --- chains of kept times ----------------------------------------------------
+
+BUCKET_TOLERANCES = 32      # width of a time bucket
+FAN = 64                    # buckets folded into one on the next level
+NEVER = -(1 << 62)          # nothing kept yet
+LINKS = "k string, bucket long, times array<long>, ends array<long>"
+
+
+def _last(times: np.ndarray, ends: np.ndarray, kept: np.ndarray, tolerance: int) -> np.ndarray:
+    """The last kept time after a bucket for each last kept time before it."""
+    at = np.searchsorted(times, kept + tolerance)
+    return np.where(at < len(times), np.append(ends, NEVER)[at], kept)
+
+
+def _openings(times: np.ndarray, ends: np.ndarray, start: int, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is enough of a bucket for all that may come before: a time kept before ``start``
+    lets a chain begin anywhere in the first tolerance, or else at the first time after it."""
+    n = int(np.searchsorted(times, start + tolerance)) + 1
+    return times[:n], ends[:n]
+
+
+def _row(k: pa.Scalar, bucket: int, times: np.ndarray, ends: np.ndarray) -> pa.Table:
+    longs = pa.list_(pa.int64())
+    return pa.table({"k": pa.array([k.as_py()], pa.string()), "bucket": pa.array([bucket], pa.int64()), "times": pa.array([times], longs), "ends": pa.array([ends], longs)})
+
+
+def _in_order(children: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    children = children.sort_by("bucket")
+    return [(np.array(t, np.int64), np.array(e, np.int64)) for t, e in zip(children["times"].to_pylist(), children["ends"].to_pylist(), strict=True)]
+
+
+def _bucket_links(width: int, tolerance: int):
+    def links(key: tuple, group: pa.Table) -> pa.Table:
+        times = np.sort(group["us"].to_numpy())
+        following, ends = np.searchsorted(times, times + tolerance), times.copy()
+        for i in range(len(times) - 1, -1, -1):
+            if following[i] < len(times):
+                ends[i] = ends[following[i]]
+        bucket = key[1].as_py()
+        return _row(key[0], bucket, *_openings(times, ends, bucket * width, tolerance))
+
+    return links
+
+
+def _compose(width: int, tolerance: int):
+    def composed(key: tuple, group: pa.Table) -> pa.Table:
+        """The buckets of a group as one."""
+        number = key[1].as_py()
+        start = number * FAN * width
+        times, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for t, e in _in_order(group):
+            ends = _last(t, e, ends, tolerance)
+            if not len(times) or times[-1] < start + tolerance:
+                times, ends = np.append(times, t), np.append(ends, e)
+        return _row(key[0], number, *_openings(times, ends, start, tolerance))
+
+    return composed
+
+
+def _hand_down(tolerance: int):
+    def handed(key: tuple, group: pa.Table) -> pa.Table:
+        """The last kept time before each bucket of a group, from the one before the group."""
+        group = group.sort_by("bucket")
+        kept, before = np.array([group["before"][0].as_py()]), []
+        for t, e in _in_order(group):
+            before.append(int(kept[0]))
+            kept = _last(t, e, kept, tolerance)
+        return pa.table({"k": group["k"], "bucket": group["bucket"], "before": pa.array(before, pa.int64())})
+
+    return handed
+
+
+def _kept(tolerance: int):
+    def keep(key: tuple, group: pa.Table) -> pa.Table:
+        times, out = np.sort(group["us"].to_numpy()), []
+        at = int(np.searchsorted(times, group["before"][0].as_py() + tolerance))
+        while at < len(times):
+            out.append(int(times[at]))
+            at = int(np.searchsorted(times, times[at] + tolerance))
+        return pa.table({"k": pa.array([key[0].as_py()] * len(out), pa.string()), "us": pa.array(out, pa.int64())})
+
+    return keep
+
+
 def dedup_within(df: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
     """Drop entries within ``seconds`` of the last kept entry of their key.
 
-    Runs of entries separated by at least the tolerance are independent: the
-    first entry after such a gap is always kept.  Each run is folded on its
-    own; what the fold holds is one run's timestamps, not a key's history.
+    Whether a time is kept hangs on all times before it.  A bucket of time is a function
+    from the last kept time before it to the last kept one in it, known from the chains
+    that begin in its first tolerance.  Buckets of a key compose in groups of ``FAN``, level by
+    level; what was kept before each group is handed down again, and every bucket then
+    keeps its own times.  So a key with all the rows runs in as many tasks as it has
+    buckets, and a task holds the different times of one bucket.  Rows without a time go.
     """
-    w = Window.partitionBy(*keys).orderBy(ts)
-    micros = F.unix_micros(F.col(ts))
-    tolerance = int(seconds * 1_000_000)
-    gap = micros - F.lag(micros).over(w)
-    runs = df.select(*keys, ts).distinct().withColumn(
-        "__run", F.sum(F.when(F.coalesce(gap >= tolerance, F.lit(True)), 1).otherwise(0)).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(F.unix_micros(F.col(ts)))).alias("t"))
-    kept = folded.withColumn("kept", F.aggregate(
-        "t", F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= tolerance), F.concat(acc, F.array(x))).otherwise(acc)))
-    times = kept.select(*keys, F.explode("kept").alias("__us")).select(*keys, F.timestamp_micros("__us").alias(ts))
-    return df.join(times, [*keys, ts], "left_semi")
+    tolerance = max(1, int(seconds * 1_000_000))
+    width = BUCKET_TOLERANCES * tolerance
+    keyed = df.withColumns({"__k": F.to_json(F.struct(*keys)), "__us": F.unix_micros(F.col(ts).cast("timestamp"))}).where("__us IS NOT NULL")
+    times = cut_lineage(keyed.select(F.col("__k").alias("k"), F.col("__us").alias("us")).distinct().withColumn("bucket", F.floor(F.col("us") / width)))
+    first, last = times.agg(F.min("bucket"), F.max("bucket")).first()
+    if first is None:
+        return df.limit(0)
+    times = times.withColumn("bucket", F.col("bucket") - first)
+    offset = first * width
+    levels = [cut_lineage(times.withColumn("us", F.col("us") - offset).groupBy("k", "bucket").applyInArrow(_bucket_links(width, tolerance), LINKS))]
+
+    span, wide = last - first + 1, width
+    while span > 1:
+        group = F.floor(F.col("bucket") / FAN)
+        levels.append(cut_lineage(levels[-1].groupBy("k", group.alias("__g")).applyInArrow(_compose(wide, tolerance), LINKS)))
+        span, wide = -(-span // FAN), wide * FAN
+    before = levels[-1].select("k", F.col("bucket").alias("__g"), F.lit(NEVER).alias("before"))
+    for level in reversed(levels[:-1]):
+        children = level.withColumn("__g", F.floor(F.col("bucket") / FAN)).join(before, ["k", "__g"])
+        before = cut_lineage(children.groupBy("k", "__g").applyInArrow(_hand_down(tolerance), "k string, bucket long, before long")) \
+            .withColumnRenamed("bucket", "__g")
+    placed = times.withColumn("us", F.col("us") - offset).join(before.withColumnRenamed("__g", "bucket"), ["k", "bucket"])
+    kept = placed.groupBy("k", "bucket").applyInArrow(_kept(tolerance), "k string, us long")
+    kept = kept.select(F.col("k").alias("__k"), (F.col("us") + offset).alias("__us"))
+    return keyed.join(kept, ["__k", "__us"], "left_semi").select(*df.columns)
