@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from .. import rules
 from ..operators import dedup as D
 from ..operators import joins as J
 from ..operators import sets as U
@@ -244,7 +245,28 @@ def d3(t):
 
 @query("d2_dedup_near")
 def d2(t):
-    return D.dedup_near(D.dedup_exact(reposted(t))).select("id", "company", "title", "location", F.array_join("sources", ",").alias("sources"))
+    # the result holds no texts, so rows leave theirs at the start
+    return D.dedup_near(D.dedup_exact(D.without_text(reposted(t)))).select("id", "company", "title", "location", F.array_join("sources", ",").alias("sources"))
+
+
+@query("d2_first_fit_words", """
+WITH RECURSIVE w AS (SELECT p.id, first_seen, ncompany, req, CASE location WHEN 'Berlin, Germany' THEN 'berlin' ELSE 'bangalore' END AS place,
+  CASE CAST(floor(native_id / 3600) AS BIGINT) % 4 WHEN 0 THEN base WHEN 1 THEN base || ' role' WHEN 2 THEN replace(base, 'ee', 'e') ELSE 'urgent ' || base END AS t
+  FROM (SELECT *, ntitle AS base FROM pid) p),
+k AS (SELECT ncompany, t, place, req, min(struct_pack(a := first_seen, b := id)) AS ord FROM w GROUP BY 1, 2, 3, 4),
+n AS (SELECT *, row_number() OVER (PARTITION BY ncompany, place ORDER BY ord) AS i, list_distinct(string_split(t, ' ')) AS ws,
+  list_sort(list_intersect(list_distinct(string_split(t, ' ')), {SENIORITY})) AS level FROM k),
+f AS (SELECT ncompany, place, t, req, i, ord.b AS own, [struct_pack(ws := ws, level := level, req := req, id := ord.b)] AS heads, ord.b AS head FROM n WHERE i = 1
+ UNION ALL SELECT ncompany, place, t, req, i, own, CASE WHEN m IS NULL THEN list_append(heads, me) ELSE heads END, coalesce(m, own) FROM (
+  SELECT n.ncompany, n.place, n.t, n.req, n.i, n.ord.b AS own, f.heads, struct_pack(ws := n.ws, level := n.level, req := n.req, id := n.ord.b) AS me,
+   list_filter(f.heads, lambda h: h.level = n.level AND (h.req = n.req OR h.req = '' OR n.req = '') AND (
+     len(list_intersect(h.ws, n.ws)) >= 0.75 * greatest(len(h.ws), len(n.ws)) OR (len(list_intersect(h.ws, n.ws)) >= 0.85 * least(len(h.ws), len(n.ws)) AND len(list_intersect(h.ws, n.ws)) >= 2)))[1].id AS m
+  FROM f JOIN n ON n.ncompany = f.ncompany AND n.place = f.place AND n.i = f.i + 1))
+SELECT ncompany AS company, t AS title, place AS location, req, head AS cluster_id FROM f""".replace("{SENIORITY}", str(sorted(rules.SENIORITY_TOKENS))), "pid")
+def d2b(t):
+    rows = D.near_clusters(D.without_text(reposted(t)), by_letters=False)
+    return rows.select(F.col("normalized_company").alias("company"), F.col("normalized_title").alias("title"), F.col("normalized_location").alias("location"),
+                       F.coalesce("req_id", F.lit("")).alias("req"), "cluster_id").distinct()
 
 
 @query("d4_deduplicate_metrics", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -13,6 +13,16 @@ from .identity import normalize_postings
 from .near_dup import first_fit, fold, key_pairs
 
 
+def text_length(df: DataFrame) -> Column:
+    """Letters of the description; rows that left it behind carry the number."""
+    return F.col("description_length") if "description_length" in df.columns else F.length(F.coalesce("description", F.lit("")))
+
+
+def without_text(df: DataFrame) -> DataFrame:
+    """Rows that carry the length of their description instead of it: enough to merge them."""
+    return df.withColumn("description_length", text_length(df)).drop("description")
+
+
 def merge_cluster(df: DataFrame, cluster: str = "id") -> DataFrame:
     """D3: one row per cluster.
 
@@ -29,7 +39,7 @@ def merge_cluster(df: DataFrame, cluster: str = "id") -> DataFrame:
     order = F.struct(F.coalesce(F.unix_micros(F.coalesce(first, posted)), F.lit(1 << 62)), F.col("id"), landed)
     small_first = -landed if "native_id" in df.columns else F.translate(F.col("id"), "0123456789abcdef", "fedcba9876543210")
     rank = F.struct(
-        F.coalesce("parse_confidence", F.lit(0.5)), F.length(F.coalesce("description", F.lit(""))),
+        F.coalesce("parse_confidence", F.lit(0.5)), text_length(df),
         F.coalesce(-F.unix_micros(first), F.lit(-(1 << 62))), small_first)
     folded = df.withColumns({
         "__order": order, "__rank": rank, "__keys": F.array_sort(F.map_keys("source_ids"))}).groupBy(
@@ -59,10 +69,10 @@ def dedup_exact(normalized: DataFrame) -> DataFrame:
     return merge_cluster(normalized)
 
 
-def near_clusters(df: DataFrame) -> DataFrame:
+def near_clusters(df: DataFrame, by_letters: bool = True) -> DataFrame:
     """Adds cluster_id: the first posting of the near-duplicate cluster a row falls in."""
     keys = cut_lineage(fold(df))
-    members = first_fit(key_pairs(keys))
+    members = first_fit(key_pairs(keys, by_letters))
     heads = keys.select(F.col("key").alias("head"), F.col("ord.id").alias("head_id"))
     resolved = keys.select("key", F.col("ord.id").alias("own")).join(
         members.withColumnRenamed("member", "key"), "key", "left").join(heads, "head", "left") \
@@ -73,21 +83,40 @@ def near_clusters(df: DataFrame) -> DataFrame:
 
 
 def dedup_near(df: DataFrame) -> DataFrame:
-    """Greedy first-fit clusters of near-duplicates, merged."""
-    clustered = near_clusters(cut_lineage(df))
-    merged = merge_cluster(clustered, "cluster_id")
-    return merged.drop("cluster_id")
+    """Greedy first-fit clusters of near-duplicates, merged. Ids are unique.
+
+    Rows are clustered and merged without their descriptions; those of the rows that
+    stay join back by id.
+    """
+    merged = merge_cluster(near_clusters(cut_lineage(without_text(df))), "cluster_id").drop("cluster_id")
+    if "description" not in df.columns:
+        return merged
+    return merged.drop("description_length").join(df.select("id", "description"), "id", "left").select(*df.columns, *[
+        c for c in merged.columns if c not in df.columns and c != "description_length"])
 
 
 def deduplicate(landed: DataFrame, near: bool = True) -> tuple[DataFrame, DataFrame]:
     """(unique postings, one row of counts).
 
     The unique postings are materialised: everything after them reads them
-    more than once.
+    more than once.  Where landed rows have a source and a native id, their texts stay
+    out of all merging and join back to the rows that remain.
     """
-    checked = validity(normalize_postings(landed))
-    exact = dedup_exact(checked.where("is_valid").drop("is_valid", "reasons"))
-    unique = cut_lineage(dedup_near(exact) if near else exact)
+    valid = valid_only(normalize_postings(landed))
+    texts = {"source", "native_id", "description"} <= set(landed.columns)
+    mark = F.xxhash64(F.coalesce("description", F.lit(""))).alias("__text")
+    rows = without_text(valid.withColumn("__text", mark)) if texts else valid
+    exact = dedup_exact(rows)
+    unique = dedup_near(exact) if near else exact
+    if texts:
+        key = ["source", "native_id", "__text"]
+        known = landed.select("source", "native_id", mark, "description").groupBy(*key).agg(F.first("description").alias("description"))
+        null_safe = [unique[c].eqNullSafe(known[c]) for c in key]
+        order = [c for c in valid.columns if c in unique.columns or c == "description"]
+        joined = unique.join(known, null_safe[0] & null_safe[1] & null_safe[2], "left")
+        unique = joined.select(*[known[c] if c == "description" else unique[c] for c in order],
+                               *[unique[c] for c in unique.columns if c not in order and c not in ("__text", "description_length")])
+    unique = cut_lineage(unique)
     # rows that passed are the members of the clusters; only the landed total needs another look
     passed = unique.agg(F.coalesce(F.sum("cluster_size"), F.lit(0))).scalar()
     metrics = landed.agg(F.count(F.lit(1)).alias("total_raw")).withColumns({

@@ -2,8 +2,8 @@
 
 The match rule looks only at (company, title, location, requisition), so rows
 are first folded to distinct combinations.  Candidate pairs of names, titles
-and locations come from two lossless filters (shared word prefixes, shared
-segments), never from all pairs of a block.
+and locations come from two lossless filters (prefixes of rare words, prefixes of
+rare letter grams), never from all pairs of a block.
 """
 
 from __future__ import annotations
@@ -48,45 +48,55 @@ def letter_bound(a: Column, b: Column) -> Column:
     return 2.0 * shared / (F.length(a) + F.length(b))
 
 
-def _allowed_gap(total: Column, ratio: float) -> Column:
-    """Most unmatched letters two texts of this total length can have."""
-    return F.floor(total * (1.0 - ratio) + 1e-9).cast("int")
+GRAM = 2           # letters of a gram
+SHORT = 6          # texts of so few letters may reach a ratio without sharing a gram; they meet by letters
 
 
-def segment_pairs(values: DataFrame, ratio: float, skip: int = 0) -> DataFrame:
-    """Pairs (block, a, b), a <> b, that can reach the ratio: they share a segment.
+def _apart(own: Column, other: Column, ratio: float) -> Column:
+    """Most letters of a text of length ``own`` without a partner in one of length ``other``.
 
-    Texts that differ by at most k inserted or deleted letters share one of
-    any k+1 segments of the shorter text, moved by at most k places.  The
-    first ``skip`` letters, equal within a block, prove nothing and are left
-    out; a text with too few letters after them offers an empty segment.
+    At the ratio all unmatched letters are at most (1 - ratio) of both lengths, and the
+    lengths tell how they divide over the two texts.
     """
-    longest = F.floor(F.col("n") * ((2.0 - ratio) / ratio) + 1e-9).cast("int")
-    v = (
-        values.select("block", "s", F.length("s").alias("n"), F.substring("s", skip + 1, 1 << 30).alias("t"))
-        .withColumn("m", F.length("t")).withColumn("k", _allowed_gap(F.col("n") + longest, ratio)))
-    size_at = F.floor(F.col("m") * (F.col("i") + 1) / (F.col("k") + 1)).cast("int") - F.col("from")
-    cut = (
-        v.where("k >= 1 AND m > k")
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-        .withColumn("from", F.floor(F.col("m") * F.col("i") / (F.col("k") + 1)).cast("int"))
-        .select("block", F.col("s").alias("a"), F.col("n").alias("na"), longest.alias("limit"), "from",
-                F.expr("t").substr(F.col("from") + 1, size_at).alias("piece")))
-    tiny = v.where("k >= 1 AND m <= k").select(
-        "block", F.col("s").alias("a"), F.col("n").alias("na"), longest.alias("limit"), F.lit(0).alias("from"),
-        F.lit("").alias("piece"))
-    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))    # a segment is never longer than three letters
-    offered = (
-        v.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("m") - 1))))
-        .withColumn("size", F.explode(sizes)).where("at + size <= m")
-        .select("block", F.col("s").alias("b"), F.col("n").alias("nb"), "at", F.col("t").substr(F.col("at") + 1, F.col("size")).alias("piece")))
-    # only partners of texts with at most `skip` + k letters need the empty segment
-    blank = v.where(F.col("n") <= 2 * skip + 2).select(
-        "block", F.col("s").alias("b"), F.col("n").alias("nb"), F.lit(0).alias("at"), F.lit("").alias("piece"))
-    pairs = cut.unionByName(tiny).join(offered.unionByName(blank), ["block", "piece"]).where(
-        (F.col("nb") >= F.col("na")) & (F.col("nb") <= F.col("limit")) & (F.col("a") != F.col("b"))
-        & (F.abs(F.col("at") - F.col("from")) <= _allowed_gap(F.col("na") + F.col("nb"), ratio)))
-    return pairs.select("block", "a", "b").distinct()
+    return F.floor((F.floor((own + other) * (1.0 - ratio) + 1e-9) + own - other) / 2).cast("int")
+
+
+def _lost(own: Column, other: Column, ratio: float) -> Column:
+    """Most different grams of a text that unmatched letters of both can break."""
+    return GRAM * _apart(own, other, ratio) + (GRAM - 1) * _apart(other, own, ratio)
+
+
+def gram_pairs(values: DataFrame, ratio: float) -> DataFrame:
+    """Pairs (block, a, b), a <> b, a no longer than b, that can reach the ratio.
+
+    Texts at the ratio keep all but ``_lost`` of their grams, so with the grams of every
+    text in one order, rarest of the block first, the rarest gram they keep is among the
+    first ``_lost + 1`` of either, at places no further apart than the unmatched letters.
+    Only these prefixes meet, in bands of like length.
+    """
+    reach = (2.0 - ratio) / ratio
+    v = values.select("block", "s", F.length("s").alias("n")).where("n > 0")
+    places = F.transform(F.sequence(F.lit(1), F.col("n") - GRAM + 1), lambda i: F.struct(F.col("s").substr(i, F.lit(GRAM)).alias("gram"), i.alias("at")))
+    grams = v.where(F.col("n") >= GRAM).select("block", "s", "n", F.inline(places)).groupBy("block", "s", "n", "gram").agg(F.collect_list("at").alias("at"))
+    often = grams.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("df"))
+    ordered = grams.join(often, ["block", "gram"]).groupBy("block", "s", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "at"))).alias("g"))
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") / reach - 1e-9).cast("int")), F.floor(F.col("n") * reach + 1e-9).cast("int"))
+    most = F.array_max(F.transform(lengths, lambda m: _lost(F.col("n"), m, ratio))) + 1
+    prefix = ordered.select("block", "s", "n", F.posexplode(F.slice("g", F.lit(1), most)).alias("rank", "p")).select(
+        "block", "s", "n", "rank", F.col("p.gram").alias("gram"), F.col("p.at").alias("at"))
+    letters = v.where(F.col("n") <= SHORT).select(
+        "block", "s", "n", F.lit(-1).alias("rank"), F.explode(F.array_distinct(F.split("s", ""))).alias("gram"), F.array(F.lit(0)).alias("at")).where("gram <> ''")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(reach)) + 1e-9).cast("int")
+    entries = prefix.unionByName(letters).withColumn("band", band)
+    left = entries.select("block", "gram", "band", F.col("s").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("at").alias("pa"))
+    right = entries.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select(
+        "block", "gram", "band", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("at").alias("pb"))
+    na, nb = F.col("na"), F.col("nb")
+    shift = F.greatest(_apart(na, nb, ratio), _apart(nb, na, ratio))
+    close = (F.col("ra") < 0) | F.exists("pa", lambda x: F.exists("pb", lambda y: F.abs(x - y) <= shift))
+    met = left.join(right, ["block", "gram", "band"]).where((na < nb) | ((na == nb) & (F.col("a") < F.col("b")))).where(
+        (_apart(na, nb, ratio) >= 0) & (F.col("ra") <= _lost(na, nb, ratio)) & (F.col("rb") <= _lost(nb, na, ratio)) & ((F.col("ra") < 0) == (F.col("rb") < 0)) & close)
+    return met.select("block", "a", "b").distinct()
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -94,10 +104,10 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
         pairs.select("block", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def similar_values(values: DataFrame, ratio: float, inclusive: bool, skip: int = 0) -> DataFrame:
+def similar_values(values: DataFrame, ratio: float, inclusive: bool) -> DataFrame:
     """Ordered pairs (block, a, b), a <> b, whose seq_ratio(a, b) passes the ratio."""
     bound = F.least(length_bound(F.col("a"), F.col("b")), letter_bound(F.col("a"), F.col("b")))
-    candidates = segment_pairs(values, ratio, skip).where(bound >= ratio - 1e-9)
+    candidates = gram_pairs(values, ratio).where(bound >= ratio - 1e-9)
     scored = _both_ways(candidates).withColumn("r", seq_ratio("a", "b"))
     return scored.where(F.col("r") >= ratio if inclusive else F.col("r") > ratio).select("block", "a", "b")
 
@@ -135,21 +145,26 @@ def word_pairs(values: DataFrame) -> DataFrame:
     return pairs.where((shared >= 0.75 * large) | ((shared >= 0.85 * small) & (shared >= 2)))
 
 
-def matching_titles(values: DataFrame) -> DataFrame:
-    """Ordered title pairs that count as the same title, identical ones included."""
-    by_words = _both_ways(word_pairs(values))
-    by_letters = similar_values(values, TITLE_RATIO, inclusive=True)
-    different = by_words.unionByName(by_letters).distinct().where(~seniority_mismatch(F.col("a"), F.col("b")))
-    return different.unionByName(values.select("block", F.col("s").alias("a"), F.col("s").alias("b")))
+def matching_titles(values: DataFrame, by_letters: bool = True) -> DataFrame:
+    """Ordered title pairs that count as the same title, identical ones included.
+
+    Titles that name different seniority words never match, so those words part a block.
+    """
+    parted = values.withColumn("block", F.concat_ws("\u0001", "block", F.array_join(_seniority(F.array_distinct(F.split("s", " "))), " ")))
+    different = _both_ways(word_pairs(parted))
+    if by_letters:
+        different = different.unionByName(similar_values(parted, TITLE_RATIO, inclusive=True)).distinct()
+    return different.withColumn("block", F.substring_index("block", "\u0001", 1)).unionByName(
+        values.select("block", F.col("s").alias("a"), F.col("s").alias("b")))
 
 
-def matching_names(values: DataFrame, ratio: float, skip: int = 0) -> DataFrame:
+def matching_names(values: DataFrame, ratio: float) -> DataFrame:
     """Ordered pairs of names above the ratio, identical ones included.
 
     "Both remote" needs no rule of its own: cleaning maps such places to one word.
     """
     same = values.select("block", F.col("s").alias("a"), F.col("s").alias("b"))
-    return similar_values(values, ratio, inclusive=False, skip=skip).unionByName(same)
+    return similar_values(values, ratio, inclusive=False).unionByName(same)
 
 
 def fold(df: DataFrame) -> DataFrame:
@@ -175,14 +190,20 @@ def near_dup_pairs(df: DataFrame) -> DataFrame:
     return key_pairs(cut_lineage(fold(df)))
 
 
-def key_pairs(keys: DataFrame) -> DataFrame:
-    """J10 over folded keys; they are read several times and should be materialised."""
+def key_pairs(keys: DataFrame, by_letters: bool = True) -> DataFrame:
+    """J10 over folded keys; they are read several times and should be materialised.
+
+    Without ``by_letters`` names are equal or not, and titles match by their words alone.
+    """
     def values(name: str) -> DataFrame:
         return keys.select("block", F.col(name).alias("s")).distinct()
 
-    companies = matching_names(values("company"), COMPANY_RATIO, skip=BLOCK_LETTERS)
-    titles = matching_titles(values("title"))
-    places = matching_names(values("location"), LOCATION_RATIO)
+    def names(name: str, ratio: float) -> DataFrame:
+        found = values(name)
+        return matching_names(found, ratio) if by_letters else found.select("block", F.col("s").alias("a"), F.col("s").alias("b"))
+
+    companies, places = names("company", COMPANY_RATIO), names("location", LOCATION_RATIO)
+    titles = matching_titles(values("title"), by_letters)
     late = keys.select("block", "company", "title", "location", "req", F.col("key").alias("later"), F.col("ord").alias("later_ord"))
     # a requisition meets itself and the empty one; the empty one meets all
     late = late.withColumn("req_side", F.explode(F.when(

@@ -92,7 +92,7 @@ def test_similar_names_lose_nothing(spark):
         names.add("".join(s))
     names = sorted(names)
     df = spark.createDataFrame([("acme", n) for n in names], "block string, s string")
-    got = {(r["a"], r["b"]) for r in matching_names(df, 0.85, skip=4).collect()}
+    got = {(r["a"], r["b"]) for r in matching_names(df, 0.85).collect()}
     want = {(a, b) for a in names for b in names if a == b or SequenceMatcher(None, a, b).ratio() > 0.85}
     assert got == want
     got = {(r["a"], r["b"]) for r in matching_names(df, 0.80).collect()}
