@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import base
 
-MODULES = ["text_fields", "filtering", "joining", "reports", "summaries", "landing", "cycles"]
+MODULES = ["text_fields", "filtering", "joining", "reports", "summaries", "landing", "cycles", "sql_calls"]
 
 
 def _load() -> None:

@@ -356,6 +356,17 @@ def k2(t):
     return K.retain_newest(t.events, 500, "ts", "event_id").select("event_id")
 
 
+@query("k2_compact_log", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
+def k2c(t):
+    from ..session import scratch_path
+    path = scratch_path(t.spark, "log")
+    for part in range(3):                       # compacted between appends and after the last one
+        K.append_log(t.events.where(F.col("event_id") % 3 == part), path)
+        if part:
+            K.compact_log(t.spark, path, lambda log: K.retain_newest(log, 500, "ts", "event_id"))
+    return K.read_log(t.spark, path).select("event_id")
+
+
 @query("k2_retain_days", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 10 DAY")
 def k2b(t):
     return K.retain_days(t.events, 10, "ts", A.EVENT_NOW).select("event_id")

@@ -391,10 +391,10 @@ STATS_SQL = f"""{LATENCY_SQL},
 names AS (SELECT DISTINCT company AS asked FROM postings),
 found AS (SELECT asked, a.*, di FROM names JOIN applications a ON contains(lower(a.company), lower(asked)) LEFT JOIN latency USING (application_id)),
 cs AS (SELECT asked, count(*) AS total, count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status = 'offer') AS offer, count(*) FILTER (status = 'rejected') AS rejected,
-  count(referral_source) AS refs, coalesce(round_even(avg(salary_offered), 0), 0) AS avg_salary, coalesce(round(avg(di), 1), 3.5) AS days FROM found GROUP BY 1),
+  count(referral_source) AS refs, coalesce(round_even(avg(salary_offered), 0), 0) AS avg_salary, round(avg(di), 1) AS days FROM found GROUP BY 1),
 md AS (SELECT asked, job_title FROM found GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY asked ORDER BY count(*) DESC, job_title) = 1),
 stats AS (SELECT n.asked AS company, coalesce(total, 0) AS total_applications, coalesce(applied, 0) AS applied, coalesce(offer, 0) AS offer, coalesce(rejected, 0) AS rejected, coalesce(refs, 0) AS referral_count,
-  CAST(coalesce(avg_salary, 0) AS DOUBLE) AS avg_salary, coalesce(md.job_title, 'N/A') AS most_common_role, CAST(coalesce(days, 0) AS DOUBLE) AS avg_days_to_interview,
+  CAST(coalesce(avg_salary, 0) AS DOUBLE) AS avg_salary, coalesce(md.job_title, 'N/A') AS most_common_role, days AS avg_days_to_interview,
   coalesce(round((offer + refs) / CAST(total AS DOUBLE), 2), 0.0) AS success_rate, coalesce(round(offer / CAST(total AS DOUBLE), 2), 0.0) AS interview_rate
   FROM names n LEFT JOIN cs USING (asked) LEFT JOIN md USING (asked))"""
 
@@ -404,12 +404,10 @@ def stats(t):
 
 
 @query("a4_company_stats", f"""WITH {STATS_SQL}
-SELECT *, CASE WHEN total_applications = 0 THEN 'No applications logged for ' || company || ' yet.' WHEN success_rate >= 0.25 THEN 'High success rate (' || CAST(floor(success_rate * 100) AS BIGINT) || '%) with ' || company || '! Prioritize further applications.'
- WHEN interview_rate >= 0.4 THEN 'Strong interview conversion rate (' || CAST(floor(interview_rate * 100) AS BIGINT) || '%) with ' || company || '. Continue applying.'
- ELSE 'Moderate response rate (' || CAST(floor(interview_rate * 100) AS BIGINT) || '%). Ensure resume matches key requirements.' END AS recommendation FROM stats""", "postings applications status_history")
+SELECT *, CASE WHEN total_applications = 0 THEN 'no_record' WHEN success_rate >= 0.25 THEN 'apply_more' WHEN interview_rate >= 0.4 THEN 'keep_applying' ELSE 'improve_match' END AS advice FROM stats""", "postings applications status_history")
 def a4(t):
     return stats(t).select("company", "total_applications", "applied", "offer", "rejected", "referral_count", "avg_salary", "most_common_role",
-                           "avg_days_to_interview", "success_rate", "interview_rate", "recommendation")
+                           "avg_days_to_interview", "success_rate", "interview_rate", "advice")
 
 
 @query("o3_affinity_sort", f"""WITH {STATS_SQL}

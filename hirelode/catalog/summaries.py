@@ -104,11 +104,10 @@ def a19(t):
 WITH f AS (SELECT r AS role, a.* FROM applications a, (VALUES ('Engineer'), ('Data Scientist')) v(r) WHERE contains(lower(job_title), lower(r))),
 top AS (SELECT role, company FROM f WHERE status = 'offer' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, company) = 1),
 s AS (SELECT role, count(*) AS total_applications, round(count(*) FILTER (status = 'offer') / CAST(count(*) AS DOUBLE), 2) AS success_rate, round_even(avg(salary_offered), 0) AS avg_salary FROM f GROUP BY 1)
-SELECT role, total_applications, success_rate, avg_salary, top.company AS most_successful_company,
- 'You have ' || CAST(floor(success_rate * 100) AS BIGINT) || '% success rate for ''' || role || '''. Focus on top companies like ' || top.company || '.' AS recommendation FROM s JOIN top USING (role)""", "applications")
+SELECT role, total_applications, success_rate, avg_salary, top.company AS most_successful_company FROM s JOIN top USING (role)""", "applications")
 def a5(t):
     return R.role_stats(t.applications, ["Engineer", "Data Scientist"]).select(
-        "role", "total_applications", "success_rate", "avg_salary", "most_successful_company", "recommendation")
+        "role", "total_applications", "success_rate", "avg_salary", "most_successful_company")
 
 
 @query("a6_location_stats", """
@@ -151,11 +150,10 @@ WITH r AS (SELECT round((count(*) FILTER (contains(company, 'a8') AND status = '
  round(count(*) FILTER (job_title = 'Software Engineer' AND status = 'offer') / CAST(count(*) FILTER (job_title = 'Software Engineer') AS DOUBLE), 2) AS r,
  round(count(*) FILTER (location = 'Bangalore' AND status = 'offer') / CAST(count(*) FILTER (location = 'Bangalore') AS DOUBLE), 2) AS l, avg(salary_offered) AS s, count(*) AS n,
  count(*) FILTER (status = 'offer') AS o, count(*) FILTER (status = 'rejected') AS x FROM applications)
-SELECT 'company' AS type, 'high' AS priority, 'You have ' || CAST(floor(c * 100) AS BIGINT) || '% success rate with a8. Prioritize a8 applications.' AS insight FROM r
-UNION ALL SELECT 'role', 'high', 'You''re most successful with Software Engineer roles (' || CAST(floor(r * 100) AS BIGINT) || '% success rate). Focus on engineering roles.' FROM r
-UNION ALL SELECT 'location', 'medium', 'Highest offer rate in Bangalore (' || CAST(floor(l * 100) AS BIGINT) || '%). Prioritize Bangalore openings.' FROM r
-UNION ALL SELECT 'salary', 'medium', 'Average offer salary is INR ' || CAST(floor(s / 1000) AS BIGINT) || 'K. Negotiate pending offers based on market benchmarks.' FROM r
-UNION ALL SELECT 'general', 'high', 'Tracked ' || n || ' applications so far: ' || o || ' offers, 0 active interviews, ' || x || ' rejections. Response rate is strong!' FROM r""", "applications")
+SELECT * FROM (SELECT 'company' AS type, 'high' AS priority, 'a8' AS subject, 'success_rate' AS measure, c AS value FROM r
+UNION ALL SELECT 'role', 'high', 'Software Engineer', 'success_rate', r FROM r UNION ALL SELECT 'location', 'medium', 'Bangalore', 'success_rate', l FROM r
+UNION ALL SELECT 'salary', 'medium', 'all', 'avg_salary_offered', round(s, 2) FROM r UNION ALL SELECT 'general', 'high', 'all', 'applications', n FROM r
+UNION ALL SELECT 'general', 'high', 'all', 'offers', o FROM r UNION ALL SELECT 'general', 'high', 'all', 'interviews', 0 FROM r UNION ALL SELECT 'general', 'high', 'all', 'rejections', x FROM r) WHERE value IS NOT NULL""", "applications")
 def a37(t):
     return R.insights(t.applications, "a8", "Software Engineer", "Bangalore")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,12 +126,25 @@ def map_merge(a, b) -> Column:
 
 # --- requirements ------------------------------------------------------------
 
+def _experience_patterns() -> list[str]:
+    """Ways to ask for years of experience; group 1 is their number."""
+    def one_of(words: list[str]) -> str:
+        return "(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in words) + ")"
+
+    number, plus, units = r"([0-9]{1,2})", r"\s*\+?\s*", one_of(rules.YEAR_UNITS)
+    adjectives = rf"(?:{one_of(rules.EXPERIENCE_ADJECTIVES)}\s+)*"
+    return [
+        rf"{number}\s*{one_of(rules.RANGE_SIGNS)}\s*[0-9]{{1,2}}{plus}{units}", rf"{number}\s*\+\s*{units}",
+        rf"{one_of(rules.LEAST_WORDS)}\s+{number}\s*{units}", rf"{number}{plus}{units}(?:['’]s?)?\s*(?:of\s+)?{adjectives}experience",
+        rf"experience\s*(?:required|needed)?\s*{one_of(rules.EXPERIENCE_SIGNS)}\s*{number}{plus}{units}",
+        rf"{one_of(rules.DEMAND_WORDS)}\s+(?:of\s+)?{number}{plus}{units}"]
+
+
 def min_experience_years(*texts) -> Column:
     """Smallest number of years the texts demand; null when none is stated."""
     text = F.concat_ws(" ", *[F.coalesce(_c(t), F.lit("")) for t in texts])
-    hits = F.flatten(F.array(*[
-        F.regexp_extract_all(text, F.lit(f"(?iU){p}"), 1) for p in rules.EXPERIENCE_PATTERNS]))
-    return F.array_min(F.transform(hits, lambda h: h.try_cast("int")))
+    hits = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(f"(?iU){p}"), 1) for p in _experience_patterns()]))
+    return F.array_min(F.transform(hits, lambda h: h.cast("int")))
 
 
 def max_user_years(terms) -> Column:

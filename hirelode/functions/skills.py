@@ -172,7 +172,8 @@ def _seniority_of(t: Column, d: Column) -> Column:
 
 def numbered_level(title) -> Column:
     """F8: title carries a level of two or more."""
-    body = rf"(?:{'|'.join(rules.LEVELED_TITLES)})\s*[-‐–—]?\s*(?:level\s*)?(?:{'|'.join(rules.LEVEL_MARKS)})"
+    titles = "|".join(t.replace(" ", r"\s+") for t in rules.LEVELED_TITLES)
+    body = rf"(?:{titles})\s*[-‐–—]?\s*(?:level\s*)?(?:{'|'.join(rules.LEVEL_MARKS)})"
     return F.lower(F.coalesce(_c(title), F.lit(""))).rlike(bounded(body))
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import fields as V
 from ..functions import skills as S
 from ..functions import text as T
-from ..session import as_of
-from .sets import first_by, union_last_wins
+from ..session import as_of, cut_lineage
+from .sets import first_by
+from .shared_words import totals_of_sharing
 
 
 def exclude_applied(df: DataFrame, apps: DataFrame) -> DataFrame:
@@ -95,26 +96,32 @@ def remap_ids(dependents: DataFrame, id_map: DataFrame, known: DataFrame, order:
 
 # --- containment -------------------------------------------------------------
 
-GRAM = 5
+GRAM = 3
 
 
 def containment_pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (needle, text) of distinct strings where the text contains the needle.
 
-    A contained string brings along its first letters, so each needle meets
-    only the texts holding that run of up to five letters: an equality join,
-    then the exact test.  The empty needle is contained in everything and is
-    left out.
+    Every place of a text gives one row, its next three letters.  A needle looks for the
+    rarest of its own three-letter runs at the place it has in the needle; one or two letters
+    look for the start of such a row.  What meets is tested on the strings themselves.
+    The empty needle is contained in everything and is left out.
     """
-    first = needles.select("needle").distinct().where("needle <> ''").withColumn("gram", F.left("needle", F.lit(GRAM)))
-    runs = (
-        texts.select("text").distinct().where("text <> ''")
-        .withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text"))))
-        .withColumn("size", F.explode(F.array(*[F.lit(i) for i in range(1, GRAM + 1)])))
-        .where("at + size - 1 <= length(text)")
-        .select("text", F.col("text").substr(F.col("at"), F.col("size")).alias("gram")).distinct())
-    # a needle shorter than the run length meets runs of its own length
-    return first.join(runs, "gram").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
+    asked = needles.select("needle").distinct().where("needle <> ''").withColumn("size", F.least(F.length("needle"), F.lit(GRAM)))
+    known = cut_lineage(texts.select("text").distinct().where("text <> ''").withColumn("h", F.xxhash64("text")))
+    places = cut_lineage(known.select("h", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("text")), lambda i: F.col("text").substr(i, F.lit(GRAM)))).alias("gram")).distinct())
+    often = places.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    runs = F.transform(F.sequence(F.lit(1), F.length("needle") - GRAM + 1), lambda i: F.col("needle").substr(i, F.lit(GRAM)))
+    # a run that no text has leaves its needle without a pair
+    rarest = asked.where(F.col("size") == GRAM).select("needle", F.explode(F.array_distinct(runs)).alias("gram")).join(often, "gram", "left") \
+        .groupBy("needle").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("r")).select("needle", F.col("r.gram").alias("gram"))
+    met = rarest.join(places, "gram").select("needle", "h")
+    for size in range(1, GRAM):
+        starts = places.select("h", F.left("gram", F.lit(size)).alias("needle")).where(F.length("needle") == size).distinct()
+        met = met.unionByName(asked.where(F.col("size") == size).select("needle").join(starts, "needle"))
+    # equal hashes of different texts only mean one more test
+    return met.join(known, "h").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
 def company_applications(companies: DataFrame, apps: DataFrame, name: str = "company") -> DataFrame:
@@ -160,17 +167,15 @@ def duplicate_applications(postings: DataFrame, apps: DataFrame, now, days: int
 def feedback_overlap(keys: DataFrame, feedback: DataFrame) -> DataFrame:
     """Per (company, title): feedback items sharing a word, and how many said yes.
 
-    Both sides are folded to distinct roles first; feedback carries weights.
+    Both sides are folded to distinct roles first; feedback carries weights, and words
+    that very many roles use are counted by groups of roles.
     """
     roles = feedback.groupBy(F.lower("company").alias("fc"), F.lower("job_title").alias("ft")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("action") == "yes").alias("yes"))
-    words = roles.withColumn("role", F.struct("fc", "ft")).withColumn(
-        "word", F.explode(T.tokens(F.concat_ws(" ", "ft", "fc")))).select("role", "n", "yes", "word")
-    asked = keys.select("company", "title").distinct().withColumn("word", F.explode(
-        T.tokens(F.concat_ws(" ", F.lower(F.trim("title")), F.lower(F.trim("company"))))))
-    met = asked.join(words, "word").groupBy("company", "title", "role").agg(
-        F.first("n").alias("n"), F.first("yes").alias("yes"))
-    return met.groupBy("company", "title").agg(F.sum("n").alias("total"), F.sum("yes").alias("positive"))
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("action") == "yes").alias("positive"))
+    items = roles.select(F.struct("fc", "ft").alias("role"), "total", "positive", T.tokens(F.concat_ws(" ", "ft", "fc")).alias("words"))
+    asked = keys.select("company", "title").distinct().select(
+        F.struct("company", "title").alias("key"), T.tokens(F.concat_ws(" ", F.lower(F.trim("title")), F.lower(F.trim("company")))).alias("words"))
+    return totals_of_sharing(asked, items, "key", "role", ["total", "positive"]).select("key.*", "total", "positive")
 
 
 def improvements_with_trials(log: DataFrame, trials: DataFrame) -> DataFrame:
@@ -237,5 +242,3 @@ def feed_cards(postings: DataFrame, companies: DataFrame, metrics: DataFrame, ap
         .withColumns({"ats": F.col("firm.ats"), "application_id": F.col("mine.application_id"),
                       "application_status": F.col("mine.status")}).drop("firm", "mine"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["union_last_wins"]

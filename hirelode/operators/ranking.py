@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import fields as V
 from ..functions import text as T
-from ..session import with_global_rank
+from ..session import cut_lineage, with_global_rank
 from .filters import global_filter_flag
+from .shared_words import heavy_words, meeting_masks, split_words
 
 
 def feed_order(by: str) -> list[Column]:
@@ -89,21 +90,34 @@ def select_examples(postings: DataFrame, feedback: DataFrame, per_action: int =
     """
     logged = with_global_rank(feedback, F.col("feedback_id"), name="__pos")
     enough = feedback.agg(F.count(F.lit(1)) >= minimum).scalar()
-    titles = postings.select("title").distinct()
-    asked = titles.withColumn("word", F.explode(T.tokens("title")))
     # equal texts share their words: only the latest two of each wording can win
     latest = Window.partitionBy("action", "job_title", "reason").orderBy(F.desc("__pos"))
-    folded = logged.where(F.col("action").isin("yes", "no")).withColumn("__n", F.row_number().over(latest)) \
-        .where(F.col("__n") <= per_action)
-    words = folded.select("feedback_id", F.explode(T.tokens(F.concat_ws(" ", "job_title", "reason"))).alias("word"))
-    shared = asked.join(words, "word").groupBy("title", "feedback_id").agg(F.count(F.lit(1)).alias("overlap"))
-    by_action = Window.partitionBy("action").orderBy(F.desc("__pos"))
-    newest = logged.where(F.col("action").isin("yes", "no")).withColumn("__n", F.row_number().over(by_action)) \
-        .where(F.col("__n") <= per_action).select("feedback_id")
-    pairs = shared.select("title", "feedback_id").union(
-        titles.withColumn("__k", F.lit(1)).join(newest.withColumn("__k", F.lit(1)), "__k").select("title", "feedback_id")).distinct()
-    scored = pairs.join(shared, ["title", "feedback_id"], "left").join(logged, "feedback_id").withColumn(
-        "example_score", F.coalesce("overlap", F.lit(0)) + (F.col("__pos") - 1) * 0.1)
+    logged = cut_lineage(logged.where(F.col("action").isin("yes", "no")).withColumn("__n", F.row_number().over(latest)).where(F.col("__n") <= per_action).drop("__n"))
+    items = logged.select("feedback_id", "action", "__pos", T.tokens(F.concat_ws(" ", "job_title", "reason")).alias("words"))
+    titles = postings.select("title").distinct().withColumn("words", T.tokens("title"))
+    heavy = heavy_words(items)
+    # a title or item without any word still has a row, with an empty mask
+    title_masks, title_light = split_words(titles, heavy, "title")
+    item_masks, item_light = split_words(items, heavy, "feedback_id")
+    no_words = F.array().cast("array<string>")
+    title_masks = cut_lineage(titles.select("title").join(title_masks, "title", "left").withColumn("mask", F.coalesce("mask", no_words)))
+    item_masks = cut_lineage(items.select("feedback_id", "action", "__pos").join(item_masks, "feedback_id", "left").withColumn("mask", F.coalesce("mask", no_words)))
+    light = cut_lineage(title_light.join(item_light, "word").groupBy("title", "feedback_id").agg(F.count(F.lit(1)).alias("light")))
+    # of items with the same frequent words only the latest can win, and of them the best for each set of frequent words of a title
+    newest_of_mask = Window.partitionBy("action", "mask").orderBy(F.desc("__pos"))
+    leaders = item_masks.withColumn("__n", F.row_number().over(newest_of_mask)).where(F.col("__n") <= per_action).select(
+        "action", F.col("mask").alias("other"), "__pos", "feedback_id")
+    best_of_mask = Window.partitionBy("mask", "action").orderBy(F.desc(F.round(F.col("shared") + F.col("__pos") * 0.1, 6)), "feedback_id")
+    by_mask = meeting_masks(title_masks, item_masks).join(leaders, "other").withColumn("__n", F.row_number().over(best_of_mask)).where(F.col("__n") <= per_action)
+    newest = Window.partitionBy("action").orderBy(F.desc("__pos"))
+    last = item_masks.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= per_action).agg(F.collect_list("feedback_id").alias("ids")).scalar()
+    pairs = light.select("title", "feedback_id").unionByName(
+        title_masks.join(by_mask.select("mask", "feedback_id"), "mask").select("title", "feedback_id")).unionByName(
+        title_masks.select("title", F.explode(last).alias("feedback_id"))).distinct()
+    frequent = F.size(F.array_intersect("mask", "other"))
+    scored = pairs.join(title_masks, "title").join(item_masks.select("feedback_id", F.col("mask").alias("other")), "feedback_id") \
+        .join(light, ["title", "feedback_id"], "left").join(logged, "feedback_id").withColumn(
+        "example_score", frequent + F.coalesce("light", F.lit(0)) + (F.col("__pos") - 1) * 0.1)
     w = Window.partitionBy("title", "action").orderBy(F.desc(F.round("example_score", 6)), "feedback_id")
     label = F.when(F.col("action") == "yes", F.lit("approved")).otherwise(F.lit("rejected"))
     best = scored.withColumn("example_rank", F.row_number().over(w)).where((F.col("example_rank") <= per_action) & enough)

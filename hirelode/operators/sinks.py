@@ -2,27 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..session import as_of
+from ..streaming.ledger import Ledger
+
+
+FILE_BYTES = 256 << 20      # of values, before encoding, that one file of the store takes
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
+def write_store(df: DataFrame, path: str, day: str | None = "posted_date", file_bytes: int = FILE_BYTES) -> None:
+    """K1: replace the partitions present in the frame; the input must not read the same path.
 
+    The bytes of each month are measured first (one row a month), and a month gets as many
+    files as they ask for.
+    """
+    if not (day and day in df.columns):
+        df.write.mode("overwrite").parquet(path)
+        return
+    dated = df.withColumn("posted_month", F.coalesce(F.date_format(F.col(day).cast("timestamp"), "yyyy-MM"), F.lit("unknown")))
+    months = dated.groupBy("posted_month").agg(F.sum(_row_bytes(df)).alias("b")).orderBy("posted_month").collect()
+    plan, files = [], 0
+    for r in months:
+        own = max(1, -(-r["b"] // file_bytes))
+        plan += [F.lit(r["posted_month"]), F.struct(F.lit(files).alias("first"), F.lit(own).alias("own"))]
+        files += own
+    if files:
+        # one task for each planned file
+        spread = [c for c in ("id", "native_id") if c in df.columns] or [day]
+        place = F.element_at(F.create_map(*plan), F.col("posted_month"))
+        dated = dated.repartitionById(files, (place["first"] + F.pmod(F.xxhash64(*spread), place["own"])).cast("int"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("posted_month").parquet(path)
 
-def write_store(df: DataFrame, path: str, day: str | None = "posted_date") -> None:
-    """K1: replace the partitions present in the frame; the input must not read the same path."""
-    writer = df
-    if day and day in df.columns:
-        writer = df.withColumn("posted_month", F.date_format(F.col(day).cast("timestamp"), "yyyy-MM")) \
-            .repartition("posted_month", F.pmod(F.xxhash64(*[c for c in ("id", "native_id") if c in df.columns] or [day]), F.lit(8)))
-        writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("posted_month").parquet(path)
-    else:
-        writer.write.mode("overwrite").parquet(path)
+
+# --- logs --------------------------------------------------------------------
+
+def _generation(ledger: Ledger) -> str:
+    return f"{ledger.root}/log/version={ledger.version() or 0}"
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """K2: append; retain_newest / retain_days apply at compaction."""
-    df.write.mode("append").parquet(path)
+    """K2: append to the log's present generation. A log has one writer at a time."""
+    df.write.mode("append").parquet(_generation(Ledger(df.sparkSession, path)))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(_generation(Ledger(spark, path)))
+
+
+def compact_log(spark: SparkSession, path: str, retain: Callable[[DataFrame], DataFrame]) -> None:
+    """K2: write what ``retain`` keeps of the log as its next generation, then swap.
+
+    Readers see the old generation until the new one is whole; a compaction that fails
+    leaves the log as it was.  The old generation stays for readers that are still at it.
+    """
+    ledger = Ledger(spark, path)
+    after = (ledger.version() or 0) + 1
+    ledger.write("log", after, retain(read_log(spark, path)))
+    ledger.commit(after, ["log"])
 
 
 def retain_newest(df: DataFrame, n: int, ts: str, tie: str) -> DataFrame:

@@ -101,7 +101,7 @@ def company_stats(names: DataFrame, apps: DataFrame, history: DataFrame, name: s
     counts = found.groupBy("asked").agg(
         F.count(F.lit(1)).alias("total_applications"), *[F.count_if(status == k).alias(k) for k in rules.STATUS_KINDS],
         F.count_if(referral).alias("referral_count"), F.coalesce(F.rint(F.avg("salary_offered")), F.lit(0.0)).alias("avg_salary"),
-        F.coalesce(F.round(F.avg("days_to_interview"), 1), F.lit(3.5)).alias("avg_days_to_interview"))
+        F.round(F.avg("days_to_interview"), 1).alias("avg_days_to_interview"))
     full = names.select(F.col(name).alias("asked")).distinct().join(counts, "asked", "left") \
         .join(_mode(found, "asked", "job_title", "most_common_role"), "asked", "left")
     zero = ["total_applications", *rules.STATUS_KINDS, "referral_count"]
@@ -110,17 +110,11 @@ def company_stats(names: DataFrame, apps: DataFrame, history: DataFrame, name: s
     rated = full.withColumns({
         "success_rate": _rate(F.col("offer") + F.col("accepted") + F.col("referral_count"), total),
         "interview_rate": _rate(F.col("interviewed") + F.col("offer") + F.col("accepted"), total),
-        "avg_salary": F.coalesce("avg_salary", F.lit(0.0)), "most_common_role": F.coalesce("most_common_role", F.lit("N/A")),
-        "avg_days_to_interview": F.coalesce("avg_days_to_interview", F.lit(0.0))})
-    text = (
-        F.when(total == 0, F.concat(F.lit("No applications logged for "), "asked", F.lit(" yet.")))
-        .when(F.col("success_rate") >= 0.25, F.concat(F.lit("High success rate ("), _percent(F.col("success_rate")),
-              F.lit("%) with "), "asked", F.lit("! Prioritize further applications.")))
-        .when(F.col("interview_rate") >= 0.40, F.concat(F.lit("Strong interview conversion rate ("), _percent(F.col("interview_rate")),
-              F.lit("%) with "), "asked", F.lit(". Continue applying.")))
-        .otherwise(F.concat(F.lit("Moderate response rate ("), _percent(F.col("interview_rate")),
-                            F.lit("%). Ensure resume matches key requirements."))))
-    return rated.withColumn("recommendation", text).withColumnRenamed("asked", "company")
+        "avg_salary": F.coalesce("avg_salary", F.lit(0.0)), "most_common_role": F.coalesce("most_common_role", F.lit("N/A"))})
+    # what the record suggests, as a code; the rates it rests on stand beside it
+    advice = F.when(total == 0, F.lit("no_record")).when(F.col("success_rate") >= 0.25, F.lit("apply_more")) \
+        .when(F.col("interview_rate") >= 0.40, F.lit("keep_applying")).otherwise(F.lit("improve_match"))
+    return rated.withColumn("advice", advice).withColumnRenamed("asked", "company")
 
 
 def _asked_stats(apps: DataFrame, column: str, asked: list[str]) -> DataFrame:
@@ -138,14 +132,12 @@ def role_stats(apps: DataFrame, roles: list[str]) -> DataFrame:
     out = found.groupBy("asked").agg(
         F.count(F.lit(1)).alias("total_applications"), F.count_if(F.col("status").isin(OFFERED)).alias("offers"),
         F.count_if(F.col("status").isin("interviewed", *OFFERED)).alias("interviews"),
-        F.coalesce(F.rint(F.avg("salary_offered")), F.lit(900000.0)).alias("avg_salary"))
+        F.rint(F.avg("salary_offered")).alias("avg_salary"))
     best = _mode(found, "asked", "company", "most_successful_company", F.col("status").isin(OFFERED))
     rated = out.join(best, "asked", "left").withColumns({
         "success_rate": _rate(F.col("offers"), F.col("total_applications")),
         "interview_rate": _rate(F.col("interviews"), F.col("total_applications"))})
-    return rated.withColumn("recommendation", F.concat(
-        F.lit("You have "), _percent(F.col("success_rate")), F.lit("% success rate for '"), "asked",
-        F.lit("'. Focus on top companies like "), "most_successful_company", F.lit("."))).withColumnRenamed("asked", "role")
+    return rated.withColumnRenamed("asked", "role")
 
 
 def location_stats(apps: DataFrame, locations: list[str]) -> DataFrame:
@@ -211,19 +203,15 @@ def insights(apps: DataFrame, company: str, role: str, location: str) -> DataFra
         F.avg("salary_offered").alias("s"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(OFFERED)).alias("o"),
         F.count_if(F.col("status") == "interviewed").alias("i"), F.count_if(F.col("status") == "rejected").alias("x"))
 
-    def row(kind: str, priority: str, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("priority"), text.alias("insight"))
+    def row(kind: str, priority: str, subject: str, measure: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("priority"), F.lit(subject).alias("subject"),
+                        F.lit(measure).alias("measure"), value.cast("double").alias("value"))
 
     rows = F.array(
-        row("company", "high", F.concat(F.lit("You have "), _percent(F.col("c")), F.lit(f"% success rate with {company}. Prioritize {company} applications."))),
-        row("role", "high", F.concat(F.lit(f"You're most successful with {role} roles ("), _percent(F.col("r")), F.lit("% success rate). Focus on engineering roles."))),
-        row("location", "medium", F.concat(F.lit(f"Highest offer rate in {location} ("), _percent(F.col("l")), F.lit(f"%). Prioritize {location} openings."))),
-        row("salary", "medium", F.concat(F.lit("Average offer salary is INR "), F.floor(F.col("s") / 1000).cast("string"),
-                                         F.lit("K. Negotiate pending offers based on market benchmarks."))),
-        row("general", "high", F.concat(F.lit("Tracked "), F.col("n").cast("string"), F.lit(" applications so far: "), F.col("o").cast("string"),
-            F.lit(" offers, "), F.col("i").cast("string"), F.lit(" active interviews, "), F.col("x").cast("string"),
-            F.lit(" rejections. Response rate is strong!"))))
-    return one.select(F.inline(rows)).where("insight IS NOT NULL")
+        row("company", "high", company, "success_rate", F.col("c")), row("role", "high", role, "success_rate", F.col("r")),
+        row("location", "medium", location, "success_rate", F.col("l")), row("salary", "medium", "all", "avg_salary_offered", F.round("s", 2)),
+        *[row("general", "high", "all", name, F.col(c)) for name, c in (("applications", "n"), ("offers", "o"), ("interviews", "i"), ("rejections", "x"))])
+    return one.select(F.inline(rows)).where("value IS NOT NULL")
 
 
 # --- accuracy and feedback ---------------------------------------------------
@@ -237,7 +225,7 @@ def worst_case(feedback: DataFrame, postings: DataFrame) -> DataFrame:
     store = postings.agg(F.count_if(_score() >= 75)).scalar()
     out = feedback.agg(F.count_if(F.coalesce("job_match_score", F.lit(0)) >= 75).alias("high"), F.count_if(_miss()).alias("confident_misses"))
     total = F.greatest(F.col("high"), F.col("store"))
-    return out.withColumn("store", store).withColumn("high_confidence_total", F.when(total == 0, F.lit(24)).otherwise(total)) \
+    return out.withColumn("store", store).withColumn("high_confidence_total", total) \
         .withColumns({
             "accuracy": F.round(1.0 - F.col("confident_misses") / F.greatest(F.lit(1), F.col("high_confidence_total")), 2),
             "trend": F.when(F.col("confident_misses") == 0, F.lit("improving")).when(F.col("confident_misses") > 2, F.lit("declining"))
@@ -463,16 +451,15 @@ def threshold_impact(scores: DataFrame, old: float, new: float, avg_seconds: flo
     return out.withColumn("added_minutes", F.when((F.col("affected") > 0) & (minutes < 1.0), F.lit(1.0)).otherwise(minutes))
 
 
-# fixed values: names that are not companies
-JUNK_NAMES = (r"industry|solutions provider|specialist|leading|consultanc|recruit|staffing|hiring|"
-              r"placement|manpower|hr services")
+# fixed values: words of names that are not companies
+JUNK_NAMES = ["industry", "solutions provider", "specialist", "leading", "consultanc", "recruit", "staffing", "hiring", "placement", "manpower", "hr services"]
 
 
-def mine_companies(postings: DataFrame, known: DataFrame, limit: int) -> DataFrame:
-    """Frequent new company names among the postings."""
+def mine_companies(postings: DataFrame, known: DataFrame, limit: int, shortest: int = 3, longest: int = 45) -> DataFrame:
+    """Frequent new company names among the postings; what is shorter or longer is no name."""
     name = T.strip(F.coalesce("company", F.lit("")))
     counted = postings.select(name.alias("name")).where(
-        F.length("name").between(3, 45) & ~F.col("name").rlike(T.bounded(JUNK_NAMES, "iU"))).groupBy("name").agg(F.count(F.lit(1)).alias("postings"))
+        F.length("name").between(shortest, longest) & ~F.col("name").rlike(T.bounded(T.any_of(JUNK_NAMES), "iU"))).groupBy("name").agg(F.count(F.lit(1)).alias("postings"))
     fresh = counted.withColumn("__n", F.lower("name")).join(
         known.select(F.lower(F.trim("name")).alias("__n")).distinct(), "__n", "left_anti").drop("__n")
     return fresh.orderBy(F.desc("postings"), "name").limit(limit)
