@@ -87,7 +87,7 @@ def gram_pairs(values: DataFrame, ratio: float) -> DataFrame:
     letters = v.where(F.col("n") <= SHORT).select(
         "block", "s", "n", F.lit(-1).alias("rank"), F.explode(F.array_distinct(F.split("s", ""))).alias("gram"), F.array(F.lit(0)).alias("at")).where("gram <> ''")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(reach)) + 1e-9).cast("int")
-    entries = prefix.unionByName(letters).withColumn("band", band)
+    entries = cut_lineage(prefix.unionByName(letters).withColumn("band", band))
     left = entries.select("block", "gram", "band", F.col("s").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("at").alias("pa"))
     right = entries.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).select(
         "block", "gram", "band", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("at").alias("pb"))
@@ -107,7 +107,7 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 def similar_values(values: DataFrame, ratio: float, inclusive: bool) -> DataFrame:
     """Ordered pairs (block, a, b), a <> b, whose seq_ratio(a, b) passes the ratio."""
     bound = F.least(length_bound(F.col("a"), F.col("b")), letter_bound(F.col("a"), F.col("b")))
-    candidates = gram_pairs(values, ratio).where(bound >= ratio - 1e-9)
+    candidates = cut_lineage(gram_pairs(values, ratio).where(bound >= ratio - 1e-9))
     scored = _both_ways(candidates).withColumn("r", seq_ratio("a", "b"))
     return scored.where(F.col("r") >= ratio if inclusive else F.col("r") > ratio).select("block", "a", "b")
 
@@ -202,8 +202,9 @@ def key_pairs(keys: DataFrame, by_letters: bool = True) -> DataFrame:
         found = values(name)
         return matching_names(found, ratio) if by_letters else found.select("block", F.col("s").alias("a"), F.col("s").alias("b"))
 
-    companies, places = names("company", COMPANY_RATIO), names("location", LOCATION_RATIO)
-    titles = matching_titles(values("title"), by_letters)
+    # each dictionary is a small table of its own, so no plan holds the work of all three
+    companies, places = cut_lineage(names("company", COMPANY_RATIO)), cut_lineage(names("location", LOCATION_RATIO))
+    titles = cut_lineage(matching_titles(values("title"), by_letters))
     late = keys.select("block", "company", "title", "location", "req", F.col("key").alias("later"), F.col("ord").alias("later_ord"))
     # a requisition meets itself and the empty one; the empty one meets all
     late = late.withColumn("req_side", F.explode(F.when(
