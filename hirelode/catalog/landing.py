@@ -115,7 +115,7 @@ def s9(t):
 
 
 @query("s10_normalize_turbohire", f"""
-SELECT CAST(native_id AS VARCHAR) AS source_id, company, title, CASE WHEN native_id % 2 = 0 THEN {PLACE} ELSE 'A, B, C' END AS location, 'https://th.example.com/careerpage/jobdetails/' || native_id AS url,
+SELECT CAST(native_id AS VARCHAR) AS source_id, company, title, CASE WHEN native_id % 2 = 0 THEN {PLACE} ELSE 'A, B, C, D' END AS location, 'https://th.example.com/careerpage/jobdetails/' || native_id AS url,
  title || ' at ' || company || '. Department: ' || source || '.' AS description FROM postings WHERE {VALID}""", "postings")
 def s10(t):
     raw = payloads(t, """'JobIdObfuscated', cast(native_id AS string), 'JobTitle', title, 'Department', source, 'Location',
@@ -235,20 +235,19 @@ def s24(t):
     return view(J.normalize_indeed(raw))
 
 
-@query("s25_normalize_rss", f"SELECT CAST(native_id AS VARCHAR) AS source_id, company, CASE WHEN title LIKE 'Full Stack%' THEN 'Full Stack Developer' ELSE title END AS title, 'India' AS location FROM postings WHERE {VALID} AND title NOT LIKE 'Full Stack%'", "postings")
-def s25(t):
-    return M.normalize_rss(rss_pages(t)).where("title NOT LIKE 'Full Stack%'").select("source_id", "company", "title", "location")
-
-
 def rss_pages(t):
     card = """concat('<item><guid>', native_id, '</guid><title>', title, CASE native_id % 2 WHEN 0 THEN ' - ' ELSE ' at ' END, company, '</title><link>', replace(url, '&', '&amp;'), '</link><description>x</description></item>')"""
     return markup_pages(t, card, '<rss><channel>', '</channel></rss>')
 
 
 # titles with a dash of their own: the role is what stands before the first dash, the company what stands between the first two
-@query("s25_normalize_rss_whole", f"""SELECT CAST(native_id AS VARCHAR) AS source_id, CASE WHEN title NOT LIKE 'Full Stack%' THEN company WHEN native_id % 2 = 0 THEN 'Fresher' ELSE 'Fresher at ' || company END AS company,
- CASE WHEN title LIKE 'Full Stack%' THEN 'Full Stack Developer' ELSE title END AS title, 'India' AS location FROM postings WHERE {VALID}""", "postings")
-def s25_whole(t):
+RSS_SQL = f"""SELECT CAST(native_id AS VARCHAR) AS source_id, CASE WHEN title NOT LIKE 'Full Stack%' THEN company WHEN native_id % 2 = 0 THEN 'Fresher' ELSE 'Fresher at ' || company END AS company,
+ CASE WHEN title LIKE 'Full Stack%' THEN 'Full Stack Developer' ELSE title END AS title, 'India' AS location FROM postings WHERE {VALID}"""
+
+
+@query("s25_normalize_rss", RSS_SQL, "postings")
+@query("s25_normalize_rss_whole", RSS_SQL, "postings")
+def s25(t):
     return M.normalize_rss(rss_pages(t)).select("source_id", "company", "title", "location")
 
 

@@ -467,8 +467,8 @@ def o10(t):
 
 
 @query("o11_admit", """
-WITH v AS (SELECT * FROM companies ORDER BY company_id LIMIT 25)
-SELECT regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS company_id FROM v WHERE lower(name) NOT IN (SELECT lower(name) FROM companies WHERE company_id % 5 = 0)""", "companies")
+WITH v AS (SELECT * FROM companies WHERE lower(name) NOT IN (SELECT lower(name) FROM companies WHERE company_id % 5 = 0) ORDER BY company_id LIMIT 25)
+SELECT DISTINCT regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS company_id FROM v""", "companies")
 def o11(t):
     known = t.companies.where("company_id % 5 = 0").select(F.lit("x").alias("id"), F.upper("name").alias("name"))
     return O.admit(t.companies.withColumnRenamed("company_id", "n"), known, 25, "n").select("company_id")

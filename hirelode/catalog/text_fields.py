@@ -356,6 +356,14 @@ def x18(t):
         F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
 
 
+@query("x18_map_sum", r"""
+SELECT native_id, CASE WHEN source = 'web' THEN 'web=' || (1 + native_id % 3) ELSE source || '=1,web=' || native_id % 3 END AS merged FROM postings""", "postings")
+def x18b(t):
+    m = V.map_sum(F.create_map("source", F.lit(1)), F.create_map(F.lit("web"), (F.col("native_id") % 3).cast("int")))
+    return t.postings.select("native_id", F.array_join(F.transform(F.array_sort(
+        F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("merged"))
+
+
 @query("x19_version_hash", r"SELECT doc_id, substr(sha256(text), 1, 16) AS version FROM documents")
 def x19(t):
     return t.documents.select("doc_id", T.version_hash("text").alias("version"))

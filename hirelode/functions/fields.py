@@ -124,6 +124,12 @@ def map_merge(a, b) -> Column:
     return F.map_concat(F.map_filter(ma, lambda k, v: ~F.map_contains_key(mb, k)), mb)
 
 
+def map_sum(a, b) -> Column:
+    """Union of two maps of counts in which the counts of a key add up."""
+    ma, mb = _c(a), _c(b)
+    return F.map_zip_with(ma, mb, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
 # --- requirements ------------------------------------------------------------
 
 def _experience_patterns() -> list[str]:

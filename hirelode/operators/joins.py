@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fields as V
 from ..functions import skills as S
 from ..functions import text as T
-from ..session import as_of, cut_lineage
+from ..session import as_of, cut_lineage, with_global_rank
 from .sets import first_by
 from .shared_words import totals_of_sharing
 
@@ -186,21 +186,17 @@ def improvements_with_trials(log: DataFrame, trials: DataFrame) -> DataFrame:
 def query_slice(roles: DataFrame, locations: DataFrame, targets: DataFrame, n: int, seed: int) -> DataFrame:
     """The slice of search queries of one cycle, rotating with the seed.
 
-    The configured lists are small; roles meet locations through a constant key.
+    The places are configured terms and travel with every role as one list; the plan of
+    all queries is numbered over range partitions.
     """
-    pairs = roles.withColumn("__k", F.lit(1)).join(locations.withColumn("__k", F.lit(1)), "__k").select(
-        F.concat_ws(" ", "role", F.lit("in"), "location").alias("query"))
+    places = locations.agg(F.array_sort(F.collect_set("location"))).scalar()
+    pairs = roles.select("role", F.explode(places).alias("place")).select(F.concat_ws(" ", "role", F.lit("in"), "place").alias("query"))
     plan = pairs.union(targets.select(F.col("target").alias("query"))).distinct()
-    numbered = plan.withColumn("position", F.rank().over(_by_query())).withColumn("position", F.col("position") - 1)
+    numbered = with_global_rank(plan, F.col("query"), name="position").withColumn("position", F.col("position") - 1)
     total = plan.agg(F.count(F.lit(1))).scalar()
     return numbered.where(F.pmod(F.col("position") - F.lit(seed * n), total) < n)
 
 
-def _by_query():
-    from pyspark.sql import Window
-    return Window.orderBy("query")     # configured terms only: a few hundred rows at most
-
-
 def skill_overlap(postings: DataFrame, profiles: dict[str, list[str]]) -> DataFrame:
     """Matched and missing skills of every posting for every profile."""
     rows = F.explode(F.array(*[

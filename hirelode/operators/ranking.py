@@ -143,15 +143,14 @@ def recheck_batch(watch: DataFrame, n: int = 40) -> DataFrame:
 
 
 def admit(verified: DataFrame, existing: DataFrame, cap: int, order: str) -> DataFrame:
-    """Of the first ``cap`` verified companies, those new by name and by id; the first of each wins."""
-    first = top(verified, cap, F.col(order)).withColumns(
-        {"company_id": T.dash_slug("name"), "__n": F.lower(F.trim("name"))})
-    new = first.where("company_id <> ''") \
+    """Of the verified companies new by name and by id the first ``cap``; the first of each id wins."""
+    named = verified.withColumns({"company_id": T.dash_slug("name"), "__n": F.lower(F.trim("name"))})
+    new = named.where("company_id <> ''") \
         .join(existing.select(F.lower(F.trim("name")).alias("__n")).distinct(), "__n", "left_anti") \
         .join(existing.select(F.col("id").alias("company_id")).distinct(), "company_id", "left_anti")
     from .sets import first_by
     # equal names give equal ids, so one pass by id settles both
-    return first_by(new, ["company_id"], [order]).drop("__n")
+    return first_by(top(new, cap, F.col(order)), ["company_id"], [order]).drop("__n")
 
 
 def sort_verified_first(df: DataFrame) -> DataFrame:

@@ -62,16 +62,16 @@ def tombstones(everything: DataFrame, kept: DataFrame, old: DataFrame, now,
 TEACHABLE_EXCLUSIONS = ["Senior", "Lead", "Manager", "Principal"]
 
 
-def learn_keywords(feedback: DataFrame, roles: list[str], exclusions: list[str]) -> DataFrame:
+def learn_keywords(feedback: DataFrame, roles: list[str], exclusions: list[str], longest: int | None = None) -> DataFrame:
     """New role terms from liked titles and new exclusion terms from reasons.
 
-    ``feedback`` needs action, job_title, reason.
+    ``feedback`` needs action, job_title, reason; ``longest`` leaves out longer terms when given.
     """
     phrase = strip(F.get(F.split(strip(F.regexp_replace("job_title", r"[(){}\[\]\d+]+", "")), ","), F.lit(0)))
     liked = (
         feedback.where(F.col("action") == "yes")
         .select(F.lit("target_role").alias("filter"), phrase.alias("term"))
-        .where((F.col("term") != "") & (F.length("term") <= 40) & ~F.col("term").isin(roles or [""])))
+        .where((F.col("term") != "") & (F.lit(True) if longest is None else F.length("term") <= longest) & ~F.col("term").isin(roles or [""])))
     words = [w for w in TEACHABLE_EXCLUSIONS if w not in exclusions]
     reason = F.upper(F.coalesce("reason", F.lit("")))
     named = F.array_compact(F.array(

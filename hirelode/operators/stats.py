@@ -455,14 +455,14 @@ def threshold_impact(scores: DataFrame, old: float, new: float, avg_seconds: flo
 JUNK_NAMES = ["industry", "solutions provider", "specialist", "leading", "consultanc", "recruit", "staffing", "hiring", "placement", "manpower", "hr services"]
 
 
-def mine_companies(postings: DataFrame, known: DataFrame, limit: int, shortest: int = 3, longest: int = 45) -> DataFrame:
+def mine_companies(postings: DataFrame, known: DataFrame, limit: int | None, shortest: int = 3, longest: int = 45) -> DataFrame:
     """Frequent new company names among the postings; what is shorter or longer is no name."""
     name = T.strip(F.coalesce("company", F.lit("")))
     counted = postings.select(name.alias("name")).where(
         F.length("name").between(shortest, longest) & ~F.col("name").rlike(T.bounded(T.any_of(JUNK_NAMES), "iU"))).groupBy("name").agg(F.count(F.lit(1)).alias("postings"))
     fresh = counted.withColumn("__n", F.lower("name")).join(
         known.select(F.lower(F.trim("name")).alias("__n")).distinct(), "__n", "left_anti").drop("__n")
-    return fresh.orderBy(F.desc("postings"), "name").limit(limit)
+    return fresh if limit is None else fresh.orderBy(F.desc("postings"), "name").limit(limit)
 
 
 # --- store -------------------------------------------------------------------

@@ -116,13 +116,13 @@ def normalize_oraclehcm(raw: DataFrame) -> DataFrame:
 
 
 def normalize_turbohire(raw: DataFrame) -> DataFrame:
-    """The location is a JSON text of addresses inside the JSON. ``raw`` also has origin."""
+    """The location is a JSON text of addresses inside the JSON; all of them are kept. ``raw`` also has origin."""
     j = _items(raw, "Result array<struct<JobIdObfuscated:string,JobTitle:string,Location:string,Department:string,JobCode:string,PublishedDate:string,UpdatedDate:string>>",
                lambda p: p["Result"])
     names = F.filter(F.transform(F.from_json("j.Location", "array<struct<Address:string>>"), lambda a: a["Address"]),
                      lambda a: F.coalesce(a, F.lit("")) != "")
     nested = F.ltrim(F.coalesce("j.Location", F.lit(""))).startswith("[")
-    place = F.when(nested, F.nullif(F.array_join(F.slice(names, 1, 3), ", "), F.lit(""))).otherwise(T.blank_to_null("j.Location"))
+    place = F.when(nested, F.nullif(F.array_join(names, ", "), F.lit(""))).otherwise(T.blank_to_null("j.Location"))
     title = T.strip("j.JobTitle")
     return as_postings(
         j, source_id=F.col("j.JobIdObfuscated"), company=F.col("company"), title=title, location=F.coalesce(place, F.lit("India")),
