@@ -13,10 +13,11 @@ from ..operators.identity import normalize_postings
 from ..plans import cycles as Y
 from ..session import scratch_path
 from ..streaming import jobs as ST
-from .base import query
+from .base import ORACLES, query
 from .filtering import TRIALS_SQL, trials
 from .joining import D_SELECT, FB_SQL, MERGED_SQL, merged_view, titled_feedback
-from .reports import FM_SQL, PROFILE, SCORED, SCORED_STORE, STREAK_SQL, filter_metrics
+from .reports import FM_SQL, PRIOR_SQL, PROFILE, SCORED, SCORED_STORE, STREAK_SQL, filter_metrics
+from .summaries import BUCKET_SQL
 from .text_fields import ts
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
@@ -48,10 +49,50 @@ def q3(t):
     gone = U.first_by(normalize_postings(moved(t.postings.where("source = 'adzuna'"), "old.example.com")), ["id"], ["native_id"])
     tombs = t.store.select("id").unionAll(normalize_postings(new.where("location = 'Berlin, Germany'")).select("id"))
     r = Y.scan_cycle(t.postings.unionByName(new), t.scan_log, t.store.unionByName(gone), tombs,
-                     t.store.where("native_id % 30 = 0"), PROFILE, A.NOW, hours=24 * 1200)
+                     t.store.where("native_id % 30 = 0"), PROFILE, A.NOW, hours=24 * 1200, near=False)
     return r.store.select("id", "title", "score", "tier", "profile_version")
 
 
+def scanned(t, near: bool = False):
+    """A scan cycle with all it can know, over every posting and scan."""
+    inputs = Y.ScanInputs(
+        companies=t.companies, relevance=t.companies.select("company_id", F.col("preference").alias("relevance")), cycles=t.cycles,
+        quota=t.events.select((100 - F.col("user_id") % 50).alias("quota_remaining")), filters=filter_metrics(t), feedback=t.feedback)
+    none = t.store.limit(0).select("id")
+    return Y.scan_cycle(t.postings, t.scan_log, t.store, none, none, PROFILE, A.EVENT_NOW, hours=24 * 12000, inputs=inputs, near=near)
+
+
+@query("q3_scan_checks", f"""WITH {PRIOR_SQL}, {BUCKET_SQL.replace('{cycles}', 'cycles')},
+q AS (SELECT (SELECT CAST(sum(100 - user_id % 50) AS BIGINT) FROM events) < round((SELECT sum(yield_multiplier) FROM yb) * (SELECT avg(jobs_found) FROM cycles), 1) AS low),
+g AS (SELECT scan_id, round(parse_confidence, 2) AS c, coalesce(preference, 0.5) AS rel, yield_multiplier AS m, low FROM conf LEFT JOIN companies USING (company_id) JOIN yb ON start_hour = hour(scanned_at) // 3 * 3, q)
+SELECT scan_id, m AS yield_multiplier, CASE WHEN c >= 0.8 THEN 'not needed' WHEN low AND rel < 0.85 THEN 'skipped: quota headroom low' WHEN m < 0.8 AND rel < 0.7 THEN 'skipped: low-yield cycle'
+ WHEN rel < 0.5 THEN 'skipped: low relevance' ELSE 'triggered' END AS crosscheck FROM g""", "scan_log cycles companies")
+def q3_checks(t):
+    return scanned(t).checks.select("scan_id", "yield_multiplier", "crosscheck")
+
+
+@query("q3_scan_ranking", """WITH m AS (SELECT company_id, CAST(CASE WHEN count(*) FILTER (jobs_found > 0 AND error IS NULL) > 0 AND coalesce(sum(jobs_found) FILTER (jobs_found > 0 AND error IS NULL), 0) >= 5 THEN 0.3 ELSE 0.8 END AS DOUBLE) AS d FROM scan_log GROUP BY 1)
+SELECT c.company_id, row_number() OVER (ORDER BY preference DESC, success_rate DESC, avg_salary DESC, coalesce(d, 0.8), c.company_id) AS rank FROM companies c LEFT JOIN m USING (company_id)""", "companies scan_log")
+def q3_ranking(t):
+    return scanned(t).ranking.select("company_id", "rank")
+
+
+@query("q3_scan_thresholds", ORACLES["c16_optimize_thresholds"])
+def q3_thresholds(t):
+    return scanned(t).thresholds.select("filter", "confident_misses", F.round("new_threshold", 2).alias("new_threshold"))
+
+
+@query("q3_scan_counts", "SELECT count(*) AS unique_ids, 0::BIGINT AS above, 0::BIGINT AS unscored FROM store", "store")
+def q3_counts(t):
+    # every cluster keeps its rows' ids together: the sizes of all clusters add up to the unique ids, and no cluster is left without a score
+    from ..operators.dedup import near_clusters, without_text
+    r = scanned(t, near=True)
+    clusters = near_clusters(without_text(t.store)).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = r.store.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score").isNull()).alias("unscored"), F.count_distinct("id").alias("ids"))
+    sizes = clusters.agg(F.sum("n").alias("unique_ids"), F.count(F.lit(1)).alias("clusters"))
+    return sizes.select("unique_ids", (rows.select("rows").scalar() - F.col("clusters")).alias("above"), rows.select("unscored").scalar().alias("unscored"))
+
+
 @query("q4_rescore", f"""WITH {SCORED_STORE}
 SELECT native_id, CASE WHEN score IS NOT NULL AND profile_version = 'v2' THEN score ELSE local_score END AS score, CASE WHEN score IS NOT NULL AND profile_version = 'v2' THEN tier ELSE 6 END AS tier FROM scored""", "store")
 def q4(t):
