@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import held_out
+from .common import held_out, if_small, store_summary
 
 PER_LANG = 1500
 SAMPLE_BYTES = 16_000_000
@@ -131,7 +131,12 @@ def learn(docs: DataFrame, per_lang: int = PER_LANG) -> dict | None:
     """The trees of every language; None without learning rows."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.select("doc_id", "lang", F.octet_length("text").cast("long").alias("__size")).withColumn(
+    sizes = known.select("doc_id", "lang", F.octet_length("text").cast("long").alias("__size"))
+    # the first rows by hash lie in a hash range of twice their share, so no task sorts a whole language
+    counts = store_summary(known.groupBy("lang").agg(F.count(F.lit(1)).alias("__c")))
+    share = F.lit(2.0 * per_lang) / F.col("__c")
+    early = F.xxhash64("doc_id").cast("double") / float(1 << 63) < 2.0 * share - 1.0
+    ranked = sizes.join(if_small(counts), "lang").where((share >= 1.0) | early).drop("__c").withColumn(
         "__n", F.row_number().over(first)).where(F.col("__n") <= per_lang)
     upto = F.sum("__size").over(Window.partitionBy("lang").orderBy("__n"))
     chosen = ranked.withColumn("__upto", upto).where((F.col("__n") == 1) | (F.col("__upto") <= SAMPLE_BYTES)).select("doc_id", "lang").distinct()
