@@ -8,16 +8,18 @@ link when ``100 * |A & B| >= SHARE * |A | B|``; the result is the component of e
     in any fixed order.  The order puts shingles that a fixed-size sketch shows to be
     frequent last, so passages that many documents share are no index entries; the
     sketch decides speed only, never the result.
-3.  Of each index token, every member meets the two extreme members first (rows as
-    many as entries), if sizes and bitmaps allow.  Links found merge members into
-    components.
-4.  Token groups that still hold several components are cut into tiles of bounded
-    size; tiles of different components meet, their members in size bands: pairs
-    outside the size ratio or whose bitmaps bound the overlap too low are skipped.
-    First the likeliest few partners of a member are verified, and after merging
-    all that are still in different components.
+3.  The entries of a token are sorted by size and cut into chains wherever two sizes
+    in turn cannot link.  Short chains give all their pairs; in longer ones every
+    member meets the first and the one before it, which merges most near copies into
+    components.  A pair must allow a link by its sizes and by the places of the token:
+    at its first common token, what is common cannot exceed what is left of either set.
+    Then its bitmaps must allow one.
+4.  Long chains that still hold several components are cut into tiles of bounded
+    size; tiles of different components meet, their members in size bands, under the
+    same tests of sizes, places and bitmaps.  First the likeliest few partners of a
+    member are verified, and after merging all that are still in different components.
 5.  Verification intersects sorted arrays, built again from the texts of candidates
-    only: tables between the steps hold keys, sizes and bitmaps.
+    only: one document of each class, chosen by its id before it is cut into words.
 
 No partner or candidate is dropped; inside a component no further pairs are made.
 
@@ -48,6 +50,8 @@ BITS, MOST = 1024, 1 << 16      # of a bitmap, by the size of the set
 SIFT = 1 << 26        # bits of the filter for documents with candidates
 TILE = 512
 LIKELY = 4
+CHAIN = 6             # members of a chain whose pairs are all taken at once
+HOT = 20              # tokens of more than about 2 ** HOT entries are dealt to several tasks
 IDS = 1_000_000        # ids of this many rows at most are broadcast (eight bytes each)
 PAIRS = 100_000       # pairs compared at a time in a task
 U = np.uint64
@@ -133,26 +137,41 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (len(a) + len(b) - both)
 
 
-def classes(docs: DataFrame, level, size: int, share: int, name: str) -> DataFrame:
-    """name, n, key (hash of the set), bitmap and index tokens of every row; key is null for empty sets."""
-    schema = docs.select(F.col(name).alias("id")).schema.simpleString()[7:-1].replace(":", " ", 1) + ", n long, key long, bits binary, prefix array<long>"
+def _named(docs: DataFrame, name: str) -> str:
+    return docs.select(F.col(name).alias("id")).schema.simpleString()[7:-1].replace(":", " ", 1)
+
+
+def classes(docs: DataFrame, level, size: int, name: str) -> DataFrame:
+    """id, n and key (hash of the set) of every row; key is null for empty sets."""
+
+    def work(batches):
+        for b in batches:
+            for x, y, n, token, start in token_sets(b.column("text"), level.value, size):
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(x, y - x), pa.array(n.astype(np.int64)), pa.array(_keys(n, token, start), mask=n == 0)], ["id", "n", "key"])
+
+    return docs.select(F.col(name).alias("id"), "text").mapInArrow(work, _named(docs, name) + ", n long, key long")
+
+
+def members(docs: DataFrame, level, size: int, share: int, name: str) -> DataFrame:
+    """One row for each class: key, id (smallest), n, bitmap and index tokens."""
 
     def work(batches):
         for b in batches:
             for x, y, n, token, start in token_sets(b.column("text"), level.value, size):
                 lead = np.where(n > 0, n - (share * n + 99) // 100 + 1, 0)
                 pos, before = _ranges(start[:-1], lead)
-                key = pa.array(_keys(n, token, start), mask=n == 0)
-                bits = pa.array(bitmaps(token, start), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").slice(x, y - x), pa.array(n.astype(np.int64)), key, bits, _lists(token[pos], before)],
-                    ["id", "n", "key", "bits", "prefix"])
+                    [b.column("id").slice(x, y - x), pa.array(n.astype(np.int64)), pa.array(_keys(n, token, start), mask=n == 0),
+                     pa.array(bitmaps(token, start), pa.binary()), _lists(token[pos], before)], ["id", "n", "key", "bits", "prefix"])
 
-    return docs.select(F.col(name).alias("id"), "text").mapInArrow(work, schema)
+    rows = docs.where(F.col(name).isNotNull()).select(F.col(name).alias("id"), "text").mapInArrow(
+        work, _named(docs, name) + ", n long, key long, bits binary, prefix array<long>")
+    return rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
 
 
 def _sift(keys: DataFrame) -> np.ndarray:
-    """A fixed-size bit table of the keys; false hits cost time only."""
+    """A fixed-size bit table of the column ``key``; false hits cost time only."""
     word = F.expr(f"shiftright(pmod(key, {SIFT}), 5)")
     # at most SIFT / 32 rows, whatever the input
     got = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 32) AS int))")).alias("x")).toArrow()
@@ -161,6 +180,80 @@ def _sift(keys: DataFrame) -> np.ndarray:
     return table.astype(np.uint32)
 
 
+def _hits(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = key % SIFT
+    return ((table[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
+
+
+def _fits(n: np.ndarray, m: np.ndarray, left_n: np.ndarray, left_m: np.ndarray, share: int) -> np.ndarray:
+    """Whether two sets can link whose first common token leaves so many tokens of each, itself included."""
+    most = np.minimum(left_n, left_m)
+    return (100 * np.minimum(n, m) >= share * np.maximum(n, m)) & (100 * most >= share * (n + m - most))
+
+
+def _chains(batches, share: int):
+    """First candidates, and the members of long chains, from entries in the order (token, salt, n).
+
+    Rows with a null token are pairs (a, b) of sizes na and nb; the others are members a of the
+    chain named by the token, of size na, with the token in place nb.  What is carried between
+    batches is a short chain, or the first and the last row of a long one.
+    """
+    kept = None
+    for batch in chain(batches, [None]):
+        now = None if batch is None else [batch.column(c).to_numpy() for c in ("token", "salt", "key", "n", "pos")]
+        if now is not None:
+            now.append(np.zeros(len(now[0]), dtype=bool))
+            if kept is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(kept, now, strict=True)]
+        else:
+            now = kept
+        if now is None or not len(now[0]):
+            continue
+        token, salt, key, n, pos, old = now
+        change = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1] < share * n[1:])
+        change &= ~(old[1:] & old[:-1])                          # ends of one long chain
+        begin = np.concatenate([[0], np.flatnonzero(change) + 1])
+        end = np.append(begin[1:], len(token))
+        hot = salt[begin] >= 0
+        long = (end - begin > CHAIN) | old[begin] | hot
+        stop = len(token) if batch is None or long[-1] else int(begin[-1])
+        if batch is not None:
+            carry = np.unique([begin[-1], len(token) - 1]) if long[-1] else np.arange(begin[-1], len(token))
+            kept = [c[carry] for c in now]
+            kept[5] = np.full(len(carry), bool(long[-1]))
+        run = np.repeat(np.arange(len(begin)), end - begin)[:stop]
+        at = np.arange(stop)
+        fresh, wide = ~old[:stop], long[run]
+        left, right = [], []
+        for step in range(1, CHAIN):
+            x = at[fresh & (at - step >= begin[run]) & (~wide | (step == 1))]
+            left.append(x)
+            right.append(x - step)
+        x = at[fresh & wide & (at - 1 > begin[run])]
+        left.append(x)
+        right.append(begin[run[x]])
+        x, y = np.concatenate(left), np.concatenate(right)
+        fine = _fits(n[x], n[y], n[x] - pos[x], n[y] - pos[y], share)
+        x, y = x[fine], y[fine]
+        swap = key[x] < key[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        m = at[fresh & wide]
+        first = np.where(hot[run[m]], 0, n[begin[run[m]]]).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            name = grams.scramble(token[m].view(np.uint64) + first * U(0x9E3779B97F4A7C15)).view(np.int64)
+        for cut in range(0, len(x), PAIRS):
+            i, j = x[cut:cut + PAIRS], y[cut:cut + PAIRS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(i), pa.int64()), pa.array(key[i]), pa.array(key[j]), pa.array(n[i]), pa.array(n[j])], ["token", "a", "b", "na", "nb"])
+        if len(m):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name), pa.array(key[m]), pa.nulls(len(m), pa.int64()), pa.array(n[m]), pa.array(pos[m])], ["token", "a", "b", "na", "nb"])
+
+
 class Bitmaps:
     """Bitmaps of several widths, each also folded to half its width to meet the next narrower ones."""
 
@@ -193,15 +286,17 @@ class Bitmaps:
 
 
 def _screen(pairs: DataFrame, kept: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and bitmaps allow a link."""
-    size = kept.select("key", "n")
-    sized = (
-        pairs.join(size.select(F.col("key").alias("a"), F.col("n").alias("na")), "a")
-        .join(size.select(F.col("key").alias("b"), F.col("n").alias("nb")), "b")
-        .where(100 * F.least("na", "nb") >= share * F.greatest("na", "nb")))
+    """The pairs (a, b) of sizes na and nb whose bitmaps allow a link."""
+    wanted = pairs.sparkSession.sparkContext.broadcast(_sift(_ends(pairs)))
+
+    def some(batches):
+        for t in batches:
+            yield t.filter(pa.array(_hits(wanted.value, t.column("key").to_numpy())))
+
+    bits = kept.select("key", "bits").mapInArrow(some, "key long, bits binary")
     rows = (
-        sized.join(kept.select(F.col("key").alias("a"), F.col("bits").alias("xa")), "a")
-        .join(kept.select(F.col("key").alias("b"), F.col("bits").alias("xb")), "b").select("a", "b", "na", "nb", "xa", "xb"))
+        pairs.join(bits.select(F.col("key").alias("a"), F.col("bits").alias("xa")), "a")
+        .join(bits.select(F.col("key").alias("b"), F.col("bits").alias("xb")), "b").select("a", "b", "na", "nb", "xa", "xb"))
 
     def look(batches):
         for t in batches:
@@ -213,20 +308,21 @@ def _screen(pairs: DataFrame, kept: DataFrame, share: int) -> DataFrame:
     return cut_lineage(rows.mapInArrow(look, "a long, b long"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, level, size: int, share: int) -> DataFrame:
-    """The pairs (a, b) that link: the arrays of their documents are brought to the pairs."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_sift(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+def _verify(pairs: DataFrame, docs: DataFrame, kept: DataFrame, level, size: int, share: int, name: str) -> DataFrame:
+    """The pairs (a, b) that link: the arrays of one document of each class are brought to the pairs."""
+    ids = kept.join(_ends(pairs), "key", "left_semi").select(F.xxhash64("id").alias("key"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_sift(ids))
 
     def arrays(batches):
         for b in batches:
-            for _, _, n, token, start in token_sets(b.column("text"), level.value, size):
-                key = _keys(n, token, start)
-                spot = key % SIFT
-                some = np.flatnonzero((n > 0) & ((wanted.value[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool))
+            texts = b.column("text").filter(pa.array(_hits(wanted.value, b.column("spot").to_numpy())))
+            for _, _, n, token, start in token_sets(texts, level.value, size):
+                some = np.flatnonzero(n > 0)
                 pos, before = _ranges(start[:-1][some], n[some])
-                yield pa.RecordBatch.from_arrays([pa.array(key[some]), _lists(token[pos], before)], ["key", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(n, token, start)[some]), _lists(token[pos], before)], ["key", "token"])
 
-    sets = docs.select("text").mapInArrow(arrays, "key long, token array<long>").groupBy("key").agg(F.first("token").alias("token"))
+    read = docs.where(F.col(name).isNotNull()).select(F.xxhash64(F.col(name)).alias("spot"), "text")
+    sets = read.mapInArrow(arrays, "key long, token array<long>").groupBy("key").agg(F.first("token").alias("token"))
     rows = (
         pairs.join(sets.select(F.col("key").alias("a"), F.col("token").alias("ta")), "a")
         .join(sets.select(F.col("key").alias("b"), F.col("token").alias("tb")), "b").select("a", "b", "ta", "tb"))
@@ -240,11 +336,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, level, size: int, share: int) ->
     return cut_lineage(rows.mapInArrow(test, "a long, b long"))
 
 
-def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray,
+def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray,
                 share: int, likely: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of whole tile pairs (``group`` in runs, side 0 before side 1, sizes in order).
 
-    A pair remains if its components differ, its sizes allow a link, and so do the bitmaps.
+    A pair remains if its components differ, its sizes and the places of the token allow a link, and so do the bitmaps.
     """
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     end = np.append(begin[1:], len(group))
@@ -265,7 +361,7 @@ def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndar
         to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
         x = np.repeat(left[at:to], (high - low)[at:to])
         y, _ = _ranges(low[at:to], (high - low)[at:to])
-        other = comp[x] != comp[y]
+        other = (comp[x] != comp[y]) & _fits(n[x], n[y], n[x] - pos[x], n[y] - pos[y], share)
         x, y = x[other], y[other]
         fine, most = table.possible(x, y, n[x], n[y], share)
         x, y, most = x[fine], y[fine], most[fine]
@@ -284,7 +380,7 @@ def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndar
 
 def _tile_batches(batches, share: int, likely: int | None):
     """Cuts sorted batches between tile pairs; the last, maybe unfinished one waits for the next batch."""
-    names = ["token", "i", "j", "side", "key", "n", "comp"]
+    names = ["token", "i", "j", "side", "key", "n", "pos", "comp"]
     kept = None
     for batch in chain(batches, [None]):
         now = None if batch is None else (
@@ -302,8 +398,7 @@ def _tile_batches(batches, share: int, likely: int | None):
         if stop:
             group = np.zeros(stop, dtype=np.int64)
             group[change[change < stop]] = 1
-            side, key, n, comp, bits = (c[:stop] for c in now[3:])
-            a, b = _tile_pairs(np.cumsum(group), side, key, n, comp, bits, share, likely)
+            a, b = _tile_pairs(np.cumsum(group), *(c[:stop] for c in now[3:]), share, likely)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -335,11 +430,11 @@ def _tiles(entries: DataFrame, kept: DataFrame, comps: DataFrame, share: int, li
         F.transform(F.sequence(tile, rests + F.col("mains") - 1), lambda j: F.struct(tile.alias("i"), j.alias("j"), F.lit(0).alias("side"))),
         F.transform(F.sequence(F.lit(0), tile), lambda i: F.struct(i.alias("i"), tile.alias("j"), F.lit(1).alias("side")))))
     spread = placed.withColumn("meet", F.explode(meets)).select(
-        "token", "key", "comp", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), F.col("meet.side").alias("side"))
-    dealt = spread.join(kept.select("key", "n", "bits"), "key")
+        "token", "key", "n", "pos", "comp", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), F.col("meet.side").alias("side"))
+    dealt = spread.join(kept.select("key", "bits"), "key")
     order = ["token", "i", "j", "side", "n"]
     return (
-        dealt.select(*order, "key", "comp", "bits").repartition("token", "i", "j").sortWithinPartitions(*order)
+        dealt.select(*order, "key", "pos", "comp", "bits").repartition("token", "i", "j").sortWithinPartitions(*order)
         .mapInArrow(lambda batches: _tile_batches(batches, share, likely), "a long, b long").distinct())
 
 
@@ -348,26 +443,24 @@ def join(docs: DataFrame, name: str = "doc_id", size: int = WORDS, share: int =
     spark = docs.sparkSession
     docs = docs.select(name, F.col("text").cast("string").alias("text"))
     level = spark.sparkContext.broadcast(frequent_cells(docs, size))
-    every = cut_lineage(classes(docs, level, size, share, name))
-    kept = cut_lineage(
-        every.where(F.col("key").isNotNull() & F.col("id").isNotNull())
-        .groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")]))
-    index = kept.select("key", F.explode("prefix").alias("token"))
-    groups = index.groupBy("token").agg(
-        F.count(F.lit(1)).alias("c"), F.min("key").alias("low"), F.max("key").alias("high")).where(F.col("c") > 1)
-    entries = cut_lineage(index.join(groups, "token"))
-    stars = cut_lineage(
-        entries.select(F.explode(F.array(*[
-            F.struct(F.greatest("key", o).alias("a"), F.least("key", o).alias("b")) for o in ("low", "high")])).alias("p"))
-        .where("p.a != p.b").select("p.a", "p.b").distinct())
-    done = _screen(stars, kept, share)
-    links = _verify(done, docs, level, size, share)
+    every = cut_lineage(classes(docs, level, size, name))
+    kept = cut_lineage(members(docs, level, size, share, name))
+    # a token's level tells about how many entries it has: those of very frequent ones are dealt to several tasks
+    depth = F.shiftrightunsigned("token", 58).cast("int")
+    salts = F.expr(f"shiftleft(1L, greatest(shiftrightunsigned(token, 58) - {HOT}, 0L)::int)")
+    index = kept.select("key", "n", F.posexplode("prefix").alias("pos", "token")).select(
+        "token", F.when(depth > HOT, F.pmod(F.xxhash64("key"), salts)).otherwise(F.lit(-1)).cast("int").alias("salt"), "key", "n", F.col("pos").cast("long").alias("pos"))
+    met = cut_lineage(
+        index.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "key")
+        .mapInArrow(lambda batches: _chains(batches, share), "token long, a long, b long, na long, nb long"))
+    done = _screen(cut_lineage(met.where(F.col("token").isNull()).drop("token").distinct()), kept, share)
+    links = _verify(done, docs, kept, level, size, share, name)
     comps = cut_lineage(components(links))
-    crowded = entries.where(F.col("c") > 3).select("token", "key")
+    crowded = met.where(F.col("token").isNotNull()).select("token", F.col("a").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     for likely in (LIKELY, None):
         pairs = cut_lineage(_tiles(crowded, kept, comps, share, likely).join(done, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
-            more = _verify(pairs, docs, level, size, share)
+            more = _verify(pairs, docs, kept, level, size, share, name)
             links, done = links.unionAll(more), done.unionAll(pairs)
             if not more.isEmpty():
                 comps = cut_lineage(components(links))

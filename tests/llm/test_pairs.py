@@ -60,9 +60,13 @@ def chained_copies(rng, n, start, words=60):
     return out
 
 
-@pytest.mark.parametrize("tile", [512, 8])
-def test_join_equals_all_pairs(spark, monkeypatch, tile):
-    monkeypatch.setattr(jaccard, "TILE", tile)
+@pytest.mark.parametrize("tile, chain, hot, batch", [(512, 6, 20, 10_000), (8, 6, 20, 10_000), (8, 2, 4, 7), (512, 3, 20, 5)])
+def test_join_equals_all_pairs(spark, monkeypatch, tile, chain, hot, batch):
+    """Tiles, chains cut between batches and tokens dealt to several tasks do not change the result."""
+    for name, value in (("TILE", tile), ("CHAIN", chain), ("HOT", hot)):
+        monkeypatch.setattr(jaccard, name, value)
+    chains = jaccard._chains
+    monkeypatch.setattr(jaccard, "_chains", lambda batches, share: chains((b.slice(i, batch) for b in batches for i in range(0, b.num_rows, batch)), share))
     rng = random.Random(5)
     shared = " ".join(f"p{i}" for i in range(50))                 # a passage of many documents
     docs = chained_copies(rng, 90, 1000) + chained_copies(rng, 40, 2000, 20) + [
