@@ -48,9 +48,9 @@ SHARE = 85
 CELLS = 1 << 20       # cells of the frequency sketch
 BITS, MOST = 1024, 1 << 16      # of a bitmap, by the size of the set
 SIFT = 1 << 26        # bits of the filter for documents with candidates
-TILE = 512
+TILE = 1024          # two tiles with the widest bitmaps take 16 MB of a task; a row of a group of k is dealt k / TILE times
 LIKELY = 4
-CHAIN = 6             # members of a chain whose pairs are all taken at once
+CHAIN = 16            # members of a chain whose pairs are all taken at once: 7.5 rows of 32 bytes a member, about one row with a bitmap
 HOT = 20              # tokens of more than about 2 ** HOT entries are dealt to several tasks
 IDS = 1_000_000        # ids of this many rows at most are broadcast (eight bytes each)
 PAIRS = 100_000       # pairs compared at a time in a task
