@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from hirelode.session import BROADCAST_ROWS, cut_lineage, scratch_path
 # A word is a run of anything but space and the five ASCII control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 
+SIFT = 1 << 26        # bits of a filter for keys
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -62,3 +65,22 @@ def sampled(df: DataFrame, limit: int, total: int, *keys: str) -> DataFrame:
     if total > 2 * limit:
         df = df.where(unit_hash(*[F.col(k) for k in keys], F.lit("sample")) < 2.0 * limit / total)
     return df.orderBy(F.xxhash64(*keys), *keys).limit(limit)
+
+
+def sift(keys: DataFrame) -> np.ndarray:
+    """A fixed-size bit table of the column ``key``; false hits cost time only."""
+    word = F.expr(f"shiftright(pmod(key, {SIFT}), 5)")
+    # at most SIFT / 32 rows, whatever the input
+    got = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 32) AS int))")).alias("x")).toArrow()
+    table = np.zeros(SIFT // 32, dtype=np.int64)
+    table[got.column("w").to_numpy()] = got.column("x").to_numpy()
+    return table.astype(np.uint32)
+
+
+def hits(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    spot = key % SIFT
+    return ((table[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key"))

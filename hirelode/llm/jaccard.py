@@ -40,14 +40,13 @@ from pyspark.sql import functions as F
 from hirelode.session import cut_lineage
 
 from . import grams
-from .common import if_small
+from .common import hits, if_small, sift
 from .components import components
 
 WORDS = 4
 SHARE = 85
 CELLS = 1 << 20       # cells of the frequency sketch
 BITS, MOST = 1024, 1 << 16      # of a bitmap, by the size of the set
-SIFT = 1 << 26        # bits of the filter for documents with candidates
 TILE = 1024          # two tiles with the widest bitmaps take 16 MB of a task; a row of a group of k is dealt k / TILE times
 LIKELY = 4
 CHAIN = 16            # members of a chain whose pairs are all taken at once: 7.5 rows of 32 bytes a member, about one row with a bitmap
@@ -170,25 +169,6 @@ def members(docs: DataFrame, level, size: int, share: int, name: str) -> DataFra
     return rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
 
 
-def _sift(keys: DataFrame) -> np.ndarray:
-    """A fixed-size bit table of the column ``key``; false hits cost time only."""
-    word = F.expr(f"shiftright(pmod(key, {SIFT}), 5)")
-    # at most SIFT / 32 rows, whatever the input
-    got = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 32) AS int))")).alias("x")).toArrow()
-    table = np.zeros(SIFT // 32, dtype=np.int64)
-    table[got.column("w").to_numpy()] = got.column("x").to_numpy()
-    return table.astype(np.uint32)
-
-
-def _hits(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    spot = key % SIFT
-    return ((table[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
-
-
 def _fits(n: np.ndarray, m: np.ndarray, left_n: np.ndarray, left_m: np.ndarray, share: int) -> np.ndarray:
     """Whether two sets can link whose first common token leaves so many tokens of each, itself included."""
     most = np.minimum(left_n, left_m)
@@ -287,11 +267,11 @@ class Bitmaps:
 
 def _screen(pairs: DataFrame, kept: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of sizes na and nb whose bitmaps allow a link."""
-    wanted = pairs.sparkSession.sparkContext.broadcast(_sift(_ends(pairs)))
+    wanted = pairs.sparkSession.sparkContext.broadcast(sift(_ends(pairs)))
 
     def some(batches):
         for t in batches:
-            yield t.filter(pa.array(_hits(wanted.value, t.column("key").to_numpy())))
+            yield t.filter(pa.array(hits(wanted.value, t.column("key").to_numpy())))
 
     bits = kept.select("key", "bits").mapInArrow(some, "key long, bits binary")
     rows = (
@@ -311,11 +291,11 @@ def _screen(pairs: DataFrame, kept: DataFrame, share: int) -> DataFrame:
 def _verify(pairs: DataFrame, docs: DataFrame, kept: DataFrame, level, size: int, share: int, name: str) -> DataFrame:
     """The pairs (a, b) that link: the arrays of one document of each class are brought to the pairs."""
     ids = kept.join(_ends(pairs), "key", "left_semi").select(F.xxhash64("id").alias("key"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_sift(ids))
+    wanted = docs.sparkSession.sparkContext.broadcast(sift(ids))
 
     def arrays(batches):
         for b in batches:
-            texts = b.column("text").filter(pa.array(_hits(wanted.value, b.column("spot").to_numpy())))
+            texts = b.column("text").filter(pa.array(hits(wanted.value, b.column("spot").to_numpy())))
             for _, _, n, token, start in token_sets(texts, level.value, size):
                 some = np.flatnonzero(n > 0)
                 pos, before = _ranges(start[:-1][some], n[some])

@@ -4,8 +4,10 @@ Preference pairs (a good and a bad labelled document) train a Bradley-Terry mode
 the chance that one beats the other is the logistic function of the difference of
 their linear scores over text features.  Labelled rows are sampled up to
 ``per_label`` for each label (by hash of the id), whatever the table size; all
-rows are scored by their whole text.  The cut is the score quantile at the share
-of bad labels; the score is a logistic curve that gives ``ACCEPT`` at the cut.
+rows are scored by their whole text.  The cut is the quantile, at the share of bad
+labels, of the ranks of all learning rows (not of the sample): they are counted in
+``BINS`` parts, exact where the quantile falls between parts and even inside one.
+The score is a logistic curve that gives ``ACCEPT`` at the cut.
 
 Defined results: null, empty and blank texts have the features of a text without
 words and are scored like any other; without labels of both kinds every score is
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import held_out, sampled
+from .common import held_out, hits, sampled, sift
 
 ACCEPT = 0.7
 PER_LABEL = 3000      # bound of the learning sample, rows for each label
 PAIRS = 60_000
+BINS = 1 << 16        # parts of the range of ranks, for the quantile over all learning rows
 FEATURES = 24
 
 _CLASS = np.full(256, 6, dtype=np.uint8)          # 6: bytes of non-ASCII letters
@@ -140,12 +143,53 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> dic
     x, good = x[order_], np.array(got.column("good").to_pylist(), dtype=bool)[order_]
     if good.all() or not good.any():
         return None
-    return _train(x[good], x[~good], shares[False] / (shares[True] + shares[False]))
+    share = shares[False] / (shares[True] + shares[False])
+    model = _train(x[good], x[~good], share)
+    bins = _bins(docs, marked, model)
+    return model | {"cut": _quantile(bins, share)} if len(bins) else model
+
+
+def _ranks(column: pa.Array, model: dict) -> np.ndarray:
+    """The learned rank of every text, before the cut."""
+    return np.clip((features(column) - model["centre"]) / model["spread"], -8, 8) @ model["w"]
+
+
+def _bins(docs: DataFrame, marked: DataFrame, model: dict) -> np.ndarray:
+    """count, least and greatest rank of all learning rows in ``BINS`` equal parts of the possible range."""
+    reach = 8 * float(np.abs(model["w"]).sum()) + 1e-12
+    wanted = docs.sparkSession.sparkContext.broadcast(sift(marked.select(F.xxhash64(F.col("doc_id").cast("long")).alias("key"))))
+
+    def rank(batches):
+        for b in batches:
+            some = b.filter(pa.array(hits(wanted.value, b.column("spot").to_numpy())))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(_ranks(some.column("text"), model))], ["doc_id", "z"])
+
+    doc_id = F.col("doc_id").cast("long")
+    ranked = docs.where(F.col("doc_id").isNotNull()).select(doc_id.alias("doc_id"), F.xxhash64(doc_id).alias("spot"), "text").mapInArrow(
+        rank, "doc_id long, z double")
+    part = F.floor((F.col("z") + reach) / (2 * reach) * BINS)
+    # at most BINS + 1 rows, whatever the input
+    got = (
+        ranked.join(marked.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+        .groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high")).orderBy("part").toArrow())
+    return np.column_stack([got.column(c).to_numpy().astype(float) for c in ("n", "low", "high")]) if got.num_rows else np.zeros((0, 3))
+
+
+def _quantile(bins: np.ndarray, share: float) -> float:
+    """Middle between the ranks on both sides of the quantile; inside a part by even spacing."""
+    total = np.cumsum(bins[:, 0])
+
+    def value(k: int) -> float:
+        at = int(np.searchsorted(total, k, side="right"))
+        n, low, high = bins[at]
+        return float(low + (high - low) * (k - (total[at] - n)) / max(1.0, n - 1))
+
+    k = min(int(np.floor(share * total[-1] + 1e-9)), int(total[-1]) - 1)
+    return (value(max(k - 1, 0)) + value(k)) / 2
 
 
 def _scores(column: pa.Array, model: dict) -> np.ndarray:
-    z = np.clip((features(column) - model["centre"]) / model["spread"], -8, 8) @ model["w"]
-    return 1 / (1 + np.exp(-np.clip(model["slope"] * (z - model["cut"]) + np.log(ACCEPT / (1 - ACCEPT)), -35, 35)))
+    return 1 / (1 + np.exp(-np.clip(model["slope"] * (_ranks(column, model) - model["cut"]) + np.log(ACCEPT / (1 - ACCEPT)), -35, 35)))
 
 
 def score(docs: DataFrame, model: dict | None, name: str = "quality_score", keep: list[str] | None = None) -> DataFrame:

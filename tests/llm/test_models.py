@@ -38,6 +38,43 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r["quality_score"] <= 1 for r in got)
 
 
+def test_quality_pair_loss_is_at_its_least():
+    """The weights against small changes, by the mean pair loss written out."""
+    rng = np.random.default_rng(9)
+    good, bad = rng.normal(0.4, 1, (60, 3)), rng.normal(-0.4, 1, (50, 3))
+    model = quality._train(good, bad, 0.5)
+    a, b = ((x - model["centre"]) / model["spread"] for x in (good, bad))
+    draw = np.random.default_rng(5)
+    i, j = draw.integers(0, 60, quality.PAIRS), draw.integers(0, 50, quality.PAIRS)
+
+    def loss(w):
+        beats = np.array([np.log1p(np.exp(-float(np.dot(np.clip(a[x] - b[y], -8, 8), w)))) for x, y in zip(i[:], j[:], strict=True)])
+        return beats.mean() + 0.5e-3 * float(w @ w)
+
+    least = loss(model["w"])
+    for k in range(3):
+        for step in (-0.02, 0.02):
+            moved = model["w"].copy()
+            moved[k] += step
+            assert loss(moved) > least
+
+
+def test_quality_cut_is_the_quantile_of_all_learning_rows(spark):
+    """With a sample far smaller than the learning rows; ties at the cut included."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = docs.unionAll(docs.limit(40))
+    model = quality.learn(docs, labels, per_label=30)
+    bad = {r["doc_id"]: r["quality"] < 0.5 for r in labels.where(~held_out(F.col("doc_id"))).collect()}
+    texts = [r["text"] for r in docs.collect() if r["doc_id"] in bad]
+    ranks = np.sort(quality._ranks(pa.array(texts), model))
+    k = int(np.floor(sum(bad.values()) / len(bad) * len(ranks) + 1e-9))
+    width = 16 * np.abs(model["w"]).sum() / quality.BINS
+    assert len(ranks) > 60 and abs(model["cut"] - (ranks[k - 1] + ranks[k]) / 2) <= width
+    few = np.array([[3, 0.0, 1.0], [1, 5.0, 5.0], [4, 7.0, 7.0]])
+    assert [quality._quantile(few, s) for s in (0.0, 1 / 8, 3 / 8, 4 / 8, 1.0)] == [0.0, 0.25, 3.0, 6.0, 7.0]
+
+
 def test_quality_awkward_rows(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (3, 0), (6, None), (None, 1), (5, 0)], "doc_id long, quality int")
     docs = awkward(spark).withColumn("quality_score", F.lit("mine"))

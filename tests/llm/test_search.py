@@ -155,6 +155,15 @@ def test_page_differencing(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def test_nearest_path_is_found_in_whole_paths(spark):
+    """The neighbour with the longer common path decides, also where the first 64 characters are equal."""
+    head = "https://h.example.com/" + "x" * 90
+    rows = [(1, head + "/a", "<div>menu one</div><div>first</div>"), (2, head + "/b1", "<div>menu two</div><div>second</div>"),
+            (3, head + "/b2", "<div>menu two</div><div>third</div>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["main_text"] for r in got}[2] == "second"
+
+
 def test_pages_equal_their_articles(spark):
     import html
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
