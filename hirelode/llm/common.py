@@ -80,7 +80,3 @@ def sift(keys: DataFrame) -> np.ndarray:
 def hits(table: np.ndarray, key: np.ndarray) -> np.ndarray:
     spot = key % SIFT
     return ((table[spot // 32] >> (spot % 32).astype(np.uint32)) & 1).astype(bool)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("key"))
