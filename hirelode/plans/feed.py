@@ -73,6 +73,7 @@ def build_feed(landed: DataFrame, config: FeedConfig, applied: DataFrame | None
     hidden = applied.where("status <> 'archived'") if applied is not None else None
     joined = P.validity(flag(flag(unique, closed, "__closed"), hidden, "__applied"))
     capped = evidence_cap(joined).withColumn("match_state", P.match_state(config.profile_version))
+    capped = P.stated_years(capped, "__years") if max_years is not None else capped
     recent = P.is_recent(capped, config.hours, config.now)
     gone = F.col("__closed") | ~F.col("is_valid")
     anything_recent = joined.where(~gone).agg(F.max(P.is_recent(joined, config.hours, config.now))).scalar()
@@ -82,10 +83,10 @@ def build_feed(landed: DataFrame, config: FeedConfig, applied: DataFrame | None
         .when(stale, F.lit("stale"))
         .when(~P.role_flag(config.roles), F.lit("role_mismatch"))
         .when(~P.location_flag(config.locations), F.lit("location"))
-        .when(~P.experience_flag(max_years), F.lit("experience"))
+        .when(~P.experience_flag(max_years, "__years"), F.lit("experience"))
         .when(~P.exclusion_flag(config.exclusions), F.lit("seniority_keywords"))
         .when(F.col("match_state") != "ready", F.when(F.col("__applied"), F.lit("already_applied")).otherwise(F.lit("awaiting_scoring")))
         .when(~P.score_bar_flag(config.min_score), F.lit("below_min_score"))
         .when(F.col("__applied"), F.lit("already_applied")))
-    flagged = capped.withColumn("first_failed", first_failed).drop("__closed", "__applied", "is_valid", "reasons")
+    flagged = capped.withColumn("first_failed", first_failed).drop("__closed", "__applied", "__years", "is_valid", "reasons")
     return Feed(flagged, metrics, config.sort_by)
