@@ -15,11 +15,14 @@ PLACE = "CASE WHEN location = '' THEN 'India' ELSE location END"
 
 
 def payloads(t, fields: str, wrap="{}"):
-    """Payloads per company and page: ``fields`` builds an item, ``wrap`` the JSON around the list."""
-    items = t.postings.select("company", F.floor(F.col("native_id") / 90).alias("page"), F.expr(f"named_struct({fields})").alias("item"))
-    pages = items.groupBy("company", "page").agg(F.to_json(F.collect_list("item")).alias("items"))
+    """A payload for each posting: ``fields`` builds its item, ``wrap`` the JSON around the list.
+
+    Ninety neighbouring keys hold no company twice (keys are dense, companies repeat after 400 groups), so
+    payloads by company and page always had one item; built in place, no description is shuffled for it.
+    """
+    items = t.postings.select("company", F.to_json(F.array(F.expr(f"named_struct({fields})"))).alias("items"))
     head, tail = wrap.split("{}", 1)
-    return pages.select("company", F.lower("company").alias("company_id"), F.lit("https://careers.example.com/all/").alias("career_url"),
+    return items.select("company", F.lower("company").alias("company_id"), F.lit("https://careers.example.com/all/").alias("career_url"),
                         F.concat(F.lit(head), "items", F.lit(tail)).alias("body"),
                         F.lit("wd.example.com").alias("host"), F.lit("Ext").alias("site"), F.lit("https://th.example.com").alias("origin"))
 

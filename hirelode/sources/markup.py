@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -81,9 +82,10 @@ def _simple(selector: str):
     def test(n: Node) -> bool:
         if tag and n.tag != tag:
             return False
-        have = n.attrs.get("class", "").split()
-        if any(c not in have for c in classes):
-            return False
+        if classes:
+            have = n.attrs.get("class", "").split()
+            if any(c not in have for c in classes):
+                return False
         for name, how, value in attrs:
             got = n.attrs.get(name)
             if got is None:
@@ -97,28 +99,36 @@ def _simple(selector: str):
     return test
 
 
-def select(node: Node, selectors: str) -> list[Node]:
-    """Nodes below ``node`` matching any of the comma-separated selectors, in document order."""
-    chains = [[_simple(p) for p in s.split()] for s in selectors.split(",") if s.strip()]
+@lru_cache(maxsize=10_000)
+def _chains(selectors: str) -> list[list]:
+    """Tests of comma-separated selectors; each text is read once in a worker."""
+    return [[_simple(p) for p in s.split()] for s in selectors.split(",") if s.strip()]
 
-    def matches(n: Node, chain) -> bool:
-        if not chain[-1](n):
-            return False
-        up = n.parent
-        for test in reversed(chain[:-1]):
-            while up is not None and not test(up):
-                up = up.parent
-            if up is None:
-                return False
+
+def _matches(n: Node, chain) -> bool:
+    if not chain[-1](n):
+        return False
+    up = n.parent
+    for test in reversed(chain[:-1]):
+        while up is not None and not test(up):
             up = up.parent
-        return True
+        if up is None:
+            return False
+        up = up.parent
+    return True
 
-    return [n for n in node.walk() if any(matches(n, c) for c in chains)]
+
+def select(node: Node, selectors: str) -> list[Node]:
+    """Nodes below ``node`` matching any of the comma-separated selectors, in document order."""
+    chains = _chains(selectors)
+    return [n for n in node.walk() if any(_matches(n, c) for c in chains)]
 
 
 def first(node: Node, selectors: str | None) -> Node | None:
-    found = select(node, selectors) if selectors else []
-    return found[0] if found else None
+    if not selectors:
+        return None
+    chains = _chains(selectors)
+    return next((n for n in node.walk() if any(_matches(n, c) for c in chains)), None)
 
 
 # --- card readers ------------------------------------------------------------
@@ -130,16 +140,17 @@ CARD_SCHEMA = ("company string, career_url string, ordinal int, position int, ti
 def _cards(pages: DataFrame, read) -> DataFrame:
     """Rows of every page's cards; ``read(html, row)`` yields dicts."""
     columns = [c.split()[0] for c in CARD_SCHEMA.split(", ")]
+    kinds = pa.schema([(c, pa.int32() if c in ("ordinal", "position") else pa.string()) for c in columns])
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for row in pdf.to_dict("records"):
+            for row in batch.to_pylist():
                 for card in read(parse(row["body"]), row):
                     rows.append({"company": row.get("company"), "career_url": row.get("career_url"), "ordinal": 0, **card})
-            yield pd.DataFrame(rows, columns=columns, dtype=object)
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return pages.mapInPandas(run, CARD_SCHEMA)
+    return pages.mapInArrow(run, CARD_SCHEMA)
 
 
 def extract_with_patterns(pages: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -191,8 +202,9 @@ def extract_cards_heuristic(pages: DataFrame) -> DataFrame:
     made = as_postings(
         cards, keep=["ref", "ordinal"], company=F.col("company"), title=F.col("title"), location=_or("location", "India"),
         url=T.resolve_url("href", "career_url"), description=F.col("body"), extraction_method=F.lit("heuristic"), source=F.lit("web"))
-    winner = made.groupBy("ref").agg(F.min("ordinal").alias("__win"))
-    return made.join(winner, "ref").where("ordinal = __win").drop("__win", "ordinal").withColumnRenamed("ref", "page_id")
+    # a window over the cards of one page: the pages are read once, not once for the winner and once for its rows
+    best = F.min("ordinal").over(Window.partitionBy("ref"))
+    return made.withColumn("__win", best).where("ordinal = __win").drop("__win", "ordinal").withColumnRenamed("ref", "page_id")
 
 
 ANCHOR_WORDS = r"engineer|developer|intern|manager|analyst|designer|consultant|associate|specialist|lead|architect|sde|swe"
