@@ -72,3 +72,28 @@ def test_work_on_equal_values_is_done_once(spark):
         out = once_each(rows, ["title", "description"], compute, texts)
         assert sorted({(r["native_id"], r["size"]) for r in out.collect()}) == [(1, 9), (2, -1), (3, 9), (4, 0), (5, 5)]
         assert out.count() == 250 and done.value <= 4 * 2
+
+
+def test_written_store_holds_each_text_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = frame(spark).withColumn("posted_date", F.timestamp_seconds(F.col("native_id") * 3_000_000))
+    K.write_store(df, path)
+    K.write_store(df.where("native_id = 5").withColumn("title", F.lit("again")), path)
+    assert "description" not in spark.read.parquet(path).columns
+    assert spark.read.parquet(f"{path}-texts").count() == 3
+    back = {r["native_id"]: (r["title"], r["description"]) for r in K.read_written(spark, path).collect()}
+    assert back == {1: ("x", "long text"), 2: ("y", None), 3: ("x", "long text"), 4: (None, ""), 5: ("again", "other")}
+
+
+def test_ingest_writes_each_text_once(spark, tmp_path, tables):
+    from hirelode.operators.scoring import Profile
+    from hirelode.streaming import jobs as ST
+    job = ST.IngestJob(ST.Ledger(spark, str(tmp_path)), ST.IngestConfig(Profile(["Python"], 1, "v2"), "1999-06-15 00:00:00", 0, hours=24 * 4000))
+    landed = tables.postings.where("native_id < 60")
+    job.publish(landed.where("native_id < 30"), 0)
+    job.publish(landed, 1)
+    assert "description" not in spark.read.parquet(f"{tmp_path}/store/version=1").columns
+    texts = spark.read.parquet(f"{tmp_path}/texts/batch=*")
+    assert texts.count() == texts.distinct().count()
+    posted = {(r["native_id"], r["description"]) for r in landed.collect()}
+    assert {(r["native_id"], r["description"]) for r in job.table("store").collect()} <= posted
