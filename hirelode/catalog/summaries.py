@@ -14,7 +14,7 @@ from ..operators import windows as W
 from ..plans.feed import FeedConfig, build_feed
 from .base import query
 from .filtering import ENOW, METRICS_SQL, NOW, PROBES_SQL, last_scans, patterns, probes
-from .joining import APPS_SQL, FB_SQL, apps_by_posting, legacy_apps, titled_feedback
+from .joining import APPS_SQL, FB_SQL, UNIQUE_SQL, apps_by_posting, legacy_apps, titled_feedback
 from .reports import (FM_SQL, LATENCY_SQL, PACE_SQL, PRIOR_SQL, STATS_SQL, STREAK_SQL, confident_scans,
                       filter_metrics, stats)
 from .text_fields import ts
@@ -28,13 +28,11 @@ CONFIG = FeedConfig(
     hours=24 * 1200, min_score=40, profile_version=A.PROFILE_VERSION)
 
 FEED_SQL = rf"""
-good AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY parse_confidence DESC, length(description) DESC, first_seen, native_id) AS rn,
-  min(first_seen) OVER (PARTITION BY id) AS seen FROM pid WHERE title <> 'Webinar on Cloud'),
 u AS (SELECT *, min_yrs IS NULL OR min_yrs <= 2 AS exp_ok FROM (SELECT *, list_min(list_transform(list_concat(list_concat(list_concat(
     regexp_extract_all(title || '  ' || description, '(?i)(\d{{1,2}})\s*(?:-|–|to)\s*\d{{1,2}}\s*\+?\s*(?:years?|yrs?)', 1),
     regexp_extract_all(title || '  ' || description, '(?i)(\d{{1,2}})\s*\+\s*(?:years?|yrs?)', 1)),
     regexp_extract_all(title || '  ' || description, '(?i)(\d{{1,2}})\s*\+?\s*(?:years?|yrs?)\s*(?:of\s+)?experience', 1)),
-    regexp_extract_all(title || '  ' || description, '(?i)(?:minimum|at\s+least|requires?)\s+(?:of\s+)?(\d{{1,2}})\s*(?:years?|yrs?)', 1)), lambda v: CAST(v AS INTEGER))) AS min_yrs FROM good WHERE rn = 1)),
+    regexp_extract_all(title || '  ' || description, '(?i)(?:minimum|at\s+least|requires?)\s+(?:of\s+)?(\d{{1,2}})\s*(?:years?|yrs?)', 1)), lambda v: CAST(v AS INTEGER))) AS min_yrs FROM uq)),
 c AS (SELECT u.*, id IN (SELECT id FROM pid WHERE native_id % 50 = 0) AS closed, id IN (SELECT id FROM apps) AS applied,
   CASE WHEN NOT (score IS NOT NULL AND tier <= 2) AND coalesce(score, 50) > 60 AND (length(description) < 140 OR contains(description, 'See posting for details')) THEN 60 ELSE score END AS fscore FROM u),
 fl AS (SELECT *, CASE WHEN closed THEN 'closed' WHEN date_diff('second', posted_date, {NOW}) > 24 * 1200 * 3600 THEN 'stale'
@@ -49,13 +47,13 @@ def feed_of(t):
     return build_feed(t.postings, CONFIG, applied=apps_by_posting(t), closed=t.normalized.where("native_id % 50 = 0").select("id"))
 
 
-@query("q1_build_feed", f"""WITH {APPS_SQL}, {FEED_SQL}
+@query("q1_build_feed", f"""WITH RECURSIVE {APPS_SQL}, {UNIQUE_SQL}, {FEED_SQL}
 SELECT id, company, title, location, fscore AS score, strftime(seen, {FMT}) AS first_seen FROM fl WHERE failed IS NULL""", "pid applications")
 def q1(t):
     return feed_of(t).feed().select("id", "company", "title", "location", "score", ts("first_seen").alias("first_seen"))
 
 
-@query("a1_funnel", f"""WITH {APPS_SQL}, {FEED_SQL}
+@query("a1_funnel", f"""WITH RECURSIVE {APPS_SQL}, {UNIQUE_SQL}, {FEED_SQL}
 SELECT count(*) FILTER (failed = 'closed') AS dropped_closed, count(*) FILTER (failed = 'stale') AS dropped_stale, count(*) FILTER (failed = 'role_mismatch') AS dropped_role_mismatch,
  count(*) FILTER (failed = 'location') AS dropped_location, count(*) FILTER (failed = 'experience') AS dropped_experience, count(*) FILTER (failed = 'seniority_keywords') AS dropped_seniority_keywords,
  count(*) FILTER (failed = 'awaiting_scoring') AS awaiting_scoring, count(*) FILTER (failed = 'below_min_score') AS dropped_below_min_score, count(*) FILTER (failed = 'already_applied') AS already_applied,
