@@ -5,14 +5,19 @@ are put in URL-path order; a page is compared with the nearer of its two
 neighbours (longer common path, then the one before) by the longest common
 subsequence of their lines, and shared lines are deleted.  Differencing alone
 errs both ways here: menus and adverts that differ from page to page would stay,
-and sentences that articles share would go.  So structure comes first: lines
-inside ``article`` or ``main`` stay, lines of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments go, and the lines in neither (pages
-without such a container) are decided by differencing.  A page whose lines are
-all shared is a copy of its neighbour and keeps them.
-
-Only hashes of lines (a few bytes a line) are exchanged between pages; pages are
-ranked over the whole table, so a host with a third of the pages is no group.
+and sentences that articles share would go.  So structure guides it.  Lines of
+menus, headers, footers, sidebars, notices, adverts, forms and reader comments go.
+Differencing then decides every page by its lines of its own: an ``article`` or
+``main`` that has one is the article and stays whole, one without any is
+repeated on the nearest page and goes, and on pages without such containers the
+lines of its own are the text.  A page whose lines are all shared is a copy of its
+neighbour and keeps them.
+
+Only hashes of lines and their places (a few bytes a line) are exchanged between
+pages; pages are ranked over the whole table, so a host with a third of the pages is
+no group.  What comes back to a page is the list of lines that differencing takes
+from it: pages that lose none have no row there, and up to ``LISTED`` of these
+numbers are broadcast, so whole pages are shuffled only when there are more.
 
 Defined results: null or empty html gives an empty text; a null or malformed url
 belongs to the host ``''``; repeated rows each give a row; truncated pages and
@@ -51,7 +56,8 @@ NAMED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adse
          "replies", "respond", "nav", "navbar", "navigation", "menu", "menus", "breadcrumb", "breadcrumbs", "topbar", "toolbar", "masthead", "footer",
          "header", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup",
          "modal", "overlay", "widget", "pagination", "pager", "copyright", "skip", "search"}
-INSIDE, LOOSE, OUTSIDE = 2, 1, 0
+INSIDE, LOOSE, OUTSIDE = 2, 1, 0     # lines of the first article or main have INSIDE, of the next one INSIDE + 1, and so on
+LISTED = 1_000_000                   # most line numbers in a broadcast
 
 
 def _excluded(name: str, attributes: str, in_article: bool) -> bool:
@@ -73,17 +79,20 @@ def _excluded(name: str, attributes: str, in_article: bool) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """Lines of a page in order, each with where it stands: INSIDE an article, LOOSE, or OUTSIDE (boilerplate)."""
+    """Lines of a page in order, each with where it stands.
+
+    OUTSIDE: boilerplate; LOOSE: in no container; from INSIDE on: the number of the outermost article or main.
+    """
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []      # name, excluded, article
-    out = within = 0
+    out = within = containers = 0
     part: list[str] = []
 
     def flush() -> None:
         if part:
             text = " ".join("".join(part).split())
             if text:
-                lines.append((text, OUTSIDE if out else INSIDE if within else LOOSE))
+                lines.append((text, OUTSIDE if out else INSIDE + containers - 1 if within else LOOSE))
             part.clear()
 
     def pop_to(depth: int) -> None:
@@ -149,6 +158,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if excluded:
             flush()
         article = name in ("article", "main")
+        containers += article and not within
         stack.append((name, excluded, article))
         out += excluded
         within += article
@@ -183,15 +193,31 @@ def shared_lines(own: list[int], other: list[int]) -> set[int]:
     return found
 
 
+def decided(where: list[int], shared: set[int]) -> list[int]:
+    """Positions of the lines that are the main text, given those shared with the nearest page."""
+    containers = {w for w in where if w >= INSIDE}
+    if containers:
+        articles = {w for i, w in enumerate(where) if w >= INSIDE and i not in shared} or containers
+        return [i for i, w in enumerate(where) if w in articles]
+    loose = [i for i, w in enumerate(where) if w == LOOSE]
+    return [i for i in loose if i not in shared] or loose
+
+
+def taken(where: list[int], own: list[int], other: list[int] | None) -> list[int]:
+    """Positions of the lines that differencing takes from what structure alone would keep."""
+    stay = set(decided(where, shared_lines(own, other) if other else set()))
+    return [i for i in decided(where, set()) if i not in stay]
+
+
+def text_without(page: str | None, gone: list[int] | None) -> str:
+    lines, lost = page_lines(page or ""), set(gone or ())
+    return "\n\n".join(lines[i][0] for i in decided([w for _, w in lines], set()) if i not in lost)
+
+
 def main_text(page: str | None, other: list[int] | None) -> str:
+    """Main text of a page beside the line hashes of the nearest page."""
     lines = page_lines(page or "")
-    inside = [t for t, where in lines if where == INSIDE]
-    if inside:
-        return "\n\n".join(inside)
-    shared = shared_lines(line_hashes(lines), list(other)) if other is not None and len(other) else set()
-    loose = [(i, t) for i, (t, where) in enumerate(lines) if where == LOOSE]
-    own = [t for i, t in loose if i not in shared]
-    return "\n\n".join(own or [t for _, t in loose])
+    return text_without(page, taken([w for _, w in lines], line_hashes(lines), list(other) if other is not None else None))
 
 
 def _address() -> list:
@@ -203,16 +229,18 @@ def _address() -> list:
 def extract(pages: DataFrame, name: str = "main_text") -> DataFrame:
     """``pages`` (page_id, url, html and any other columns) with the main text of every page."""
     key = F.xxhash64("page_id", "url", "html")
-    schema = "__key long, __host string, __path string, __lines array<long>"
+    schema = "__key long, __host string, __path string, __lines array<long>, __where array<int>"
 
     def hashes(batches):
         for b in batches:
-            found = [line_hashes(page_lines(x or "")) for x in b.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["__key", "__host", "__path", "__lines"])
+            found = [(line_hashes(lines), [w for _, w in lines]) for lines in (page_lines(x or "") for x in b.column("html").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int32()))],
+                ["__key", "__host", "__path", "__lines", "__where"])
 
     narrow = pages.select(key.alias("__key"), *_address(), F.col("html").cast("string").alias("html")).mapInArrow(hashes, schema)
     ranked = cut_lineage(with_global_rank(
-        narrow.groupBy("__key").agg(*[F.first(c).alias(c) for c in ("__host", "__path", "__lines")]),
+        narrow.groupBy("__key").agg(*[F.first(c).alias(c) for c in ("__host", "__path", "__lines", "__where")]),
         F.col("__host"), F.col("__path"), F.col("__key"), name="__rank"))
     side = {s: ranked.select((F.col("__rank") + step).alias("__rank"), F.col("__host").alias(f"__{s}_host"),
                              F.col("__path").alias(f"__{s}_path"), F.col("__lines").alias(f"__{s}_lines")) for s, step in (("before", 1), ("after", -1))}
@@ -227,16 +255,24 @@ def extract(pages: DataFrame, name: str = "main_text") -> DataFrame:
 
     paired = (
         ranked.join(side["before"], "__rank", "left").join(side["after"], "__rank", "left")
-        .select("__key", F.when(F.greatest(nearness("before"), nearness("after")) < 0, F.lit(None))
+        .select("__key", "__lines", "__where", F.when(F.greatest(nearness("before"), nearness("after")) < 0, F.lit(None))
                 .when(nearness("before") >= nearness("after"), F.col("__before_lines")).otherwise(F.col("__after_lines")).alias("__other")))
+
+    def differences(batches):
+        for b in batches:
+            gone = [taken(w, h, o) for h, w, o in zip(*[c.to_pylist() for c in b.columns[1:]], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("__key"), pa.array(gone, pa.list_(pa.int32()))], ["__key", "__gone"])
+
+    gone = cut_lineage(paired.mapInArrow(differences, "__key long, __gone array<int>").where(F.size("__gone") > 0))
+    listed = gone.agg(F.coalesce(F.sum(F.size("__gone") + 1), F.lit(0))).first()[0]
     kept = [c for c in pages.columns if c != name]
-    rows = pages.withColumn("__key", key).join(paired, "__key", "left").select(
-        *kept, F.col("html").cast("string").alias("__html"), "__other")
+    rows = pages.withColumn("__key", key).join(F.broadcast(gone) if listed <= LISTED else gone, "__key", "left").select(
+        *kept, F.col("html").cast("string").alias("__html"), "__gone")
 
     def texts(batches):
         for b in batches:
             n = b.num_columns
-            text = [main_text(h, o) for h, o in zip(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist(), strict=True)]
+            text = [text_without(h, g) for h, g in zip(b.column(n - 2).to_pylist(), b.column(n - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(text, pa.string())], [*kept, name])
 
     return rows.mapInArrow(texts, pages.select(*kept).withColumn(name, F.lit("")).schema)

@@ -171,3 +171,18 @@ def test_pages_equal_their_articles(spark):
         body = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?p>|</?h1>", body))
         assert r["main_text"] == "\n\n".join(b for b in blocks if b)
+
+
+def test_differencing_decides_containers_too(spark, monkeypatch):
+    """Of the containers of a page those with a line of its own are the article; its shared sentences stay."""
+    def page(text, ad):
+        return f"<main><p>Read also</p><p>Ten offers</p></main><p>{ad}</p><article><h1>{text}</h1><p>As every day.</p><article>Part</article></article>"
+    rows = [(1, "http://h/a/1", page("first", "x")), (2, "http://h/a/2", page("second", "y")), (3, "http://h/b/1", page("third", "z")),
+            (4, "http://copy/1", page("same", "x")), (5, "http://copy/2", page("same", "y")), (6, "http://alone/", page("lonely", "x"))]
+    rest = "\n\nAs every day.\n\nPart"
+    whole = "Read also\n\nTen offers\n\n"
+    want = {1: "first" + rest, 2: "second" + rest, 3: "third" + rest, 4: whole + "same" + rest, 5: whole + "same" + rest, 6: whole + "lonely" + rest}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for listed in (html_text.LISTED, -1):          # with the taken lines broadcast, and shuffled
+        monkeypatch.setattr(html_text, "LISTED", listed)
+        assert {r["page_id"]: r["main_text"] for r in html_text.extract(pages).collect()} == want
