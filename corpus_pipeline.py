@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from hirelode.llm import decontaminate, jaccard, mixing, quality, sharding
 from hirelode.llm.common import table
-from hirelode.session import scratch_path
+from hirelode.session import bounded_batches, scratch_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise-ranked classifier accepts."""
+    bounded_batches(spark)
     return quality.accepted(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group whose sets of five-word shingles link at a Jaccard of 0.8."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs, size=5, share=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
+    bounded_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

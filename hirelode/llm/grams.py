@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE = 1 << 20                       # bytes handled at a time: bounds the temporary arrays
+PIECE = 1 << 19                       # bytes handled at a time: bounds the temporary arrays
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)

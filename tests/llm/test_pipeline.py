@@ -60,3 +60,22 @@ def test_near_copies_go_by_five_words_at_four_fifths(spark):
 def test_every_operator_has_a_query():
     assert [f"op{n}_" for n in range(1, 11)] == [next(q for q in sorted(queries.QUERIES) if q.startswith(f"op{n}_"))[:len(f"op{n}_")] for n in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_stages_bound_their_batches(spark):
+    """What is handed to a Python worker at a time is bounded in bytes, so that workers stay small on long texts."""
+    import pyarrow as pa
+
+    from hirelode.session import BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    few = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.near_duplicate_stage, corpus_pipeline.decontamination_stage):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, few, FOLDER)
+        # one more text of at most 20,000 words may follow the last byte counted
+        assert docs.select("text").mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 2 * BATCH_BYTES
