@@ -17,7 +17,8 @@ link when ``100 * |A & B| >= SHARE * |A | B|``; the result is the component of e
 4.  Long chains that still hold several components are cut into tiles of bounded
     size; tiles of different components meet, their members in size bands, under the
     same tests of sizes, places and bitmaps.  First the likeliest few partners of a
-    member are verified, and after merging all that are still in different components.
+    member are verified; after merging, the chains in which a member had more partners
+    than these meet again, for all that are still in different components.
 5.  Verification intersects sorted arrays, built again from the texts of candidates
     only: one document of each class, chosen by its id before it is cut into words.
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirelode.session import cut_lineage
+from hirelode.session import cut_lineage, shuffles_go_early
 
 from . import grams
 from .common import hits, if_small, sift
@@ -320,25 +321,27 @@ def _verify(pairs: DataFrame, docs: DataFrame, kept: DataFrame, level, size: int
     return cut_lineage(rows.mapInArrow(test, "a long, b long"))
 
 
-def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray,
-                share: int, likely: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of whole tile pairs (``group`` in runs, side 0 before side 1, sizes in order).
+def _tile_pairs(group: np.ndarray, alone: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray,
+                bits: np.ndarray, share: int, likely: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs of whole tile pairs (``group`` in runs, side 0 before side 1, sizes in order), and rows that had more.
 
     A pair remains if its components differ, its sizes and the places of the token allow a link, and so do the bitmaps.
+    A tile that meets itself (``alone``) has its rows once, on side 0.
     """
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     end = np.append(begin[1:], len(group))
     run = np.repeat(np.arange(len(begin)), end - begin)
     rights = end - np.bincount(run, weights=side, minlength=len(begin)).astype(np.int64)      # where side 1 begins
+    rights = np.where(alone[begin], begin, rights)
     left = np.flatnonzero(side == 0)
     # the size band of each left row among the right rows of its run
     scale = np.int64(1) << 40
-    ordered = np.where(side == 1, run * scale + n, run * scale)
+    ordered = np.where((side == 1) | alone, run * scale + n, run * scale)
     low = np.searchsorted(ordered, run[left] * scale - (-(share * n[left]) // 100))
     high = np.searchsorted(ordered, run[left] * scale + 100 * n[left] // share, side="right")
-    low = np.clip(low, rights[run[left]], end[run[left]])
+    low = np.clip(low, np.where(alone[left], left + 1, rights[run[left]]), end[run[left]])
     high = np.clip(high, low, end[run[left]])
-    table, out_a, out_b = Bitmaps(bits.tolist()), [], []
+    table, out_a, out_b, more = Bitmaps(bits.tolist()), [], [], [left[:0]]
     at = 0
     upto = np.cumsum(high - low)
     while at < len(left):
@@ -354,16 +357,20 @@ def _tile_pairs(group: np.ndarray, side: np.ndarray, key: np.ndarray, n: np.ndar
             x, y = x[order], y[order]
             first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             place = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+            more.append(x[place == likely])
             x, y = x[place < likely], y[place < likely]
         out_a.append(key[x])
         out_b.append(key[y])
         at = to
     a, b = np.concatenate(out_a or [key[:0]]), np.concatenate(out_b or [key[:0]])
-    return np.maximum(a, b), np.minimum(a, b)
+    return np.maximum(a, b), np.minimum(a, b), np.concatenate(more)
 
 
 def _tile_batches(batches, share: int, likely: int | None):
-    """Cuts sorted batches between tile pairs; the last, maybe unfinished one waits for the next batch."""
+    """Cuts sorted batches between tile pairs; the last, maybe unfinished one waits for the next batch.
+
+    Gives candidate pairs (a, b), and rows with only the token of groups where a member has more than ``likely`` partners.
+    """
     names = ["token", "i", "j", "side", "key", "n", "pos", "comp"]
     kept = None
     for batch in chain(batches, [None]):
@@ -382,8 +389,10 @@ def _tile_batches(batches, share: int, likely: int | None):
         if stop:
             group = np.zeros(stop, dtype=np.int64)
             group[change[change < stop]] = 1
-            a, b = _tile_pairs(np.cumsum(group), *(c[:stop] for c in now[3:]), share, likely)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            a, b, more = _tile_pairs(np.cumsum(group), (i == j)[:stop], *(c[:stop] for c in now[3:]), share, likely)
+            again = np.unique(token[more])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "token"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), pa.array(again)], ["a", "b", "token"])
 
 
 def _label(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
@@ -394,37 +403,45 @@ def _label(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _tiles(entries: DataFrame, kept: DataFrame, comps: DataFrame, share: int, likely: int | None) -> DataFrame:
-    """Distinct candidate pairs between components inside token groups."""
+    """Distinct candidate pairs (a, b) between components inside token groups, and the tokens of groups that have more."""
     rows = cut_lineage(_label(entries, comps))
     per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
     groups = (
         per.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k"))
         .where(F.col("k") > 1)
-        .select("token", F.col("top.comp").alias("main"),
+        .select("token", F.col("top.comp").alias("main"), F.col("top.c").alias("c"), F.col("all"),
                 F.ceil(F.col("top.c") / TILE).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.c")) / TILE).cast("int").alias("rests")))
-    # the largest component of a group never meets itself: its tiles meet those of the rest, and the rest meets itself
+    # the largest component of a group never meets itself: its tiles meet those of the rest, and the rest meets itself;
+    # a small one has no tiles of its own where that makes fewer rows
+    whole = F.ceil(F.col("all") / TILE).cast("int")
+    apart = F.col("c") * F.col("rests") + (F.col("all") - F.col("c")) * (F.col("rests") + F.col("mains"))
+    plain = 4 * F.col("all") * whole < 3 * apart
+    groups = groups.select(
+        "token", F.when(~plain, F.col("main")).alias("main"), F.when(plain, 0).otherwise(F.col("mains")).alias("mains"),
+        F.when(plain, whole).otherwise(F.col("rests")).alias("rests"))
     placed = (
         rows.join(groups, "token")
-        .withColumn("of_main", F.col("comp") == F.col("main"))
+        .withColumn("of_main", F.col("comp").eqNullSafe(F.col("main")))
         .withColumn("tile", F.pmod(F.xxhash64("key", "token"), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")))
     rests, tile = F.col("rests"), F.col("tile")
     meets = F.when(
         F.col("of_main"), F.transform(F.sequence(F.lit(0), rests - 1), lambda i: F.struct(i.alias("i"), (rests + tile).alias("j"), F.lit(1).alias("side")))
     ).otherwise(F.concat(
         F.transform(F.sequence(tile, rests + F.col("mains") - 1), lambda j: F.struct(tile.alias("i"), j.alias("j"), F.lit(0).alias("side"))),
-        F.transform(F.sequence(F.lit(0), tile), lambda i: F.struct(i.alias("i"), tile.alias("j"), F.lit(1).alias("side")))))
+        F.transform(F.filter(F.sequence(F.lit(0), tile), lambda i: i < tile), lambda i: F.struct(i.alias("i"), tile.alias("j"), F.lit(1).alias("side")))))
     spread = placed.withColumn("meet", F.explode(meets)).select(
         "token", "key", "n", "pos", "comp", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), F.col("meet.side").alias("side"))
     dealt = spread.join(kept.select("key", "bits"), "key")
     order = ["token", "i", "j", "side", "n"]
     return (
         dealt.select(*order, "key", "pos", "comp", "bits").repartition("token", "i", "j").sortWithinPartitions(*order)
-        .mapInArrow(lambda batches: _tile_batches(batches, share, likely), "a long, b long").distinct())
+        .mapInArrow(lambda batches: _tile_batches(batches, share, likely), "a long, b long, token long").distinct())
 
 
 def join(docs: DataFrame, name: str = "doc_id", size: int = WORDS, share: int = SHARE) -> DataFrame:
     """name, n_shingles and component_id (smallest linked ``name``, itself included) of every row."""
     spark = docs.sparkSession
+    shuffles_go_early(spark)
     docs = docs.select(name, F.col("text").cast("string").alias("text"))
     level = spark.sparkContext.broadcast(frequent_cells(docs, size))
     every = cut_lineage(classes(docs, level, size, name))
@@ -442,7 +459,10 @@ def join(docs: DataFrame, name: str = "doc_id", size: int = WORDS, share: int =
     comps = cut_lineage(components(links))
     crowded = met.where(F.col("token").isNotNull()).select("token", F.col("a").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos"))
     for likely in (LIKELY, None):
-        pairs = cut_lineage(_tiles(crowded, kept, comps, share, likely).join(done, ["a", "b"], "left_anti"))
+        tiled = cut_lineage(_tiles(crowded, kept, comps, share, likely))
+        pairs = cut_lineage(tiled.where(F.col("token").isNull()).select("a", "b").join(done, ["a", "b"], "left_anti"))
+        # a group whose members had no more partners has given all its pairs
+        crowded = crowded.join(if_small(tiled.where(F.col("token").isNotNull()).select("token"), IDS), "token", "left_semi")
         if not pairs.isEmpty():
             more = _verify(pairs, docs, kept, level, size, share, name)
             links, done = links.unionAll(more), done.unionAll(pairs)

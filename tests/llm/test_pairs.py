@@ -1,6 +1,9 @@
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -77,6 +80,67 @@ def test_join_equals_all_pairs(spark, monkeypatch, tile, chain, hot, batch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == plain_join(docs)
 
 
+def tile_batch(members):
+    """One group of one tile: (key, comp) of sets of 100 tokens that differ in at most four."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 57, 96, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([common, rng.integers(0, 1 << 57, 4, dtype=np.uint64)])) for _ in members]
+    bits = jaccard.bitmaps(np.concatenate(sets), np.arange(0, 100 * len(sets) + 1, 100))
+    k = len(members)
+    same = lambda v: pa.array([v] * k, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [same(7), same(0), same(0), same(0), same(100), pa.array([m[0] for m in members]), same(0), pa.array([m[1] for m in members]), pa.array(bits)],
+        ["token", "i", "j", "side", "n", "key", "pos", "comp", "bits"])
+
+
+def test_tile_meets_itself_from_one_copy_of_its_rows():
+    """All pairs of different components come from rows on one side; a group with more than the likely partners says so."""
+    members = [(10 + i, i // 2) for i in range(8)]
+    pairs = {(a, b) for a, x in members for b, y in members if a > b and x != y}
+
+    def given(likely):
+        rows = [r for b in jaccard._tile_batches([tile_batch(members)], 85, likely) for r in b.to_pylist()]
+        return {(r["a"], r["b"]) for r in rows if r["token"] is None}, {r["token"] for r in rows if r["token"] is not None}
+
+    assert given(None) == (pairs, set()) and given(7) == (pairs, set())
+    some, again = given(2)
+    assert some < pairs and again == {7}
+
+
+def test_tiles_are_dealt_once(spark):
+    """A member of a group of one tile is one row."""
+    entries = spark.createDataFrame([(1, k, 100, 0) for k in range(20)], "token long, key long, n long, pos long")
+    kept = spark.createDataFrame([(k, bytes(128)) for k in range(20)], "key long, bits binary")
+    seen = []
+    dealt = type(entries).sortWithinPartitions
+
+    def watch(df, *order):
+        seen.append(df.count())
+        return dealt(df, *order)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(entries), "sortWithinPartitions", watch)
+        jaccard._tiles(entries, kept, None, 85, 4)
+    assert seen == [20]                                          # of 20 components; 58 with copies for the other side and for a tile of one
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    """Finished steps leave no pile of shuffle files, without waiting for the driver's garbage collection.
+
+    A task that still runs when its action ends may write a file after that; without the setting dozens stay.
+    """
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {blocks.apply(i).getName() for i in range(blocks.size()) if blocks.apply(i).getName().endswith(".data")}
+
+    before = files()
+    jaccard.join(spark.createDataFrame([(i, f"some words {i % 7} of a text") for i in range(50)], "doc_id long, text string"))
+    wait = time.time() + 20
+    while len(files() - before) > 3 and time.time() < wait:      # they go in the background
+        time.sleep(0.2)
+    assert len(files() - before) <= 3
+
+
 def test_join_awkward_rows(spark):
     docs = awkward(spark, (9, "ONE", "en", "a", 3, "x", 1), (10, "", "en", "a", 0, "x", 1))
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs).collect()}
