@@ -14,7 +14,7 @@ two blocks.  In a bucket every line meets the two extreme ones (as many rows as
 lines), and of these pairs each line first tries one; after the links found are
 merged, only lines of different components are tried, so a group of near copies
 never makes all its pairs.  Texts are no part of any of these shuffles: only those
-of candidates are read again for the edit distance.
+of pairs that are tried are read again for the edit distance.
 
 Everything is DataFrame code; sums, minima and counts are aggregated before the
 shuffle, and a line that fills a third of the corpus is one row after that.
@@ -31,7 +31,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelode.session import cut_lineage
+from hirelode.session import cut_lineage, shuffles_go_early
 
 from .common import if_small, stored
 from .components import components
@@ -134,6 +134,15 @@ def _across(crowded: DataFrame, keyed: DataFrame, comps: DataFrame) -> DataFrame
     return met.select(F.greatest("a.key", "b.key").alias("a"), F.least("a.key", "b.key").alias("b")).distinct()
 
 
+def _texts(pairs: DataFrame, docs: DataFrame, keyed: DataFrame, name: str) -> DataFrame:
+    """key and signs of the lines in the pairs, from one document that holds each."""
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    holders = cut_lineage(keyed.join(if_small(wanted, IDS), "key").select(F.col("at.id").alias(name)).distinct())
+    return cut_lineage(
+        lines_of(docs.join(if_small(holders, IDS), name, "left_semi"), name).join(if_small(wanted, IDS), "key", "left_semi")
+        .select("key", _signs(F.col("words")).alias("signs")).groupBy("key").agg(F.first("signs").alias("signs")))
+
+
 def links(docs: DataFrame, keyed: DataFrame, name: str = "doc_id") -> DataFrame:
     """(node, root) of all normalised lines that link with a different one."""
     entries = keyed.select(F.explode(_buckets()).alias("bucket"), "key")
@@ -146,18 +155,14 @@ def links(docs: DataFrame, keyed: DataFrame, name: str = "doc_id") -> DataFrame:
     x, y = narrow.select(F.col("key").alias("a"), F.struct("hash", "size").alias("x")), narrow.select(F.col("key").alias("b"), F.struct("hash", "size").alias("y"))
     stars = cut_lineage(ends.where("a != b").distinct().join(x, "a").join(y, "b").where(_near("x", "y")).select("a", "b"))
     more = crowded.join(full.where(F.col("c") > 3).select("bucket"), "bucket", "left_semi")
-    wanted = cut_lineage(stars.select(F.explode(F.array("a", "b")).alias("key")).unionAll(more.select("key")).distinct())
-    # the texts of candidates, from one document that holds each
-    holders = cut_lineage(keyed.join(if_small(wanted, IDS), "key").select(F.col("at.id").alias(name)).distinct())
-    texts = cut_lineage(
-        lines_of(docs.join(if_small(holders, IDS), name, "left_semi"), name).join(if_small(wanted, IDS), "key", "left_semi")
-        .select("key", _signs(F.col("words")).alias("signs")).groupBy("key").agg(F.first("signs").alias("signs")))
+    texts = _texts(stars, docs, keyed, name)
     tried = cut_lineage(stars.groupBy("a").agg(F.min("b").alias("b")))
     found = _verified(tried, texts)
     comps = cut_lineage(components(found))
     for rest in (lambda: _apart(stars, comps), lambda: _across(more, keyed, comps)):
         pairs = cut_lineage(rest().join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
+            texts = _texts(pairs, docs, keyed, name)
             found, tried = found.unionAll(_verified(pairs, texts)), tried.unionAll(pairs)
             comps = cut_lineage(components(found))
     return comps
@@ -171,6 +176,7 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, name: str = "doc_id") -> DataFrame:
     """id and line number of every occurrence that goes: all of a group but its first."""
+    shuffles_go_early(docs.sparkSession)
     docs = docs.select(name, "text")
     hashed = stored(_hashed(docs, name))
     keyed = stored(hashed.groupBy("key").agg(

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hirelode.llm import jaccard, line_dedup
 from hirelode.llm.components import components
@@ -215,6 +216,20 @@ def test_line_dedup_equals_all_pairs(spark):
     assert n_links > 100 and len(expected) > 100 and len(got) == len(docs)
 
 
+def test_line_texts_are_read_for_tried_pairs_only(spark, monkeypatch):
+    """Lines that only fill a crowded bucket, with nobody near, have their texts left alone."""
+    monkeypatch.setattr(line_dedup, "_buckets", lambda: F.array(F.lit(1).cast("long")))      # one bucket for all
+    read, fetch, conf = [], line_dedup._texts, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    monkeypatch.setattr(line_dedup, "_texts", lambda *a: read.append(fetch(*a)) or read[-1])
+    copy = " ".join(f"copy{i}" for i in range(200))
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(30)] + [(100, copy), (101, copy + " more")]
+    expected, _ = plain_dropped(docs)
+    spark.conf.unset(conf)
+    got = {(r["id"], r["line_no"]) for r in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == expected and len(got) == 1 and max(r.count() for r in read) == 2
+    assert spark.conf.get(conf) == "true"                         # finished steps keep no shuffle files
+
+
 def test_line_dedup_awkward_rows(spark):
     text = "Keep this line once.\n\n!!!\nKEEP this   line once\nno id here at all, none"
     docs = awkward(spark, (11, text, "en", "a", 3, "x", 1), (12, "keep this line once", "en", "a", 3, "x", 1))
