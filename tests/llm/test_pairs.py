@@ -247,3 +247,40 @@ def test_line_hashes_have_all_bits(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g\nMixed CASE 42")], "doc_id long, text string")
     got = {r["line_no"]: r["hash"] for r in line_dedup._hashed(docs, "doc_id").collect()}
     assert got == {0: simhash("a b c d e f g"), 1: simhash("mixed case 42")}
+
+
+def test_line_hashes_of_long_lines_and_repeated_rows(spark):
+    """Counters of nine bits hold a part of a line; neither more words nor rows that come again spill into the next counter."""
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (40, 255, 256, 257, 511, 512, 3000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))] * 30, "doc_id long, text string")
+    got = {(r["line_no"], r["size"], r["hash"]) for r in line_dedup._hashed(docs, "doc_id").collect()}
+    assert got == {(i, len(t.split()), simhash(t)) for i, t in enumerate(lines)}
+
+
+def test_lines_alone_in_their_buckets_go(spark):
+    """Of lines far apart none is left to compare, however many there are; near ones all meet."""
+    rng = random.Random(6)
+    far = [(i, rng.getrandbits(63), 40) for i in range(20_000)]
+    near = [(30_000 + i, far[i][1] ^ sum(1 << b for b in rng.sample(range(63), 1 + i % 3)), 40) for i in range(300)]
+    keyed = spark.createDataFrame(far + near, "key long, hash long, size int")
+    crowded = line_dedup._crowded(keyed)
+    assert crowded.select("key").distinct().count() < 700           # 600 of them near
+    pairs, _ = line_dedup._met(crowded)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(30_000 + i, i) for i in range(300)}
+
+
+@pytest.mark.parametrize("crowd", [1, 4])
+def test_line_dedup_of_large_buckets(spark, monkeypatch, crowd):
+    """Finer buckets and stars find what all pairs find."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(200)]
+    docs = [(0, " ".join(base))]
+    for d in range(1, 40):
+        w = list(docs[d // 2][1].split(" "))
+        w[rng.randrange(200)] = f"d{rng.randrange(50)}"
+        docs.append((d, " ".join(w)))
+    expected, n_links = plain_dropped(docs)
+    got = {(r["id"], r["line_no"]) for r in line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == expected and n_links > 60
