@@ -13,9 +13,8 @@ their own, and the few lines of several parts are added up after that.  Lines me
 the ``2 ** (BITS + 1) - 1`` tables of a covering (see ``covering``): each compares about
 33 of the bits, and two hashes within ``BITS`` bits agree in one table at least.  Each
 table is dealt once; lines alone in their bucket, nearly all, go there.  In a bucket of
-up to ``CROWD`` lines all pairs are compared.  Lines of a larger bucket meet again in
-finer ones, by each quarter of the bits as well (three bits leave one quarter alone);
-where even these are large, every line meets the two extreme ones.  Of the near pairs
+up to ``CROWD`` lines all pairs are compared; in a larger one every line meets the two
+extreme ones, and the rest when components are known.  Of the near pairs
 each line first tries one; after the links found are merged, only lines of different
 components are tried, so a group of near copies never tries all its pairs.  Texts are
 no part of any of these shuffles: only those lines of near pairs are read again for
@@ -47,7 +46,7 @@ SIMILAR = 0.8
 GROUPS, EACH, WIDTH = 9, 7, 9          # numbers, counters in each, bits of a counter
 PART = (1 << WIDTH) - 1                # a whole counter
 PARTED = 256                           # words of a part of a line, fewer than a counter holds
-CROWD = 64                             # lines of a bucket that are compared pairwise
+CROWD = 24                             # lines of a bucket that are compared pairwise
 IDS = 1_000_000       # keys or ids of this many rows at most are broadcast (eight bytes each)
 
 
@@ -96,12 +95,6 @@ def _buckets() -> Column:
     return F.array(*[F.xxhash64(F.lit(t), F.col("hash").bitwiseAND(signed(m))) for t, m in enumerate(masks(BITS))])
 
 
-def _finer() -> Column:
-    """All keys of a row in a large bucket: the bucket and every (BITS + 1)-th bit from each start."""
-    parts = [sum(1 << i for i in range(start, 63, BITS + 1)) for start in range(BITS + 1)]
-    return F.array(*[F.xxhash64("bucket", F.lit(k), F.col("hash").bitwiseAND(signed(m))) for k, m in enumerate(parts)])
-
-
 def _rows(docs: DataFrame, name: str) -> DataFrame:
     return docs.where(F.col("text").isNotNull() & F.col(name).isNotNull()).select(F.col(name).alias("id"), F.col("text").cast("string").alias("text"))
 
@@ -190,11 +183,7 @@ def _crowded(keyed: DataFrame) -> DataFrame:
 
 def _met(crowded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The near pairs (a, b) of lines, and the rows of buckets of which only the pairs with an extreme line are among them."""
-    finer = stored(crowded.where(F.col("c") > CROWD).select(F.explode(_finer()).alias("bucket"), "key", "hash", "size"))
-    counts = cut_lineage(finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1))
-    finer = stored(finer.join(if_small(counts, IDS), "bucket"))
-    few = crowded.unionByName(finer).where(F.col("c") <= CROWD).drop("c")
-    many = finer.where(F.col("c") > CROWD).drop("c")
+    few, many = crowded.where(F.col("c") <= CROWD), crowded.where(F.col("c") > CROWD)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") > F.col("y.key")) & _near("x", "y")).select(
         F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     line = F.struct("key", "hash", "size")

@@ -272,7 +272,7 @@ def test_lines_alone_in_their_buckets_go(spark):
 
 @pytest.mark.parametrize("crowd", [1, 4])
 def test_line_dedup_of_large_buckets(spark, monkeypatch, crowd):
-    """Finer buckets and stars find what all pairs find."""
+    """Stars and pairs across components find what all pairs find."""
     monkeypatch.setattr(line_dedup, "CROWD", crowd)
     rng = random.Random(9)
     base = [f"c{i}" for i in range(200)]
