@@ -2,8 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from hirelode.functions import fields as V
+from hirelode.operators import filters as P
 from hirelode.operators import sinks as K
 
 
@@ -18,3 +21,26 @@ def test_exported_texts_are_packed(spark, tmp_path):
     back = spark.read.schema(rows.schema).json(f"file://{tmp_path}/curated")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
     assert json.loads(spark.read.text(f"file://{tmp_path}/curated").where("value LIKE '{\"id\":7,%'").first()[0])["id"] == 7
+
+
+FAR = "Nothing to count in this sentence, and nothing in that one. " * 20
+
+
+@pytest.mark.parametrize("text,years", [
+    (f"{FAR}minimum{' ' * 300}4 years", 4), (f"experience required{' ' * 90}:{' ' * 90}3 yrs {FAR}", 3), (f"8{' ' * 200}to{' ' * 200}9{' ' * 50}+ years", 8),
+    (f"7 years of{' industry' * 60} experience. {FAR}", 7), (f"7 years of{' industry' * 60}. {FAR}experience", None), (f"must have {FAR}6 years", None),
+    (f"12-15 years. {FAR}2+ years. {FAR}at least of 9 yrs", 2), (f"{FAR}3 {FAR}years", None), ("٣ years experience", None), ("", None), (None, None)])
+def test_only_what_is_near_a_number_decides_the_years(spark, text, years):
+    assert spark.range(1).select(V.min_experience_years(F.lit(text).cast("string"))).first()[0] == years
+
+
+def test_long_texts_are_cut_before_the_patterns(spark):
+    left = F.regexp_replace(F.lit(f"Minimum 4 years. {FAR * 30}"), F.lit(V._far_from_numbers()), F.lit("$1;"))
+    assert spark.range(1).select(left).first()[0] == "Minimum 4 years;"
+
+
+def test_years_do_not_shuffle_texts(spark):
+    rows = spark.createDataFrame([(1, "Dev", "3-5 years"), (1, None, "2+ yrs"), (None, "Dev", None)], "native_id int, title string, description string")
+    plan = P.stated_years(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert [r["min_years"] for r in P.stated_years(rows).collect()] == [3, 2, None]
