@@ -11,9 +11,10 @@ from .. import rules
 from ..functions import fields as V
 from ..operators import filters as P
 from ..operators import stats as R
-from ..operators.dedup import deduplicate
+from ..operators.dedup import deduplicate_apart
 from ..operators.ranking import feed_order
 from ..operators.scoring import evidence_cap
+from ..operators.texts import bring_texts
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def build_feed(landed: DataFrame, config: FeedConfig, applied: DataFrame | None
 
     ``applied``: id, status of applications; ``closed``: id of dead postings.
     """
-    unique, metrics = deduplicate(landed, near=config.near_duplicates)
+    unique, texts, columns, metrics = deduplicate_apart(landed, near=config.near_duplicates)
     max_years = landed.sparkSession.range(1).select(V.max_user_years(
         F.array(*[F.lit(x) for x in config.experience]))).first()[0] if config.experience else None
 
@@ -72,7 +73,10 @@ def build_feed(landed: DataFrame, config: FeedConfig, applied: DataFrame | None
 
     hidden = applied.where("status <> 'archived'") if applied is not None else None
     joined = P.validity(flag(flag(unique, closed, "__closed"), hidden, "__applied"))
-    capped = evidence_cap(joined).withColumn("match_state", P.match_state(config.profile_version))
+    # the marks by id are set on rows without descriptions, which come last
+    if applied is not None or closed is not None:
+        columns = ["id", *[c for c in columns if c != "id"]]
+    capped = evidence_cap(bring_texts(joined, texts, columns)).withColumn("match_state", P.match_state(config.profile_version))
     capped = P.stated_years(capped, "__years") if max_years is not None else capped
     recent = P.is_recent(capped, config.hours, config.now)
     gone = F.col("__closed") | ~F.col("is_valid")
