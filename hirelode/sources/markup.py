@@ -64,7 +64,44 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
+# markup without entities, comments or other special forms: text, a start tag in lower case with quoted attributes, an end tag
+_PLAIN = re.compile(r'([^<&]+)|<([a-z][a-z0-9]*)((?:[ \t\n]+[a-z][a-z0-9_-]*="[^"&<>]*")*)[ \t\n]*>|</([a-z][a-z0-9]*)>')
+_PLAIN_ATTR = re.compile(r'([a-z][a-z0-9_-]*)="([^"]*)"')
+# elements whose content the parser reads in another way
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext", "svg", "math"}
+
+
+def _parse_plain(html: str) -> Node | None:
+    """The tree of plain markup, as the parser would build it; None where anything else occurs."""
+    root = at = Node("", {}, None)
+    end = 0
+    for m in _PLAIN.finditer(html):
+        if m.start() != end:
+            return None
+        end = m.end()
+        data, tag, attrs, closed = m.groups()
+        if data is not None:
+            at.children.append(data)
+        elif tag is not None:
+            if tag in _RAW:
+                return None
+            node = Node(tag, dict(_PLAIN_ATTR.findall(attrs)) if attrs else {}, at)
+            at.children.append(node)
+            if tag not in VOID:
+                at = node
+        else:
+            node = at
+            while node.parent is not None and node.tag != closed:
+                node = node.parent
+            if node.parent is not None:
+                at = node.parent
+    return root if end == len(html) else None
+
+
 def parse(html: str) -> Node:
+    plain = _parse_plain(html or "")
+    if plain is not None:
+        return plain
     b = _Builder()
     b.feed(html or "")
     b.close()
@@ -180,6 +217,38 @@ CARD_SELECTORS = [
     "[data-automation-id='jobPosting']", "[data-automation-id='jobTitle']", ".role-card", ".opening-card",
     ".css-19v252", "[data-ui-id='job-card']", "div[data-job-id]", "[class*='jobCard']", "[class*='JobCard']",
 ]
+
+
+def _card_index() -> tuple[dict[str, list], list]:
+    """(card selectors by their first class, the others), each with its place in the order and its test.
+    Every one of them asks for a class or another attribute and looks at one node only."""
+    by_class, others = {}, []
+    for ordinal, selector in enumerate(CARD_SELECTORS):
+        name = re.search(r"\.([\w-]+)", _ATTR.sub("", selector))
+        (by_class.setdefault(name.group(1), []) if name else others).append((ordinal, _simple(selector)))
+    return by_class, others
+
+
+_BY_CLASS, _BY_ATTR = _card_index()
+_ATTR_NAMES = {name for s in CARD_SELECTORS for name, _, _ in _ATTR.findall(s) if name != "class"}
+
+
+def _found_cards(dom: Node) -> dict[int, list[Node]]:
+    """What ``select`` finds for each card selector, in one walk."""
+    found: dict[int, list[Node]] = {}
+    for n in dom.walk():
+        if not n.attrs:
+            continue
+        classes = n.attrs.get("class", "")
+        ways = [way for name in dict.fromkeys(classes.split()) for way in _BY_CLASS.get(name, ())]
+        if "obCard" in classes or not _ATTR_NAMES.isdisjoint(n.attrs):
+            ways += _BY_ATTR
+        for ordinal, test in ways:
+            if test(n):
+                found.setdefault(ordinal, []).append(n)
+    return found
+
+
 _PLACE_CLASS = re.compile(r"loc|city|place|region|country", re.I)
 
 
@@ -187,8 +256,8 @@ def extract_cards_heuristic(pages: DataFrame) -> DataFrame:
     """The first card selector with a valid posting wins, per page. ``pages``: page_id, company, career_url, body."""
 
     def read(dom, row):
-        for ordinal, selector in enumerate(CARD_SELECTORS):
-            for i, card in enumerate(select(dom, selector)):
+        for ordinal, cards in sorted(_found_cards(dom).items()):
+            for i, card in enumerate(cards):
                 head = first(card, "h1, h2, h3, h4, a, strong")
                 title = head.text() if head is not None else ""
                 if not 3 <= len(title) <= 120:
